@@ -7,7 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fusion import gate_inputs, weighted
-from .gcn import Adam, summed
+from .gcn import Adam, dot, literal, summed
 
 # Layer widths of the plain nets and the training settings.
 NETS = {"small": [4, 16, 8, 1], "extended": [6, 16, 8, 1], "deep": [6, 32, 64, 32, 16, 1]}
@@ -27,16 +27,13 @@ def gate_alpha(rf: Column, gcn: Column, gate) -> Column:
     """The net as array expressions on literal weights: ReLU layers, then a sigmoid."""
     values = gate_inputs(rf, gcn, gate[0][0].shape[0])
     for i, (w, b) in enumerate(gate):
-        columns = F.array(*[F.array(*[F.lit(float(v)) for v in col]) for col in w.T])
-        bias = F.array(*[F.lit(float(v)) for v in b])
         last = i == len(gate) - 1
 
-        def unit(column, bb, values=values, last=last):
-            products = F.zip_with(values, column, lambda x, y: x * y)
-            total = F.aggregate(products, bb, lambda s, v: s + v)
+        def unit(column, bias, values=values, last=last):
+            total = bias + dot(values, column)
             return total if last else F.greatest(F.lit(0.0), total)
 
-        values = F.zip_with(columns, bias, unit)
+        values = F.zip_with(literal(w.T), literal(b), unit)
     return 1.0 / (1.0 + F.exp(-F.get(values, F.lit(0))))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph_batch import Weights, forward, gradients, initial_weights, make_batch
-from .graphs import node_degrees, weighted_pairs
+from .graphs import weighted_pairs
 from .grids import parameter_grid
 from .lineage import checkpointed
 from .metrics import classification_metrics, pick_best
@@ -91,21 +93,21 @@ def score_edges(edges: DataFrame, weights: Weights, task_edges: int = TASK_EDGES
     entry = F.struct(F.col("from_id").alias("fromId"), F.col("to_id").alias("toId"), "n")
     packed = small.groupBy("trace_id").agg(F.collect_list(entry).alias("_g"))
     scored = score_call_graphs(packed, weights, graph="_g", counts=True).drop("_g")
-    return scored.unionByName(
-        score_edges_joined(edges.join(big, "trace_id", "left_semi"), weights)
-    )
-
-
-def score_edges_joined(edges: DataFrame, weights: Weights) -> DataFrame:
-    """Layer-by-layer scoring with one row per node; vectors are plain columns."""
-    pairs = weighted_pairs(edges.where(F.col("from_id") != F.col("to_id")))
-    n_in = pairs.groupBy("trace_id", F.col("to_id").alias("node_id")).agg(
-        F.sum("n").alias("n_in")
-    )
-    nodes = node_degrees(edges).join(n_in, ["trace_id", "node_id"], "left").select(
-        "trace_id", "node_id", F.sqrt(F.coalesce("n_in", F.lit(0)) + 1.0).alias("root"),
-        F.array("x").alias("h"),
-    )
+    return scored.unionByName(score_pairs_joined(pairs.join(big, "trace_id", "left_semi"), weights))
+
+
+def score_pairs_joined(pairs: DataFrame, weights: Weights) -> DataFrame:
+    """Layer-by-layer scoring of weighted pairs with one row per node; sums are plain columns."""
+    ends = pairs.select("trace_id", F.inline(F.array(
+        F.struct(F.col("from_id").alias("node_id"), F.col("n").alias("x"), F.lit(0).alias("i")),
+        F.struct(F.col("to_id").alias("node_id"), F.col("n").alias("x"),
+                 F.when(F.col("from_id") != F.col("to_id"), F.col("n")).otherwise(0).alias("i")),
+    )))
+    nodes = ends.groupBy("trace_id", "node_id").agg(
+        F.sum("x").cast("double").alias("x"), F.sum("i").alias("n_in")
+    ).select("trace_id", "node_id", F.sqrt(F.col("n_in") + 1.0).alias("root"),
+             F.array("x").alias("h"))
+    pairs = pairs.where(F.col("from_id") != F.col("to_id"))
     width = 1
     for w, b in weights.layers:
         sent = nodes.select(
@@ -121,26 +123,36 @@ def score_edges_joined(edges: DataFrame, weights: Weights) -> DataFrame:
             / F.col("root")
             for i in range(width)
         ])
-        columns = F.array(*[F.array(*[F.lit(float(v)) for v in col]) for col in w.T])
-        bias = F.array(*[F.lit(float(v)) for v in b])
-        nodes = joined.select("trace_id", "node_id", "root", a.alias("a")).select(
-            "trace_id", "node_id", "root",
-            F.zip_with(
-                columns, bias,
-                lambda col, bb: F.greatest(F.lit(0.0), bb + _dot(F.col("a"), col)),
-            ).alias("h"),
-        )
+        nodes = joined.select("trace_id", "node_id", "root", _dense(w, b)(a).alias("h"))
         width = w.shape[1]
-    head = F.array(*[F.lit(float(v)) for v in weights.head[0]])
-    pooled = nodes.groupBy("trace_id").agg(F.avg(_dot(F.col("h"), head)).alias("z"))
+    head = literal(weights.head[0])
+    pooled = nodes.groupBy("trace_id").agg(F.avg(dot(F.col("h"), head)).alias("z"))
     z = F.col("z") + F.lit(float(weights.head[1]))
     return pooled.select("trace_id", (1.0 / (1.0 + F.exp(-z))).alias("gcn_prob"))
 
 
-def _dot(a, b):
+def literal(values) -> Column:
+    """A weight vector or matrix as one constant array column."""
+    values = np.asarray(values, dtype=float)
+    kind = "array<" * values.ndim + "double" + ">" * values.ndim
+    return F.from_json(F.lit(json.dumps(values.tolist())), kind)
+
+
+def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _dense(w: np.ndarray, b: np.ndarray):
+    """Rectified linear layer on array columns, row by row in Arrow batches."""
+    def layer(rows: pa.Array) -> pa.Array:
+        x = np.asarray(rows.flatten()).reshape(len(rows), w.shape[0])
+        h = np.maximum(x @ w + b, 0.0)
+        ends = np.arange(0, h.size + 1, w.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(h.ravel()))
+
+    return F.arrow_udf(layer, "array<double>")
+
+
 class Adam:
     def __init__(self, rate, beta1=0.9, beta2=0.999, eps=1e-8):
         self.rate, self.beta1, self.beta2, self.eps = rate, beta1, beta2, eps

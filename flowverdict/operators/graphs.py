@@ -107,81 +107,79 @@ def graph_statistics(edges: DataFrame, graphs: DataFrame | None = None) -> DataF
 def topology_features(edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
     """Density, largest in-degree and mean clustering of the simple graph.
 
-    Self-loops and repeated edges are left out. Triangles are found once each from edges
-    turned towards the end of higher degree, which keeps hub nodes from opening a
-    quadratic number of pairs.
+    Self-loops and repeated edges are left out. In-degrees, neighbour counts and triangles
+    are gathered as rows per node and meet in two grouped sums, without joins.
     """
-    pairs = edges.select("trace_id", "from_id", "to_id").distinct()
-    simple = pairs.where(F.col("from_id") != F.col("to_id"))
-    nodes = all_nodes(pairs).groupBy("trace_id").agg(F.count(F.lit(1)).alias("v"))
-    in_degree = simple.groupBy("trace_id", "to_id").agg(F.count(F.lit(1)).alias("k"))
-    size = in_degree.groupBy("trace_id").agg(
-        F.sum("k").alias("e"), F.max("k").alias("max_in")
-    )
-    clustering = local_clustering(simple).groupBy("trace_id").agg(
-        F.sum("clustering").alias("clustering")
-    )
-    out = (
-        nodes.join(size, "trace_id", "left")
-        .join(clustering, "trace_id", "left")
-        .select(
-            "trace_id",
-            F.when(F.col("v") > 1, F.coalesce("e", F.lit(0)) / (F.col("v") * (F.col("v") - 1)))
-            .otherwise(F.lit(0.0)).alias("graph_density"),
-            F.coalesce(F.col("max_in").cast("double"), F.lit(0.0)).alias("max_in_degree"),
-            (F.coalesce("clustering", F.lit(0.0)) / F.col("v")).alias("avg_clustering"),
-        )
+    sides = _sides(edges)
+    zero = F.lit(0)
+    ends = sides.select("trace_id", F.col("node").alias("node_id"), "i", "k", zero.alias("t"))
+    corners = _triangle_corners(sides).select(
+        "trace_id", "node_id", zero.alias("i"), zero.alias("k"), F.lit(1).alias("t")
+    )
+    nodes = ends.unionByName(corners).groupBy("trace_id", "node_id").agg(
+        F.sum("i").alias("i"), F.sum("k").alias("k"), F.sum("t").alias("t")
+    )
+    local = F.when(F.col("k") > 1, 2.0 * F.col("t") / (F.col("k") * (F.col("k") - 1)))
+    v = F.count(F.lit(1))
+    out = nodes.groupBy("trace_id").agg(
+        F.when(v > 1, F.sum("i") / (v * (v - 1))).otherwise(F.lit(0.0)).alias("graph_density"),
+        F.max("i").cast("double").alias("max_in_degree"),
+        (F.sum(F.coalesce(local, F.lit(0.0))) / v).alias("avg_clustering"),
     )
     if graphs is None:
         return out
     return graphs.select("trace_id").join(out, "trace_id", "left").fillna(0.0)
 
 
-def local_clustering(simple: DataFrame) -> DataFrame:
-    """Clustering of every node with at least two neighbours, on the undirected graph."""
-    undirected = simple.select(
-        "trace_id",
-        F.least("from_id", "to_id").alias("a"),
-        F.greatest("from_id", "to_id").alias("b"),
-    ).distinct()
-    degree = (
-        undirected.select("trace_id", F.explode(F.array("a", "b")).alias("node_id"))
-        .groupBy("trace_id", "node_id")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    deg_a = degree.select("trace_id", F.col("node_id").alias("a"), F.col("k").alias("k_a"))
-    deg_b = degree.select("trace_id", F.col("node_id").alias("b"), F.col("k").alias("k_b"))
-    ends = undirected.join(deg_a, ["trace_id", "a"]).join(deg_b, ["trace_id", "b"])
-    low, high = F.struct("k_a", "a"), F.struct("k_b", "b")
-    towards = ends.select(
-        "trace_id",
-        F.when(low < high, F.col("a")).otherwise(F.col("b")).alias("src"),
-        F.when(low < high, F.struct(F.col("k_b").alias("k"), F.col("b").alias("node")))
-        .otherwise(F.struct(F.col("k_a").alias("k"), F.col("a").alias("node"))).alias("dst"),
-    )
-    first = towards.select("trace_id", "src", F.col("dst").alias("d1"))
-    second = towards.select("trace_id", "src", F.col("dst").alias("d2"))
-    wedges = first.join(second, ["trace_id", "src"]).where(F.col("d1") < F.col("d2"))
-    closing = towards.select(
-        "trace_id", F.col("src").alias("n1"), F.col("dst.node").alias("n2")
+def _sides(edges: DataFrame) -> DataFrame:
+    """Both ends of every undirected edge: (trace_id, a, b, node, i, k), node being a or b.
+
+    ``i`` tells whether an edge leads to this node from the other end, ``k`` whether the
+    ends differ. The explicit exchange is where all readers of the edges meet: they share
+    its output, so the ordered pass over the requests runs once. Self-loops stay in until
+    later, because a filter here would sink below the exchange in one reader only.
+    """
+    a, b = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
+    undirected = (
+        edges.select("trace_id", "from_id", "to_id", a.alias("a"), b.alias("b"))
+        .groupBy("trace_id", "a", "b")
+        .agg(
+            F.max(((F.col("to_id") == F.col("a")) & (F.col("a") != F.col("b"))).cast("int"))
+            .alias("into_a"),
+            F.max(((F.col("to_id") == F.col("b")) & (F.col("a") != F.col("b"))).cast("int"))
+            .alias("into_b"),
+        )
+        .repartition("trace_id", "a", "b")
     )
+    differ = (F.col("a") != F.col("b")).cast("int").alias("k")
+    return undirected.select("trace_id", "a", "b", F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.col("into_a").alias("i"), differ),
+        F.struct(F.col("b").alias("node"), F.col("into_b").alias("i"), differ),
+    )))
+
+
+def _triangle_corners(sides: DataFrame) -> DataFrame:
+    """One row per corner of every triangle.
+
+    Each edge is turned towards its end of higher degree, so a node opens pairs only over
+    its few edges to higher nodes and a hub opens none over its many edges from lower ones.
+    """
+    degree = sides.groupBy("trace_id", "node").agg(F.sum("k").alias("k"))
+    end = F.struct("k", "node")
+    turned = sides.drop("i", "k").join(degree, ["trace_id", "node"]).groupBy("trace_id", "a", "b").agg(
+        F.min(end).alias("low"), F.max(end).alias("high")
+    )
+    turned = turned.where(F.col("low.node") != F.col("high.node")).select(
+        "trace_id", F.col("low.node").alias("src"), "high"
+    )
+    first = turned.select("trace_id", "src", F.col("high").alias("h1"))
+    second = turned.select("trace_id", "src", F.col("high").alias("h2"))
+    wedges = first.join(second, ["trace_id", "src"]).where(F.col("h1") < F.col("h2"))
+    closing = turned.select("trace_id", F.col("src").alias("n1"), F.col("high.node").alias("n2"))
     triangles = wedges.select(
-        "trace_id", "src", F.col("d1.node").alias("n1"), F.col("d2.node").alias("n2")
+        "trace_id", "src", F.col("h1.node").alias("n1"), F.col("h2.node").alias("n2")
     ).join(closing, ["trace_id", "n1", "n2"])
-    per_node = (
-        triangles.select("trace_id", F.explode(F.array("src", "n1", "n2")).alias("node_id"))
-        .groupBy("trace_id", "node_id")
-        .agg(F.count(F.lit(1)).alias("t"))
-    )
-    return (
-        degree.where(F.col("k") > 1)
-        .join(per_node, ["trace_id", "node_id"], "left")
-        .select(
-            "trace_id", "node_id",
-            (2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1)))
-            .alias("clustering"),
-        )
-    )
+    return triangles.select("trace_id", F.explode(F.array("src", "n1", "n2")).alias("node_id"))
 
 
 def label_graphs(graphs: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -190,8 +188,13 @@ def label_graphs(graphs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def weighted_pairs(edges: DataFrame) -> DataFrame:
-    """Distinct (from, to) per graph with the number of parallel edges ``n``."""
-    return edges.groupBy("trace_id", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
+    """Distinct (from, to) per graph with the number of parallel edges ``n``.
+
+    The exchange lets all readers of the pairs share one ordered pass over the requests,
+    and spreads a large graph over many tasks.
+    """
+    counted = edges.groupBy("trace_id", "from_id", "to_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.repartition("trace_id", "from_id", "to_id")
 
 
 def gcn_propagate(nodes: DataFrame, edges: DataFrame, value: str = "x") -> DataFrame:
@@ -200,7 +203,7 @@ def gcn_propagate(nodes: DataFrame, edges: DataFrame, value: str = "x") -> DataF
     Every node has exactly one self-loop; parallel edges add; a message goes from ->
     to, scaled by 1/sqrt(d_from * d_to), d being the in-degree with the self-loop.
     """
-    pairs = weighted_pairs(edges.where(F.col("from_id") != F.col("to_id")))
+    pairs = weighted_pairs(edges).where(F.col("from_id") != F.col("to_id"))
     in_degree = pairs.groupBy("trace_id", F.col("to_id").alias("node_id")).agg(
         F.sum("n").alias("n_in")
     )

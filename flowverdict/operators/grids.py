@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fusion as fu
 from .metrics import confusion, with_ratios
@@ -55,19 +55,14 @@ def cross_with_grid(scores: DataFrame, params: DataFrame) -> DataFrame:
     return scores.crossJoin(F.broadcast(params))
 
 
-def _predicted(fused: Column) -> Column:
-    return fused["verdict"]
-
-
 def search_fixed(scores: DataFrame, by=("gcn_layers",), alphas=FIXED_ALPHAS) -> DataFrame:
     """Metrics of every (group, alpha). ``scores``: by, rf_prob, gcn_prob, y.
 
     The alphas of a row are judged inside the row and only positives are counted, so the
     table is read once and shuffled as one array of counts per group.
     """
-    rf, gcn = F.col("rf_prob"), F.col("gcn_prob")
     hits = [
-        F.sum(_predicted(fu.fuse_fixed(rf, gcn, a)).cast("long")).alias(f"_p{i}")
+        F.expr(f"count_if({a!r}D * rf_prob + (1D - {a!r}D) * gcn_prob > 0.5D)").alias(f"_p{i}")
         for i, a in enumerate(alphas)
     ]
     counts = scores.where(F.col("y").isin(0, 1)).groupBy(*by, "y").agg(

@@ -14,6 +14,12 @@ MAX_HOT_KEYS = 1024
 HOT_ROWS = 2_000_000
 MAX_SLICES = 4096
 SAMPLES_PER_SLICE = 64
+SMALL_INPUT = 32 << 20  # estimated bytes below which no group can trouble a task
+
+
+def _is_small(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) < SMALL_INPUT
 
 
 def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> list:
@@ -109,7 +115,8 @@ def in_order(
     if whole:
         key = ["_all"]
         df = df.withColumn("_all", F.lit(0))
-    hot = [] if df.isStreaming else hot_keys(df, key, hot_rows)
+    skip = df.isStreaming or (hot_rows >= HOT_ROWS and _is_small(df))
+    hot = [] if skip else hot_keys(df, key, hot_rows)
 
     def local(frame, group):
         w = Window.partitionBy(*group).orderBy(*order)
