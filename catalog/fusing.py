@@ -398,7 +398,41 @@ def search_strategy2(spark, folder):
     return rounded(out.drop("alpha"))
 
 
-@query("search_dual", _search_sql(grids.DUAL, _WG, _TG))
+_GRID1 = " CROSS JOIN ".join(_unnest(n, v) for n, v in grids.STRATEGY1.items())
+_NAMES1 = ", ".join(grids.STRATEGY1)
+
+
+def _side_sql(kind, threshold, extra, shifts):
+    """Counts of the rows of one kind per (strategy 1 cell, shift)."""
+    return f"""
+        SELECT {_NAMES1}{extra}, {_counts('(w * rf + (1.0::DOUBLE - w) * gcn > th)::INTEGER')}
+        FROM (SELECT *, {threshold} AS th FROM (
+            SELECT {_NAMES1}, y, rf, gcn, hard_rf, hard_gcn, {_WG} AS w
+            FROM judged CROSS JOIN {_GRID1} WHERE {kind}) {shifts})
+        GROUP BY {_NAMES1}{extra}"""
+
+
+@query("search_dual", sql(
+    f"""SELECT row_number() OVER (ORDER BY {', '.join('i_' + n for n in grids.DUAL)}) - 1 AS cell,
+               {', '.join(grids.DUAL)}, tn, fp, fn, tp, {_RATIOS}
+        FROM (SELECT c.* EXCLUDE ({_NAMES1}), {', '.join(grids.DUAL)}, i_threshold_adjust_rf,
+                     i_threshold_adjust_gcn, a.tn + r.tn + g.tn AS tn, a.fp + r.fp + g.fp AS fp,
+                     a.fn + r.fn + g.fn AS fn, a.tp + r.tp + g.tp AS tp
+              FROM (SELECT * FROM {_GRID1}) c
+              CROSS JOIN {_unnest('threshold_adjust_rf', grids.RF_SHIFTS)}
+              CROSS JOIN {_unnest('threshold_adjust_gcn', grids.GCN_SHIFTS)}
+              JOIN agreed a USING ({_NAMES1})
+              JOIN by_rf r USING ({_NAMES1}, threshold_adjust_rf)
+              JOIN by_gcn g USING ({_NAMES1}, threshold_adjust_gcn))""",
+    agreed=_side_sql("hard_rf = hard_gcn", "0.5::DOUBLE", "", ""),
+    by_rf=_side_sql("hard_rf > hard_gcn",
+                    "greatest(0.1::DOUBLE, least(0.9::DOUBLE, 0.5::DOUBLE + threshold_adjust_rf))",
+                    ", threshold_adjust_rf",
+                    "CROSS JOIN " + _unnest("threshold_adjust_rf", grids.RF_SHIFTS)),
+    by_gcn=_side_sql("hard_rf < hard_gcn",
+                     "greatest(0.1::DOUBLE, least(0.9::DOUBLE, 0.5::DOUBLE - threshold_adjust_gcn))",
+                     ", threshold_adjust_gcn",
+                     "CROSS JOIN " + _unnest("threshold_adjust_gcn", grids.GCN_SHIFTS))))
 def search_dual(spark, folder):
     """All 57,600 cells."""
     return rounded(grids.search_dual(t.scores(spark, folder)))

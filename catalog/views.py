@@ -138,7 +138,7 @@ VIEWS = {
                'Task ' || a.event_type AS task_name, p.event_time, a.event_type
         FROM adaptive a JOIN packets p ON p.pkt_no = a.event_id""",
     "raw_http": """
-        SELECT split_part(host, '.', -2) AS trace_id, page_id AS pkt_no, host, path,
+        SELECT host AS trace_id, page_id AS pkt_no, host, path,
                CASE WHEN page_id % 7 = 0 THEN 'get' WHEN page_id % 7 = 1 THEN 'POST'
                     WHEN page_id % 7 = 2 THEN 'CONNECT' ELSE 'GET' END AS verb,
                page_id, html

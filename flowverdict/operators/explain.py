@@ -143,10 +143,12 @@ def edge_threshold(
         index="_i", hot_rows=hot_rows,
     ).join(n, "trace_id")
     place = (F.col("_n") - 1) * F.lit(share)
-    low, part = F.floor(place), place - F.floor(place)
-    at = F.when(F.col("_i") == low, 1.0 - part).when(F.col("_i") == low + 1, part)
-    return ranked.where(at.isNotNull()).groupBy("trace_id").agg(
-        F.sum(F.col("importance") * at).alias("threshold")
+    ends = ranked.where(F.col("_i").between(F.floor(place), F.floor(place) + 1))
+    part = F.max(place - F.floor(place))
+    low, high = F.min("importance"), F.max("importance")
+    return ends.groupBy("trace_id").agg(
+        F.when(part >= 0.5, high - (high - low) * (1.0 - part))
+        .otherwise(low + (high - low) * part).alias("threshold")
     )
 
 

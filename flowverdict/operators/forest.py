@@ -79,6 +79,7 @@ def search_forest(train: DataFrame, val: DataFrame, grid=None, seed: int = SEED)
     """
     grid = grid or FOREST_GRID
     spark = train.sparkSession
+    train, val = checkpointed(train.select("x", "y")), checkpointed(val.select("x", "y"))
     numbers = {k: v for k, v in grid.items() if k != "max_features"}
     cells = [
         (*(r[n] for n in numbers), f)

@@ -23,17 +23,17 @@ def initial_gate(widths: list[int], seed: int = 42) -> list[tuple[np.ndarray, np
     return out
 
 
+def _units(values: Column, w: np.ndarray, b: np.ndarray) -> Column:
+    return F.zip_with(literal(w.T), literal(b), lambda column, bias: bias + dot(values, column))
+
+
 def gate_alpha(rf: Column, gcn: Column, gate) -> Column:
     """The net as array expressions on literal weights: ReLU layers, then a sigmoid."""
     values = gate_inputs(rf, gcn, gate[0][0].shape[0])
-    for i, (w, b) in enumerate(gate):
-        last = i == len(gate) - 1
-
-        def unit(column, bias, values=values, last=last):
-            total = bias + dot(values, column)
-            return total if last else F.greatest(F.lit(0.0), total)
-
-        values = F.zip_with(literal(w.T), literal(b), unit)
+    for w, b in gate[:-1]:
+        sums = _units(values, w, b)
+        values = F.transform(sums, lambda v: F.greatest(F.lit(0.0), v))
+    values = _units(values, *gate[-1])
     return 1.0 / (1.0 + F.exp(-F.get(values, F.lit(0))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -19,3 +20,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new folder for the files of one job, on the checkpoint storage of the session."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+            known = context._jsc.sc().getCheckpointDir()
+        folder = known.get()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

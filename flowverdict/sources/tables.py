@@ -119,7 +119,7 @@ def raw_http(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\r\n"),
     )
     return table(spark, folder, "pages").select(
-        F.split_part(host, F.lit("."), F.lit(-2)).alias("trace_id"),
+        host.alias("trace_id"),
         page.alias("pkt_no"),
         page.cast("double").alias("ts"),
         text.alias("text"),
