@@ -90,23 +90,23 @@ def fuse_fixed(rf: Column, gcn: Column, alpha=PRODUCTION_FIXED_ALPHA) -> Column:
     return _result(rf, gcn, _col(alpha), F.lit(0.5), F.lit("fixed"))
 
 
-def weight_source(rf: Column, gcn: Column, conf_threshold) -> Column:
-    """Which weight a disagreeing pair takes: ``high``, ``low`` or ``alpha``."""
+def weight_choice(rf_confidence: Column, gcn_confidence: Column, conf_threshold) -> Column:
+    """Which weight a disagreeing pair takes: 0 alpha, 1 the high one, 2 the low one."""
     limit = _col(conf_threshold)
-    rf_sure, gcn_sure = confidence(rf) > limit, confidence(gcn) > limit
+    rf_sure, gcn_sure = rf_confidence > limit, gcn_confidence > limit
     return (
-        F.when(rf_sure & (~gcn_sure | (confidence(rf) > confidence(gcn))), "high")
-        .when(gcn_sure, "low")
-        .otherwise("alpha")
+        F.when(rf_sure & (~gcn_sure | (rf_confidence > gcn_confidence)), 1)
+        .when(gcn_sure, 2)
+        .otherwise(0)
     )
 
 
 def _confidence_weight(rf, gcn, alpha, conf_threshold, weight_high_conf, weight_low_conf):
-    source = weight_source(rf, gcn, conf_threshold)
+    choice = weight_choice(confidence(rf), confidence(gcn), conf_threshold)
     return (
         F.when(hard(rf) == hard(gcn), _col(alpha))
-        .when(source == "high", _col(weight_high_conf))
-        .when(source == "low", _col(weight_low_conf))
+        .when(choice == 1, _col(weight_high_conf))
+        .when(choice == 2, _col(weight_low_conf))
         .otherwise(_col(alpha))
     )
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fusion import gate_inputs, weighted
-from .gcn import Adam, dot, literal, summed
+from ..functions.fusion import confidence, weighted
+from ..schemas import c
+from .gcn import Adam, summed
 
 # Layer widths of the plain nets and the training settings.
 NETS = {"small": [4, 16, 8, 1], "extended": [6, 16, 8, 1], "deep": [6, 32, 64, 32, 16, 1]}
@@ -23,27 +24,44 @@ def initial_gate(widths: list[int], seed: int = 42) -> list[tuple[np.ndarray, np
     return out
 
 
-def _units(values: Column, w: np.ndarray, b: np.ndarray) -> Column:
-    return F.zip_with(literal(w.T), literal(b), lambda column, bias: bias + dot(values, column))
-
+def score_gate(df: DataFrame, gate, rf: str = "rf_prob", gcn: str = "gcn_prob") -> DataFrame:
+    """Add ``alpha``, the fused ``gate_prob`` and its verdict.
 
-def gate_alpha(rf: Column, gcn: Column, gate) -> Column:
-    """The net as array expressions on literal weights: ReLU layers, then a sigmoid."""
-    values = gate_inputs(rf, gcn, gate[0][0].shape[0])
-    for w, b in gate[:-1]:
-        sums = _units(values, w, b)
-        values = F.transform(sums, lambda v: F.greatest(F.lit(0.0), v))
-    values = _units(values, *gate[-1])
-    return 1.0 / (1.0 + F.exp(-F.get(values, F.lit(0))))
+    Every unit is a column of sums on literal weights and every layer a projection, so the
+    whole net is generated code.
+    """
+    width = gate[0][0].shape[0]
+    # NULLs become NaN on the way through: columns that cannot be NULL make small code.
+    sure = [F.coalesce(F.col(n), F.lit(float("nan"))).alias(f"_p{i}")
+            for i, n in enumerate((rf, gcn))]
+    names = [c(n) for n in df.columns]
+    p0, p1 = F.col("_p0"), F.col("_p1")
+    inputs = [p0, p1, confidence(p0), confidence(p1), p0 * p1, F.abs(p0 - p1)][:width]
+    out = df.select(*names, *sure).select(
+        *names, *sure_names(2), *[v.alias(f"_u{i}") for i, v in enumerate(inputs)])
+    for k, (w, b) in enumerate(gate, 1):
+        sums = [
+            F.expr(f"{float(b[o])!r}D" + "".join(
+                f" + {float(v)!r}D * _u{i}" for i, v in enumerate(w[:, o]))).alias(f"_u{o}")
+            for o in range(w.shape[1])
+        ]
+        out = out.select(*names, *sure_names(2), *sums)
+        if k < len(gate):
+            out = out.select(*names, *sure_names(2), *[
+                F.expr(f"if(_u{o} > 0D, _u{o}, 0D)").alias(f"_u{o}") for o in range(w.shape[1])])
+    alpha = 1.0 / (1.0 + F.exp(-F.col("_u0")))
+    out = out.select(*names, *sure_names(2), alpha.alias("alpha"))
+    out = out.withColumn("gate_prob", weighted(p0, p1, F.col("alpha")))
+    return out.select(
+        *names,
+        *[F.when(~F.isnan("gate_prob"), F.col(n)).alias(n) for n in ("alpha", "gate_prob")],
+        F.when(~F.isnan("gate_prob"), (F.col("gate_prob") > 0.5).cast("int"))
+        .alias("gate_verdict"),
+    )
 
 
-def score_gate(df: DataFrame, gate, rf: str = "rf_prob", gcn: str = "gcn_prob") -> DataFrame:
-    """Add ``alpha``, the fused ``gate_prob`` and its verdict."""
-    out = df.withColumn("alpha", gate_alpha(F.col(rf), F.col(gcn), gate))
-    prob = weighted(F.col(rf), F.col(gcn), F.col("alpha"))
-    return out.withColumn("gate_prob", prob).withColumn(
-        "gate_verdict", (F.col("gate_prob") > 0.5).cast("int")
-    )
+def sure_names(n: int) -> list[str]:
+    return [f"_p{i}" for i in range(n)]
 
 
 def _inputs(rf, gcn, width):

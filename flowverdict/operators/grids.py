@@ -1,21 +1,22 @@
 """Searches over fusion parameters: every cell of a grid in one job.
 
 The cell verdicts of one row depend on few parameters at a time. A row where both models
-agree depends on ``alpha`` alone; a row where they disagree takes one of three weights,
-chosen by its confidences, and one threshold shift. So the searches count verdicts per
-(kind of row, confidence limit, weight, shift) and add the few counts up per cell. A
-57,600-cell search evaluates about 1,300 part cells, and the rows never meet the grid.
+agree depends on ``alpha`` alone. A row where they disagree takes one of three weights,
+chosen by its confidences, and its fused probability is then compared with a ladder of
+shifted thresholds; how many rungs it passes says all about that parameter. So the rows
+are counted per (kind of row, confidence limit, weight, rungs), and the few counts are
+added up per cell. The rows never meet the grid.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fusion as fu
-from .metrics import confusion, with_ratios
+from .metrics import with_ratios
+from .ordering import is_small
 
 # The search spaces, in loop order.
 ALPHAS = [0.20, 0.25, 0.30, 0.33, 0.35, 0.40, 0.45, 0.50]
@@ -34,7 +35,9 @@ STRATEGY2 = {"threshold_adjust_rf": RF_SHIFTS, "threshold_adjust_gcn": GCN_SHIFT
 DUAL = STRATEGY1 | STRATEGY2
 
 
-def parameter_grid(spark, space: dict[str, list[float]]) -> DataFrame:
+def parameter_grid(
+    spark, space: dict[str, list[float]], positions: bool = False
+) -> DataFrame:
     """All combinations in loop order, numbered by ``cell`` from 0.
 
     Built from ``range``, so a large grid is made in parallel on the executors.
@@ -47,6 +50,8 @@ def parameter_grid(spark, space: dict[str, list[float]]) -> DataFrame:
         position = F.pmod(F.floor(F.col("cell") / block), F.lit(len(values))).cast("int")
         literal = F.array(*[F.lit(float(v)) for v in values])
         out = out.withColumn(name, F.get(literal, position))
+        if positions:
+            out = out.withColumn(f"_{name}", position)
     return out
 
 
@@ -55,121 +60,156 @@ def cross_with_grid(scores: DataFrame, params: DataFrame) -> DataFrame:
     return scores.crossJoin(F.broadcast(params))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Small tables over all cores: a single small file would be read by a single task, and
+    every row is about to be judged hundreds of times. Large tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if is_small(df) else df
+
+
+FIXED_SLOTS = 10  # alphas judged per row and pass: keeps the generated method small
+
+
 def search_fixed(scores: DataFrame, by=("gcn_layers",), alphas=FIXED_ALPHAS) -> DataFrame:
     """Metrics of every (group, alpha). ``scores``: by, rf_prob, gcn_prob, y.
 
-    The alphas of a row are judged inside the row and only positives are counted, so the
-    table is read once and shuffled as one array of counts per group.
+    Each row meets the alphas ten at a time and only counts its positives, so the table is
+    read once and shuffled as a few rows of counts per group.
     """
-    hits = [
-        F.expr(f"count_if({a!r}D * rf_prob + (1D - {a!r}D) * gcn_prob > 0.5D)").alias(f"_p{i}")
-        for i, a in enumerate(alphas)
-    ]
-    counts = scores.where(F.col("y").isin(0, 1)).groupBy(*by, "y").agg(
-        F.count(F.lit(1)).alias("_n"), *hits
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).cast("long").alias("i"), F.lit(float(a)).alias("alpha"),
-                     F.col(f"_p{i}").alias("p"))
-            for i, a in enumerate(alphas)
-        ]
+    alphas = [float(a) for a in alphas]
+    slots = range(min(FIXED_SLOTS, len(alphas)))
+    parts = [alphas[i : i + len(slots)] for i in range(0, len(alphas), len(slots))]
+    parts[-1] += [float("nan")] * (len(slots) - len(parts[-1]))
+    table = F.array(*[
+        F.struct(F.lit(i).alias("_part"), *[F.lit(p[k]).alias(f"_a{k}") for k in slots])
+        for i, p in enumerate(parts)
+    ])
+    rows = spread(scores.where(
+        F.col("y").isin(0, 1) & F.col("rf_prob").isNotNull() & F.col("gcn_prob").isNotNull()
+    )).select(*by, "y", "rf_prob", "gcn_prob", F.inline(table))
+    rf, gcn = F.col("rf_prob"), F.col("gcn_prob")
+    counts = rows.groupBy(*by, "y", "_part").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.first(f"_a{k}").alias(f"_a{k}") for k in slots],
+        *[F.count_if(fu.weighted(rf, gcn, F.col(f"_a{k}")) > 0.5).alias(f"_p{k}") for k in slots],
     )
-    rows = counts.select(*by, "y", "_n", F.inline(cells))
+    cells = counts.select(*by, "y", "_n", F.inline(F.array(*[
+        F.struct(F.col(f"_a{k}").alias("alpha"), F.col(f"_p{k}").alias("p")) for k in slots
+    ]))).where(~F.isnan("alpha"))
 
     def total(y, col, name):
         return F.coalesce(F.sum(F.when(F.col("y") == y, col)), F.lit(0)).alias(name)
 
     negative = F.col("_n") - F.col("p")
-    out = rows.groupBy(*by, "i", "alpha").agg(
+    return with_ratios(cells.groupBy(*by, "alpha").agg(
         total(0, negative, "tn"), total(0, F.col("p"), "fp"),
         total(1, negative, "fn"), total(1, F.col("p"), "tp"),
+    ))
+
+
+AGREE, RF_ALONE, GCN_ALONE = 0, 1, 2
+# In the order of ``fusion.weight_choice``.
+SOURCES = ["alpha", "weight_high_conf", "weight_low_conf"]
+
+
+def _rungs(fused, kind, space):
+    """How many of the thresholds of its kind a fused probability exceeds."""
+    def passed(name, sign):
+        limits = [F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.lit(0.5) + F.lit(sign * float(v))))
+                  for v in space.get(name, [0.0])]
+        return reduce(lambda a, b: a + b, [(fused > x).cast("int") for x in limits])
+
+    return (
+        F.when(kind == AGREE, (fused > 0.5).cast("int"))
+        .when(kind == RF_ALONE, passed("threshold_adjust_rf", 1))
+        .otherwise(passed("threshold_adjust_gcn", -1))
     )
-    return with_ratios(out.drop("i"))
-
-
-def _part_cells(spark, space, fixed_alpha):
-    """Part cells ``(kind, source, conf, weight, shift)`` as a table of fixed size."""
-    confs = space.get("conf_threshold", [None])
-    alphas = space.get("alpha", [fixed_alpha])
-    rf_shifts = space.get("threshold_adjust_rf", [0.0])
-    gcn_shifts = space.get("threshold_adjust_gcn", [0.0])
-    rows = [("agree", "alpha", -1.0, float(a), 0.0) for a in alphas]
-    sources = {"alpha": alphas}
-    if confs != [None]:
-        sources |= {"high": space["weight_high_conf"], "low": space["weight_low_conf"]}
-    for kind, shifts in (("rf", rf_shifts), ("gcn", gcn_shifts)):
-        for conf in confs:
-            for source, weights in sources.items():
-                for w, s in product(weights, shifts):
-                    rows.append(
-                        (kind, source, -1.0 if conf is None else float(conf), float(w), float(s))
-                    )
-    schema = "kind string, source string, conf double, weight double, shift double"
-    return spark.createDataFrame(rows, schema)
 
 
 def search_cells(
     scores: DataFrame, space: dict[str, list[float]], fixed_alpha: float = 0.0
 ) -> DataFrame:
-    """Metrics of every cell of strategy 1, strategy 2 or both (the keys of ``space``)."""
+    """Metrics of every cell of strategy 1, strategy 2 or both (the keys of ``space``).
+
+    The threshold shifts must be given in ascending order.
+    """
     spark = scores.sparkSession
     rf, gcn = F.col("rf_prob"), F.col("gcn_prob")
-    rows = scores.where(F.col("y").isin(0, 1)).select("rf_prob", "gcn_prob", "y")
+    confs = space.get("conf_threshold", [])
+    weights = {
+        i: [float(v) for v in space[n]] if n in space else [float(fixed_alpha)]
+        for i, n in enumerate(SOURCES) if n in space or i == 0
+    }
     kind = (
-        F.when(fu.hard(rf) == fu.hard(gcn), "agree")
-        .when(fu.hard(rf) > fu.hard(gcn), "rf")
-        .otherwise("gcn")
-    )
-    rows = rows.withColumn("kind", kind)
-    choices = [
-        F.struct(F.lit(float(t)).alias("conf"), fu.weight_source(rf, gcn, t).alias("source"))
-        for t in space.get("conf_threshold", [])
-    ] or [F.struct(F.lit(-1.0).alias("conf"), F.lit("alpha").alias("source"))]
-    agreed = F.array(F.struct(F.lit(-1.0).alias("conf"), F.lit("alpha").alias("source")))
-    rows = rows.select(
-        "rf_prob", "gcn_prob", "y", "kind",
-        F.inline(F.when(F.col("kind") == "agree", agreed).otherwise(F.array(*choices))),
+        F.when(fu.hard(rf) == fu.hard(gcn), AGREE).when(fu.hard(rf) > fu.hard(gcn), RF_ALONE)
+        .otherwise(GCN_ALONE)
     )
-    parts = F.broadcast(_part_cells(spark, space, fixed_alpha))  # fixed size: the grid's
-    shift = F.col("shift")
-    threshold = fu.shifted_threshold(rf, gcn, shift, shift)
-    verdict = (fu.weighted(rf, gcn, F.col("weight")) > threshold).cast("int")
+    rows = spread(scores.where(F.col("y").isin(0, 1) & rf.isNotNull() & gcn.isNotNull())).select(
+        "rf_prob", "gcn_prob", "y", kind.alias("kind"),
+        fu.confidence(rf).alias("sure_rf"), fu.confidence(gcn).alias("sure_gcn"))
+
+    def choice(position, source):
+        return F.struct(F.lit(position).alias("conf"), source.alias("source"))
+
+    choices = [choice(0, F.lit(0))]
+    if confs:
+        sure = F.col("sure_rf"), F.col("sure_gcn")
+        choices = [choice(i, fu.weight_choice(*sure, x)) for i, x in enumerate(confs)]
+    rows = rows.select("rf_prob", "gcn_prob", "y", "kind", F.inline(
+        F.when(F.col("kind") == AGREE, F.array(choice(0, F.lit(0)))).otherwise(F.array(*choices))
+    ))
+    entries = [(source, i, w) for source, values in weights.items() for i, w in enumerate(values)]
+    table = spark.createDataFrame(entries, "source int, place int, weight double")
+    fused = fu.weighted(rf, gcn, F.col("weight"))
     counts = (
-        rows.join(parts, ["kind", "source", "conf"])
-        .groupBy("kind", "source", "conf", "weight", "shift")
-        .agg(*confusion(F.col("y"), verdict))
+        rows.join(F.broadcast(table), "source")  # as many rows as the grid has weights
+        .withColumn("rungs", _rungs(fused, F.col("kind"), space))
+        .groupBy("kind", "source", "conf", "place", "rungs")
+        .agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
     )
 
-    grid = parameter_grid(spark, space)
-    if "alpha" not in space:
-        grid = grid.withColumn("alpha", F.lit(float(fixed_alpha)))
-    conf = F.col("conf_threshold") if "conf_threshold" in space else F.lit(-1.0)
-    shifts = {
-        "agree": F.lit(0.0),
-        "rf": F.col("threshold_adjust_rf") if "threshold_adjust_rf" in space else F.lit(0.0),
-        "gcn": F.col("threshold_adjust_gcn") if "threshold_adjust_gcn" in space else F.lit(0.0),
-    }
-    weights = {"alpha": F.col("alpha")}
-    if "conf_threshold" in space:
-        weights |= {"high": F.col("weight_high_conf"), "low": F.col("weight_low_conf")}
+    # From rungs to the positions of the shifts: raising the forest's threshold loses the
+    # higher rungs first, lowering the graph net's gains them last.
+    n_rf = len(space.get("threshold_adjust_rf", [0]))
+    n_gcn = len(space.get("threshold_adjust_gcn", [0]))
+    shifts = F.when(F.col("kind") == RF_ALONE, n_rf).when(F.col("kind") == GCN_ALONE, n_gcn)
+    by_shift = counts.withColumn("shift", F.explode(F.sequence(
+        F.lit(0), F.coalesce(shifts, F.lit(1)) - 1)))
+    hit = F.when(F.col("kind") == GCN_ALONE, F.col("shift") >= n_gcn - F.col("rungs")).otherwise(
+        F.col("shift") < F.col("rungs"))
+    part = by_shift.groupBy("kind", "source", "conf", "place", "shift").agg(
+        F.sum(F.when(~hit, F.col("n0")).otherwise(0)).alias("tn"),
+        F.sum(F.when(hit, F.col("n0")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("n1")).otherwise(0)).alias("fn"),
+        F.sum(F.when(hit, F.col("n1")).otherwise(0)).alias("tp"),
+    )
+
+    grid = parameter_grid(spark, space, positions=True)
+
+    def at(name):
+        return F.col(f"_{name}") if name in space else F.lit(0)
 
     def key(kind, source):
+        shift = {AGREE: F.lit(0), RF_ALONE: at("threshold_adjust_rf"),
+                 GCN_ALONE: at("threshold_adjust_gcn")}[kind]
         return F.struct(
             F.lit(kind).alias("kind"), F.lit(source).alias("source"),
-            (F.lit(-1.0) if kind == "agree" else conf).alias("conf"),
-            weights[source].alias("weight"), shifts[kind].alias("shift"),
+            (F.lit(0) if kind == AGREE else at("conf_threshold")).alias("conf"),
+            at(SOURCES[source]).alias("place"), shift.alias("shift"),
         )
 
-    needed = [key("agree", "alpha")] + [key(k, s) for k in ("rf", "gcn") for s in weights]
-    # The counts are one row per part cell, so the grid stays in place while they travel.
-    wide = grid.select(*grid.columns, F.inline(F.array(*needed)))
+    needed = [key(AGREE, 0)] + [key(k, s) for k in (RF_ALONE, GCN_ALONE) for s in weights]
+    names = ["cell", *space]
+    wide = grid.select(*names, F.inline(F.array(*needed)))
+    # One row per part cell, so these counts travel and the grid stays in place.
     cells = (
-        wide.join(F.broadcast(counts), ["kind", "source", "conf", "weight", "shift"], "left")
-        .groupBy(*grid.columns)
+        wide.join(F.broadcast(part), ["kind", "source", "conf", "place", "shift"], "left")
+        .groupBy(*names)
         .agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n)
                for n in ("tn", "fp", "fn", "tp")])
     )
+    if "alpha" not in space:
+        cells = cells.withColumn("alpha", F.lit(float(fixed_alpha)))
     return with_ratios(cells)
 
 

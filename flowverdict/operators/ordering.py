@@ -17,7 +17,8 @@ SAMPLES_PER_SLICE = 64
 SMALL_INPUT = 32 << 20  # estimated bytes below which no group can trouble a task
 
 
-def _is_small(df: DataFrame) -> bool:
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner's size estimate is small; nothing runs for the answer."""
     plan = df._jdf.queryExecution().optimizedPlan()
     return int(str(plan.stats().sizeInBytes())) < SMALL_INPUT
 
@@ -115,7 +116,7 @@ def in_order(
     if whole:
         key = ["_all"]
         df = df.withColumn("_all", F.lit(0))
-    skip = df.isStreaming or (hot_rows >= HOT_ROWS and _is_small(df))
+    skip = df.isStreaming or (hot_rows >= HOT_ROWS and is_small(df))
     hot = [] if skip else hot_keys(df, key, hot_rows)
 
     def local(frame, group):
