@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.records import fill_missing, label
+from ..schemas import MODEL_INPUT, c
 from .grids import parameter_grid
 from .lineage import checkpointed
 from .metrics import classification_metrics, pick_best
@@ -47,6 +48,7 @@ def fit_forest(
 def train_forest(labelled: DataFrame, balance: bool = True, **forest) -> ForestScorer:
     """Prepare, balance and fit. ``labelled``: _id, feature columns, classification."""
     rows = fill_missing(labelled).withColumn("y", label(F.col("classification")))
+    rows = checkpointed(rows.select("_id", *[c(n) for n in MODEL_INPUT], "y"))
     preparation = fit_preparation(rows)
     x = checkpointed(preparation.apply(rows).select("_id", "x", "y"))
     return ForestScorer(preparation, fit_forest(smote(x) if balance else x, **forest))

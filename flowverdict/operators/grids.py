@@ -56,8 +56,15 @@ def parameter_grid(
 
 
 def cross_with_grid(scores: DataFrame, params: DataFrame) -> DataFrame:
-    """Every row with every parameter cell; ``params`` is a small, fixed grid."""
-    return scores.crossJoin(F.broadcast(params))
+    """Every row with every cell of a grid (column ``cell`` from 0, as ``parameter_grid``).
+
+    Rows are repeated by cell number and joined on it: an equi join, so the planner
+    broadcasts a small grid and shuffles by cell beyond that. The searches below do not
+    use it; they reach the same metrics without repeating rows.
+    """
+    cells = params.count()
+    repeated = scores.select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    return repeated.withColumn("cell", F.col("cell").cast("long")).join(params, "cell")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def pair_features_graphs(
     ``features`` has one row per ``_id`` (the first of the file) and the number of
     ``copies`` the file holds; ``graphs`` one row per ``_id``. With both, the common ids
     are taken; if there are none, every feature row is taken, copies included. With one
-    of them, its ids are taken. The choice is a one-row table inside the plan.
+    of them, its ids are taken. The choice is made by scalar subqueries inside the plan.
     """
     if features is None:
         return graphs.select("_id", F.coalesce("call_graph", _empty_graph()).alias("call_graph"))
@@ -30,13 +30,12 @@ def pair_features_graphs(
     known = graphs.select("_id", "call_graph", F.lit(True).alias("_known"))
     common = (
         features.select("_id").join(graphs.select("_id"), "_id", "left_semi")
-        .limit(1).agg(F.count(F.lit(1)).alias("_common"))
-    )
-    given = graphs.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias("_given"))
-    flags = common.crossJoin(F.broadcast(given))  # one row
-    joined = features.join(known, "_id", "left").crossJoin(F.broadcast(flags))
-    wanted = joined.where((F.col("_common") == 0) | F.col("_known"))
-    all_copies = (F.col("_common") == 0) & (F.col("_given") == 1)
+        .limit(1).agg(F.count(F.lit(1)))
+    ).scalar()
+    given = graphs.select("_id").limit(1).agg(F.count(F.lit(1))).scalar()
+    joined = features.join(known, "_id", "left")
+    wanted = joined.where((common == 0) | F.col("_known"))
+    all_copies = (common == 0) & (given == 1)
     repeat = F.when(all_copies, F.col(copies)).otherwise(F.lit(1)).cast("int")
     names = [n for n in features.columns if n != copies]
     return wanted.select(

@@ -61,16 +61,13 @@ def score_distribution(df: DataFrame, by: list[str], columns: list[str]) -> Data
 
 def run_stability(metrics: DataFrame, by: list[str], run: str, limit: float = 0.05) -> DataFrame:
     """Spread of f1 over repeated runs and the best run (smallest name on a tie)."""
-    first = metrics.groupBy(*by, "f1").agg(F.min(run).alias("_run"))
-    spread = metrics.groupBy(*by).agg(
+    return metrics.groupBy(*by).agg(
         F.avg("f1").alias("f1_mean"),
         F.stddev_pop("f1").alias("f1_std"),
         F.min("f1").alias("f1_min"),
         F.max("f1").alias("f1_max"),
-    )
-    best = first.groupBy(*by).agg(F.max_by("_run", "f1").alias("best_run"))
-    out = spread.join(best, by) if by else spread.crossJoin(F.broadcast(best))
-    return out.withColumn("stable", F.col("f1_std") <= limit)
+        F.min_by(run, F.struct(-F.col("f1"), F.col(run))).alias("best_run"),
+    ).withColumn("stable", F.col("f1_std") <= limit)
 
 
 def stage_latency(timings: DataFrame, stage: str = "stage", ms: str = "ms") -> DataFrame:
@@ -112,15 +109,13 @@ def best_per_category(metrics: DataFrame, baseline: str) -> DataFrame:
     best = ties.groupBy("category").agg(
         F.max("f1").alias("f1"), F.max_by("method", "f1").alias("method")
     )
-    base = metrics.where(F.col("method") == baseline).agg(F.max("f1").alias("base"))
-    top = best.agg(
-        F.min_by("method", F.struct(-F.col("f1"), F.col("method"))).alias("top")
-    )
-    return best.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(top)).select(
+    base = metrics.where(F.col("method") == baseline).agg(F.max("f1")).scalar()
+    top = best.agg(F.min_by("method", F.struct(-F.col("f1"), F.col("method")))).scalar()
+    return best.withColumn("_base", base).select(
         "category", "method", "f1",
-        F.when(F.col("base") != 0, (F.col("f1") - F.col("base")) / F.col("base") * 100.0)
+        F.when(F.col("_base") != 0, (F.col("f1") - F.col("_base")) / F.col("_base") * 100.0)
         .alias("gain_percent"),
-        (F.col("method") == F.col("top")).alias("overall_best"),
+        (F.col("method") == top).alias("overall_best"),
     )
 
 

@@ -71,6 +71,21 @@ def score_split(rows: DataFrame, forest: ForestScorer, nets: dict[int, object])
     return out.where(F.size("call_graph") > 0)
 
 
+def judge_methods(
+    val: DataFrame, test: DataFrame, forest: ForestScorer, nets: dict[int, object],
+    spaces=None, gate_epochs: int = gt.EPOCHS,
+) -> DataFrame:
+    """Choose the parameters of every method on ``val`` and judge them on ``test``."""
+    main = "gcn2" if 2 in nets else f"gcn{max(nets)}"
+    judged = [
+        score_split(x, forest, nets)
+        .select("rf_prob", *[f"gcn{d}" for d in nets], F.col(main).alias("gcn_prob"), "y")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+        for x in (val, test)
+    ]
+    return compare_scores(judged[1], fit_methods(judged[0], spaces, gate_epochs))
+
+
 def compare_methods(
     train: DataFrame, val: DataFrame, test: DataFrame, depths=(1, 2, 3), epochs: int = 10,
     hidden: int = 64, spaces=None, gate_epochs: int = gt.EPOCHS, **forest,
@@ -82,25 +97,24 @@ def compare_methods(
     """
     scorer = train_forest(train.drop("call_graph", "y"), **forest)
     nets = {d: fit_gcn(train, hidden=hidden, depth=d, epochs=epochs) for d in depths}
-    main = "gcn2" if 2 in nets else f"gcn{max(nets)}"
-    judged = {
-        n: score_split(x, scorer, nets)
-        .select("rf_prob", *[f"gcn{d}" for d in nets], F.col(main).alias("gcn_prob"), "y")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-        for n, x in (("val", val), ("test", test))
-    }
-    methods = fit_methods(judged["val"], spaces, gate_epochs)
-    metrics = compare_scores(judged["test"], methods)
+    metrics = judge_methods(val, test, scorer, nets, spaces, gate_epochs)
     return metrics, best_per_category(metrics, "rf")
 
 
 def sweep_epochs(
-    train: DataFrame, val: DataFrame, test: DataFrame, epochs: list[int], **settings
+    train: DataFrame, val: DataFrame, test: DataFrame, epochs: list[int], depths=(1, 2, 3),
+    hidden: int = 64, spaces=None, gate_epochs: int = gt.EPOCHS, **forest,
 ) -> DataFrame:
-    """``compare_methods`` for several epoch counts of the nets."""
+    """``compare_methods`` after several epoch counts: one forest, one run per net."""
+    scorer = train_forest(train.drop("call_graph", "y"), **forest)
+    runs = {
+        d: fit_gcn(train, hidden=hidden, depth=d, epochs=max(epochs), snapshots=list(epochs))
+        for d in depths
+    }
     out = None
     for n in epochs:
-        metrics, _ = compare_methods(train, val, test, epochs=n, **settings)
-        part = metrics.withColumn("epochs", F.lit(n))
+        nets = {d: kept[n] for d, kept in runs.items()}
+        part = judge_methods(val, test, scorer, nets, spaces, gate_epochs).withColumn(
+            "epochs", F.lit(n))
         out = part if out is None else out.unionByName(part)
     return out
