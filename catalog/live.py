@@ -128,5 +128,5 @@ def bad_messages(spark, folder):
     from flowverdict.sources.messages import split_bad_messages
 
     good, bad = split_bad_messages(messages(spark, folder))
-    return bad.agg(F.count("value").alias("bad")).crossJoin(
-        F.broadcast(good.agg(F.count(F.lit(1)).alias("good"))))  # one row each
+    return bad.agg(F.count("value").alias("bad")).withColumn(
+        "good", good.agg(F.count(F.lit(1))).scalar())

@@ -170,7 +170,11 @@ def sequence_timestamps(
 def task_summary(
     scored: DataFrame, skipped: DataFrame, tasks: DataFrame, task_key: str = "task_id"
 ) -> DataFrame:
-    """Counts and anomaly rate per task; a task without rows keeps zero counts."""
+    """Counts and anomaly rate per task; a task without rows keeps zero counts.
+
+    ``duration`` (ms) is added if the tasks carry start and end times. Tasks with a status,
+    such as FAILED, keep it; all others are COMPLETED.
+    """
     s = scored.select(task_key, F.lit(1).alias("r"), F.col("is_anomaly").alias("a"),
                       F.lit(0).alias("k"))
     k = skipped.select(task_key, F.lit(0).alias("r"), F.lit(0).alias("a"), F.lit(1).alias("k"))
@@ -182,14 +186,16 @@ def task_summary(
     out = tasks.join(counts, task_key, "left").fillna(
         0, ["record_count", "anomaly_count", "skipped_count"]
     )
-    return out.withColumns(
-        {
-            "anomaly_rate": F.when(
-                F.col("record_count") > 0, F.col("anomaly_count") / F.col("record_count")
-            ).otherwise(F.lit(0.0)),
-            "status": F.lit("COMPLETED"),
-        }
-    )
+    rate = F.when(
+        F.col("record_count") > 0, F.col("anomaly_count") / F.col("record_count")
+    ).otherwise(F.lit(0.0))
+    out = out.withColumn("anomaly_rate", rate)
+    if "start_time" in tasks.columns and "end_time" in tasks.columns:
+        spent = F.unix_millis("end_time") - F.unix_millis("start_time")
+        out = out.withColumn("duration", spent)
+    if "status" not in tasks.columns:
+        out = out.withColumn("status", F.lit("COMPLETED"))
+    return out
 
 
 def skipped_rows(validated: DataFrame, key: str = "_id") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fusion import fuse_with_fallback
-from ..functions.http import http_requests
+from ..functions.http import decode_payload, request_path
 from ..functions.records import (
     clean_features, features_to_json, graph_to_json, source_ip, task_trace_id, validate_features,
 )
@@ -16,8 +16,13 @@ from ..operators.forest import ForestScorer
 from ..operators.gcn import score_call_graphs, score_edges
 from ..operators.graph_batch import Weights
 from ..operators.joins import pair_features_graphs
+from ..operators.lineage import checkpointed
 from ..operators.ordering import HOT_ROWS
+from ..operators.results import (
+    REPORT_LIMIT, sequence_timestamps, tag_with_task, task_summary,
+)
 from ..schemas import CATEGORICAL, MODEL_INPUT, NUMERIC, TOPOLOGY, c
+from ..sources.files import append_task_results
 
 
 @dataclass
@@ -76,11 +81,35 @@ def detect_batch(
     ), skipped
 
 
+def task_report(scored: DataFrame, skipped: DataFrame, task: DataFrame) -> tuple:
+    """(summary row, first skipped rows) of a file task. ``task``: one row with ``task_id``
+    and, if known, ``start_time`` and ``end_time``."""
+    key = task.select("task_id").scalar()
+    marked = [df.withColumn("task_id", key) for df in (scored, skipped)]
+    return task_summary(*marked, task), skipped.orderBy("id", "reason").limit(REPORT_LIMIT)
+
+
+def store_task(scored: DataFrame, tasks: DataFrame, task: int, now: int, path: str) -> None:
+    """Append the records of a task to the stored verdicts, with its name and time stamps."""
+    named = tag_with_task(scored.withColumn("task_id", F.lit(task).cast("long")), tasks)
+    append_task_results(
+        sequence_timestamps(named, now, ["trace_id"]).drop("task_id"), path
+    )
+
+
 def capture_tables(packets: DataFrame, hot_rows: int = HOT_ROWS):
-    """Sessions, requests and edges of decoded packets."""
-    sessions = s.capture_sessions(packets)
-    requests = http_requests(packets)
-    return sessions, requests, g.call_edges(requests, hot_rows=hot_rows)
+    """Sessions, requests and edges of decoded packets.
+
+    Payloads are parsed once: what the features need, addresses, times and paths, is
+    written to the checkpoint folder, and all later passes read that slim table.
+    """
+    path = request_path(decode_payload(F.col("payload")))
+    slim = checkpointed(packets.select(
+        "trace_id", "file_name", "pkt_no", "ts", "src_ip", "dst_ip", "src_port", "dst_port",
+        path.alias("path"),
+    ))
+    requests = slim.where(F.col("path").isNotNull()).select("trace_id", "pkt_no", "ts", "path")
+    return s.capture_sessions(slim), requests, g.call_edges(requests, hot_rows=hot_rows)
 
 
 def detect_captures(

@@ -177,3 +177,49 @@ def test_forest_importances(spark, models):
     rows = fo.feature_importances(models.forest, spark).collect()
     assert [r["feature"] for r in rows] == MODEL_INPUT
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
+
+
+def test_file_task_report_and_store(spark, folder, models, tmp_path):
+    from catalog.learning import graph_rows
+    from catalog.traffic import features
+    from flowverdict.schemas import c
+    many = c("sequence_length(count)") > 15
+    rows = features(spark, folder).withColumns({
+        "copies": F.lit(1), "source": F.when(~many, F.col("source"))})
+    scored, skipped = detect.detect_batch(rows, graph_rows(spark, folder), models, 7)
+    task = spark.createDataFrame([(7, "t", "2024-01-01 00:00:00", "2024-01-01 00:00:02.5")],
+                                 "task_id long, name string, a string, b string")
+    task = task.select("task_id", F.to_timestamp("a").alias("start_time"),
+                       F.to_timestamp("b").alias("end_time"))
+    summary, report = detect.task_report(scored, skipped, task)
+    got = summary.first()
+    assert got["record_count"] == scored.count() and got["skipped_count"] == skipped.count() > 0
+    assert got["duration"] == 2500 and got["status"] == "COMPLETED"
+    assert got["anomaly_rate"] == pytest.approx(got["anomaly_count"] / got["record_count"])
+    assert report.count() == min(100, skipped.count())
+    tasks = spark.createDataFrame([(7, "Nightly")], "id long, task_name string")
+    detect.store_task(scored, tasks, 7, 1000, str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    assert stored.count() == scored.count()
+    assert stored.select("detect_type", "file_id", "task_name").distinct().collect() == [
+        (1, 7, "Nightly")]
+    times = sorted(r["timestamp"] for r in stored.collect())
+    assert times == list(range(1000, 1000 + len(times)))
+    detect.store_task(scored, tasks, 8, 1000, str(tmp_path / "r"))  # unknown task: no rows
+    assert spark.read.parquet(str(tmp_path / "r")).count() == len(times)
+
+
+def test_captures_from_files_to_verdicts(spark, models, tmp_path):
+    from tests.test_sources import capture, frame
+    from flowverdict.sources import captures
+    get = b"GET /%d HTTP/1.1\r\nHost: h\r\n\r\n"
+    (tmp_path / "a.pcap").write_bytes(capture(
+        [(10.0 + i, frame("10.0.0.1", "10.0.0.2", 5, 80, get % (i % 3))) for i in range(9)]))
+    (tmp_path / "8.8.8.8_1_2.2.2.2_8.pcap").write_bytes(capture(
+        [(1.0, frame("8.8.8.8", "2.2.2.2", 1, 8, b"no request"))]))
+    decoded = captures.decode_packets(captures.scan_captures(spark, str(tmp_path)))
+    out = detect.detect_captures(captures.good_packets(decoded), models, 3).collect()
+    by_ip = {r["source_ip"]: r for r in out}
+    assert by_ip["10.0.0.1"]["trace_id"].startswith("pcap-3-")
+    assert by_ip["10.0.0.1"]["gcn_prob"] > 0 and by_ip["10.0.0.1"]["mode"] != "rf_only"
+    assert by_ip["8.8.8.8"]["mode"] == "rf_only" and by_ip["8.8.8.8"]["gcn_prob"] == 0.0
