@@ -44,8 +44,10 @@ def models(spark, folder, trees=20, depth=6, epochs=2):
         rows = labelled_sessions(spark, folder)
         forest = fo.train_forest(rows, trees=trees, depth=depth)
         graphs = graph_rows(spark, folder).join(rows.select("_id", "y"), "_id")
-        nets = [gcn.fit_gcn(graphs, hidden=16, depth=d, epochs=epochs, pos_weight="balanced", batches=4)
-                for d in (2, 1)]
+        nets = [
+            gcn.fit_gcn(graphs, hidden=16, depth=d, epochs=epochs, pos_weight="balanced", batches=4)
+            for d in (2, 1)
+        ]
         _MODELS[key] = detect.Models(forest, *nets)
     return _MODELS[key]
 

@@ -166,7 +166,8 @@ def _triangle_corners(sides: DataFrame) -> DataFrame:
     """
     degree = sides.groupBy("trace_id", "node").agg(F.sum("k").alias("k"))
     end = F.struct("k", "node")
-    turned = sides.drop("i", "k").join(degree, ["trace_id", "node"]).groupBy("trace_id", "a", "b").agg(
+    ends = sides.drop("i", "k").join(degree, ["trace_id", "node"])
+    turned = ends.groupBy("trace_id", "a", "b").agg(
         F.min(end).alias("low"), F.max(end).alias("high")
     )
     turned = turned.where(F.col("low.node") != F.col("high.node")).select(

@@ -39,7 +39,8 @@ def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> list:
 
 
 def _slice_bounds(df, key, order, hot, hot_rows):
-    """One row per hot key with the sorted first rows of its slices 1, 2, ...
+    """One row per hot key with the sorted first rows of its slices 1, 2, ..., and the
+    largest number of bounds of a key.
 
     The bounds come from a sample and are then constants, so every later pass over
     the table cuts it in the same places.
@@ -75,11 +76,12 @@ def _slice_bounds(df, key, order, hot, hot_rows):
     schema = T.StructType(
         [df.schema[k] for k in key] + [T.StructField("_bounds", T.ArrayType(point))]
     )
-    return spark.createDataFrame(rows, schema)
+    most = max(len(r[-1]) for r in rows)
+    return spark.createDataFrame(rows, schema), most
 
 
-def _slice_number(bounds, point):
-    """How many bounds are <= point, by bisection."""
+def _slice_number(bounds, point, most):
+    """How many of at most ``most`` bounds are <= point, by bisection."""
     start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
 
     def step(acc, _):
@@ -91,7 +93,7 @@ def _slice_number(bounds, point):
             F.when(inside & ~right, mid).otherwise(acc["hi"]).alias("hi"),
         )
 
-    steps = F.sequence(F.lit(0), F.lit(MAX_SLICES.bit_length()))
+    steps = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
     return F.aggregate(steps, start, step)["lo"]
 
 
@@ -137,12 +139,12 @@ def in_order(
 
 
 def _stitched(df, key, order, previous, following, local, hot, hot_rows):
-    bounds = _slice_bounds(df, key, order, hot, hot_rows)
+    bounds, most = _slice_bounds(df, key, order, hot, hot_rows)
     point = F.struct(*[F.col(o) for o in order])
     sliced = df.join(F.broadcast(bounds), key, "left").withColumn(
         "_slice",
         F.when(F.col("_bounds").isNull(), F.lit(-1)).otherwise(
-            _slice_number(F.col("_bounds"), point)
+            _slice_number(F.col("_bounds"), point, most)
         ),
     ).drop("_bounds")
 
