@@ -8,8 +8,11 @@ keys first, cuts their rows into slices of consecutive rows, runs the window per
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+_LITERAL_TYPES = {"double", "float", "bigint", "int", "smallint", "tinyint", "string"}
 MAX_HOT_KEYS = 1024
 HOT_ROWS = 2_000_000
 MAX_SLICES = 4096
@@ -39,13 +42,16 @@ def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> list:
 
 
 def _slice_bounds(df, key, order, hot, hot_rows):
-    """One row per hot key with the sorted first rows of its slices 1, 2, ..., and the
-    largest number of bounds of a key.
+    """Numbers of the hot keys, their sorted slice bounds, and the most bounds of a key.
 
-    The bounds come from a sample and are then constants, so every later pass over
-    the table cuts it in the same places.
+    The bounds come from a sample and are then constants, so every later pass over the
+    table cuts it in the same places. They are one literal that rows look up by the number
+    of their key; a joined array would be copied into every row.
     """
     spark = df.sparkSession
+    kinds = {o: df.schema[o].dataType.simpleString() for o in order}
+    if not set(kinds.values()) <= _LITERAL_TYPES:
+        raise ValueError(f"rows are ordered by numbers or strings, not {kinds}")
     total = sum(r["_rows"] for r in hot)
     wanted = {
         tuple(r[k] for k in key): min(
@@ -53,31 +59,26 @@ def _slice_bounds(df, key, order, hot, hot_rows):
         )
         for r in hot
     }
-    names = F.broadcast(
-        spark.createDataFrame(
-            [list(k) for k in wanted], T.StructType([df.schema[k] for k in key])
-        )
-    )
+    numbers = F.broadcast(spark.createDataFrame(
+        [[*k, i] for i, k in enumerate(wanted)],
+        T.StructType([df.schema[k] for k in key] + [T.StructField("_hot", T.IntegerType())]),
+    ))
     fraction = min(1.0, SAMPLES_PER_SLICE * sum(wanted.values()) / total)
-    picked = df.join(names, key, "left_semi").select(*key, *order)
+    picked = df.join(numbers, key).select("_hot", *order)
     if fraction < 1.0:
         picked = picked.sample(fraction, seed=7)
     samples: dict = {}
-    for row in picked.collect():
-        value = tuple(row[o] for o in order)
+    for number, *value in picked.collect():
         if None not in value:
-            samples.setdefault(tuple(row[k] for k in key), []).append(value)
-    rows = []
-    for k, n in wanted.items():
-        values = sorted(samples.get(k, []))
-        cuts = sorted({values[len(values) * i // n] for i in range(1, n)}) if values else []
-        rows.append((*k, cuts))
-    point = T.StructType([df.schema[o] for o in order])
-    schema = T.StructType(
-        [df.schema[k] for k in key] + [T.StructField("_bounds", T.ArrayType(point))]
-    )
-    most = max(len(r[-1]) for r in rows)
-    return spark.createDataFrame(rows, schema), most
+            samples.setdefault(number, []).append(tuple(value))
+    cuts = []
+    for number, n in enumerate(wanted.values()):
+        values = sorted(samples.get(number, []))
+        cuts.append(sorted({values[len(values) * i // n] for i in range(1, n)}) if values else [])
+    text = json.dumps([[dict(zip(order, cut)) for cut in mine] for mine in cuts])
+    fields = ", ".join(f"`{o}`: {kind}" for o, kind in kinds.items())
+    bounds = F.from_json(F.lit(text), f"array<array<struct<{fields}>>>")
+    return numbers, bounds, max(map(len, cuts))
 
 
 def _slice_number(bounds, point, most):
@@ -139,14 +140,14 @@ def in_order(
 
 
 def _stitched(df, key, order, previous, following, local, hot, hot_rows):
-    bounds, most = _slice_bounds(df, key, order, hot, hot_rows)
+    numbers, bounds, most = _slice_bounds(df, key, order, hot, hot_rows)
     point = F.struct(*[F.col(o) for o in order])
-    sliced = df.join(F.broadcast(bounds), key, "left").withColumn(
+    sliced = df.join(numbers, key, "left").withColumn(
         "_slice",
-        F.when(F.col("_bounds").isNull(), F.lit(-1)).otherwise(
-            _slice_number(F.col("_bounds"), point, most)
+        F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(
+            _slice_number(F.get(bounds, F.col("_hot")), point, most)
         ),
-    ).drop("_bounds")
+    ).drop("_hot")
 
     # One row per slice of a hot key: bounded by MAX_SLICES plus one per hot key.
     def ends(pairs):

@@ -25,6 +25,16 @@ def test_sliced_order_equals_plain_order(spark, hot_rows):
     assert sorted(plain.collect()) == sorted(sliced.collect())
 
 
+def test_bounds_may_be_infinite_or_text(spark):
+    df = _requests(spark).selectExpr(
+        "trace_id", "pkt_no", "IF(ts > 30, DOUBLE('Infinity'), ts / 3) AS age",
+        "concat('\"é\\\\', path) AS name")
+    for order in (["age", "pkt_no"], ["name", "pkt_no"]):
+        plain = in_order(df, [], order, index="i", following={"n": "age"})
+        sliced = in_order(df, [], order, index="i", following={"n": "age"}, hot_rows=11)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, sliced.collect()))
+
+
 def test_users_of_the_order_are_safe_for_hot_keys(spark):
     df = _requests(spark)
     for call in (g.call_edges, s.order_requests, s.request_gaps):
