@@ -1,4 +1,4 @@
 """All corpus queries; importing the operators registers them."""
 
-from . import packing, sharding  # noqa: F401
+from . import jaccard, packing, sharding  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
