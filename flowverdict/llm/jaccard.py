@@ -8,7 +8,7 @@ threshold. Documents with equal sets are one class, and all steps work on classe
    share the first k common shingles within their first ``n - ceil(t n) + k`` shingles of any
    global order, so a class too few of whose first shingles occur in another class is out.
 3. ``candidate_groups`` connects the rest through shared shingles of their prefixes (k = 1).
-   The order puts frequent shingles last.
+   The order is by the number of sets that have a shingle: those of one set come first.
 4. ``trie_links`` joins the sets of one group: they are stored in a prefix tree, most frequent
    shingle first, and every set walks the tree once; sets that start alike share the overlap
    counted so far, and a subtree is left as soon as the remaining lengths can't reach the
@@ -40,6 +40,7 @@ MARK = 65_535
 CHUNK = 100
 SAMPLED, FREQUENT = 4000, 8  # sets looked at for frequent shingles, and in how many they are
 U64 = np.uint64
+LOW48 = U64((1 << 48) - 1)
 
 
 def least_common(n):
@@ -99,7 +100,7 @@ def _deal(buckets: int):
     """
 
     def flush(parts, keys):
-        tokens = np.concatenate(parts) & U64((1 << 48) - 1)
+        tokens = np.concatenate(parts) & LOW48
         owner = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
@@ -244,26 +245,118 @@ def _frequent(held: DataFrame, total: int) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64).view(U64))
 
 
-def candidate_groups(held: DataFrame, total: int) -> DataFrame:
-    """``(node, root)``: classes connected through shingles that prefixes share."""
-    frequent = _frequent(held, total)
+def _entries(frequent: np.ndarray, buckets: int):
+    """Map side of the document frequencies: the less frequent shingles, as arrays per bucket."""
 
-    def prefixes(batches):
+    def flush(parts, nodes):
+        tokens = np.concatenate(parts) & LOW48
+        owner = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], owner[order]
+        place = ((tokens >> U64(24)) * U64(buckets)) >> U64(24)
+        edges = np.searchsorted(place, np.arange(buckets + 1, dtype=U64))
+        rows = [(b, tokens[i:k].tobytes(), owner[i:k].tobytes(), np.array(nodes, "<i8").tobytes())
+                for b, (i, k) in enumerate(zip(edges[:-1], edges[1:])) if k > i]
+        return pa.record_batch([pa.array(c, pa.int32() if k == 0 else pa.binary())
+                                for k, c in enumerate(zip(*rows))], ["bucket", "tokens", "owner", "nodes"])
+
+    def deal(batches):
+        parts, nodes, held = [], [], 0
         for batch in batches:
-            nodes, blobs = batch.column("node").to_pylist(), batch.column("tokens").to_pylist()
-            for node, blob in zip(nodes, blobs):
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
                 tokens = np.frombuffer(blob, U64)
-                late = np.isin(tokens, frequent)
-                ordered = np.concatenate([tokens[~late], tokens[late]])
-                first = ordered[: len(tokens) - least_common(len(tokens)) + 1]
-                yield pa.record_batch(
-                    [pa.array(first.view(np.int64)), pa.array(np.full(len(first), node))],
-                    ["token", "node"])
-
-    rows = held.select("node", "tokens").mapInArrow(prefixes, "token long, node long")
+                parts.append(tokens[~_among(tokens, frequent)])
+                nodes.append(node)
+                held += len(parts[-1])
+                if held >= FLUSH or len(parts) == MARK:
+                    if held:
+                        yield flush(parts, nodes)
+                    parts, nodes, held = [], [], 0
+        if held:
+            yield flush(parts, nodes)
+
+    return deal
+
+
+def _shared_with_counts(blobs: pa.Table) -> pa.Table:
+    """Reduce side: of every set, the shingles that several sets have, and how many have them."""
+    tokens, owner = [], []
+    for row in blobs.to_pylist():
+        tokens.append(np.frombuffer(row["tokens"], U64))
+        owner.append(np.frombuffer(row["nodes"], "<i8")[np.frombuffer(row["owner"], np.uint16)])
+    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    new = np.diff(tokens, prepend=~tokens[:1]) != 0
+    once = new | (np.diff(owner, prepend=~owner[:1]) != 0)
+    tokens, owner, new = tokens[once], owner[once], np.flatnonzero(new[once])
+    runs = np.diff(np.append(new, len(tokens)))
+    counts = np.repeat(runs, runs)
+    tokens, owner, counts = (x[counts > 1] for x in (tokens, owner, counts))
+    order = np.argsort(owner, kind="stable")
+    tokens, owner, counts = tokens[order], owner[order], counts[order].astype("<u4")
+    names, first = np.unique(owner, return_index=True)
+    edges = list(zip(first.tolist(), [*first.tolist()[1:], len(owner)]))
+    return pa.table({
+        "node": pa.array(names),
+        "tokens": pa.array([tokens[i:k].tobytes() for i, k in edges], pa.binary()),
+        "counts": pa.array([counts[i:k].tobytes() for i, k in edges], pa.binary())})
+
+
+def _among(tokens: np.ndarray, sorted_tokens: np.ndarray) -> np.ndarray:
+    if not len(sorted_tokens):
+        return np.zeros(len(tokens), bool)
+    at = np.minimum(np.searchsorted(sorted_tokens, tokens), len(sorted_tokens) - 1)
+    return sorted_tokens[at] == tokens
+
+
+def _prefix_rows(held: DataFrame, frequent: np.ndarray, tokens: int) -> DataFrame:
+    """``(token, node)`` of the prefixes: shingles of one set first, then by the number of sets,
+    those of ``frequent`` last. Single shingles link nothing and are left out."""
+    buckets = max(48, tokens // TOKENS_A_BUCKET)
+    lists = (
+        held.select("node", "tokens")
+        .mapInArrow(_entries(frequent, buckets), "bucket int, tokens binary, owner binary, nodes binary")
+        .groupBy("bucket").applyInArrow(_shared_with_counts, "node long, tokens binary, counts binary")
+        .groupBy("node").agg(F.collect_list(F.struct("tokens", "counts")).alias("lists"))
+    )
+
+    def own(batches):
+        for batch in batches:
+            n, many, late = [], [], []
+            for blob in batch.column("tokens").to_pylist():
+                t = np.frombuffer(blob, U64)
+                mine = t[_among(t, frequent)]
+                n.append(len(t))
+                many.append(len(mine))
+                late.append((mine[: len(t) - least_common(len(t)) + 1] & LOW48).tobytes())
+            yield pa.record_batch([batch.column("node"), pa.array(n, pa.int64()), pa.array(many, pa.int64()),
+                                   pa.array(late, pa.binary())], ["node", "n", "many", "late"])
+
+    def prefixes(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                got = row["lists"] or []
+                t = np.concatenate([np.frombuffer(x["tokens"], U64) for x in got] or [np.empty(0, U64)])
+                c = np.concatenate([np.frombuffer(x["counts"], "<u4") for x in got] or [np.empty(0, "<u4")])
+                single = row["n"] - row["many"] - len(t)
+                room = row["n"] - least_common(row["n"]) + 1 - single
+                if room <= 0:
+                    continue
+                first = np.concatenate([t[np.lexsort((t, c))], np.frombuffer(row["late"], U64)])[:room]
+                yield pa.record_batch([pa.array(first.view(np.int64)),
+                                       pa.array(np.full(len(first), row["node"]))], ["token", "node"])
+
+    sizes = held.select("node", "tokens").mapInArrow(own, "node long, n long, many long, late binary")
+    return sizes.join(lists, "node", "left").mapInArrow(prefixes, "token long, node long")
+
+
+def candidate_groups(held: DataFrame, total: int, tokens: int) -> DataFrame:
+    """``(node, root)``: classes connected through shingles that prefixes share."""
+    rows = cut(_prefix_rows(held, _frequent(held, total), tokens), "prefixes")
     shared = cut(
         rows.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-        .where("first < last").drop("last"), "tokens")
+        .where("first < last").drop("last"), "shared_tokens")
     links = rows.join(shared, "token").where("node <> first")
     return components(links.select(F.col("node").alias("u"), F.col("first").alias("v")))
 
@@ -423,7 +516,8 @@ def similar_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, root)`` of the classes (by digest) that a chain of links joins with others."""
     classes = partly_shared(docs, sets)
     held = cut(_tokens_of(docs, classes), "tokens")
-    groups = cut(candidate_groups(held, classes.count()), "candidates")
+    total, tokens = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = cut(candidate_groups(held, total, tokens), "candidates")
     links = cut(_links(_first_cells(held, groups)), "found")
     found = cut(components(links), "components")
     further = _further_cells(held, groups, found)
