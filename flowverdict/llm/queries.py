@@ -1,4 +1,4 @@
 """All corpus queries; importing the operators registers them."""
 
-from . import decontaminate, jaccard, packing, sharding  # noqa: F401
+from . import decontaminate, jaccard, packing, quality, sharding, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
