@@ -1,4 +1,4 @@
 """All corpus queries; importing the operators registers them."""
 
-from . import decontaminate, jaccard, packing, ppm, quality, sharding, sitetree, topk, toxicity  # noqa: F401
+from . import decontaminate, jaccard, licenses, packing, ppm, quality, sharding, sitetree, topk, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
