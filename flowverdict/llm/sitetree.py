@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -55,15 +56,24 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 KEPT = frozenset(("article", "main"))
 
 
+@lru_cache(4096)
+def _signature(tag: str, names: str) -> str:
+    return ".".join([tag, *sorted(set(re.sub(r"\d+", "", names).lower().split()))])
+
+
+@lru_cache(4096)
+def _words(*names: str) -> frozenset[str]:
+    return frozenset(re.split(r"[^a-z]+", " ".join(names).lower()))
+
+
 class Element:
     __slots__ = ("tag", "attrs", "parent", "parts", "path", "kept", "holds_kept", "signature")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
-        names = sorted(set(re.sub(r"\d+", "", attrs.get("class") or "").lower().split()))
-        self.signature = f"{tag}.{'.'.join(names)}"
-        self.path = zlib.crc32(self.signature.encode(), parent.path if parent else 0)
-        self.kept = tag in KEPT or attrs.get("role") == "main" or bool(parent and parent.kept)
+        self.signature = _signature(tag, attrs["class"]) if "class" in attrs else tag
+        self.path = zlib.crc32(self.signature.encode(), parent.path) if parent else 0
+        self.kept = tag in KEPT or (parent is not None and parent.kept) or attrs.get("role") == "main"
         self.holds_kept = False
 
     def named_noise(self) -> bool:
@@ -74,8 +84,9 @@ class Element:
             return not self.holds_kept
         if self.holds_kept or self.tag in ("html", "body"):
             return False
-        names = f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}".lower()
-        words = set(re.split(r"[^a-z]+", names))
+        if "class" not in self.attrs and "id" not in self.attrs:
+            return False
+        words = _words(self.attrs.get("class", ""), self.attrs.get("id", ""))
         if "header" in words and not self.kept:
             return True
         return not NOISE.isdisjoint(words)
@@ -88,7 +99,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {}, None)
         self.open, self.elements = [self.root], [self.root]
-        self.feed(re.sub(r"<!\[(?!CDATA\[)[^>]*>", "", html))
+        self.feed(re.sub(r"<!\[(?!CDATA\[)[^>]*>", "", html) if "<![" in html else html)
         self.close()
         for e in self.elements:
             if e.tag in KEPT or e.attrs.get("role") == "main":
