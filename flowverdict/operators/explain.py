@@ -14,7 +14,7 @@ from .forest import ForestScorer, forest_probability
 from .gcn import graph_lengths, row_pieces
 from .graph_batch import Weights, edge_importance, make_batch
 from .joins import explain_requests
-from .ordering import HOT_ROWS, in_order
+from .ordering import PART_ROWS, in_order
 from .smote import uniform
 
 SAMPLES, TOP, RIDGE = 1000, 5, 1.0
@@ -130,7 +130,7 @@ def explain_graph(
 
 
 def edge_threshold(
-    importances: DataFrame, share: float = 0.9, hot_rows: int = HOT_ROWS
+    importances: DataFrame, share: float = 0.9, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """The ``share`` percentile per graph, linearly interpolated.
 
@@ -140,7 +140,7 @@ def edge_threshold(
     n = importances.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
     ranked = in_order(
         importances.select("trace_id", "importance", "pos"), ["trace_id"], ["importance", "pos"],
-        index="_i", hot_rows=hot_rows,
+        index="_i", part_rows=part_rows,
     ).join(n, "trace_id")
     place = (F.col("_n") - 1) * F.lit(share)
     ends = ranked.where(F.col("_i").between(F.floor(place), F.floor(place) + 1))
@@ -152,9 +152,9 @@ def edge_threshold(
     )
 
 
-def abnormal_edges(importances: DataFrame, share: float = 0.9, hot_rows: int = HOT_ROWS):
+def abnormal_edges(importances: DataFrame, share: float = 0.9, part_rows: int = PART_ROWS):
     """Edges at or above the percentile of their graph and above 0."""
-    limit = edge_threshold(importances, share, hot_rows)
+    limit = edge_threshold(importances, share, part_rows)
     return importances.join(limit, "trace_id").where(
         (F.col("importance") >= F.col("threshold")) & (F.col("importance") > 0)
     )

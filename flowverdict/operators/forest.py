@@ -70,8 +70,12 @@ def score_forest(df: DataFrame, scorer: ForestScorer, handle_unseen: str = "zero
 
 
 def feature_importances(scorer: ForestScorer, spark) -> DataFrame:
+    """Importance of every feature with its rank, the most important first; as many rows as
+    the model has features."""
     pairs = zip(scorer.preparation.columns, scorer.model.featureImportances.toArray().tolist())
-    return spark.createDataFrame(list(pairs), "feature string, importance double")
+    ranked = sorted(pairs, key=lambda p: (-p[1], p[0]))
+    rows = [(name, value, rank) for rank, (name, value) in enumerate(ranked, 1)]
+    return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
 
 def search_forest(train: DataFrame, val: DataFrame, grid=None, seed: int = SEED) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import CALL_GRAPH
-from .ordering import HOT_ROWS, in_order
+from .ordering import PART_ROWS, in_order
 
 
-def call_edges(requests: DataFrame, dedup: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def call_edges(requests: DataFrame, dedup: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
     """One edge per pair of successive requests of a capture.
 
     With ``dedup`` only the first occurrence of each (from, to) is kept.
@@ -17,7 +17,7 @@ def call_edges(requests: DataFrame, dedup: bool = False, hot_rows: int = HOT_ROW
     slim = requests.select("trace_id", *order, "path")
     edges = (
         in_order(slim, ["trace_id"], order, index="pos", following={"to_id": "path"},
-                 hot_rows=hot_rows)
+                 part_rows=part_rows)
         .where(F.col("to_id").isNotNull())
         .select("trace_id", "pos", F.col("path").alias("from_id"), "to_id")
     )
@@ -82,10 +82,10 @@ def all_nodes(edges: DataFrame) -> DataFrame:
     return ends[0].union(ends[1]).distinct()
 
 
-def graph_nodes(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def graph_nodes(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Distinct nodes per graph, numbered in lexical order."""
     return in_order(all_nodes(edges), ["trace_id"], ["node_id"], index="node_index",
-                    hot_rows=hot_rows)
+                    part_rows=part_rows)
 
 
 def graph_statistics(edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fusion as fu
 from .metrics import with_ratios
-from .ordering import is_small
 
 # The search spaces, in loop order.
 ALPHAS = [0.20, 0.25, 0.30, 0.33, 0.35, 0.40, 0.45, 0.50]
@@ -68,10 +67,10 @@ def cross_with_grid(scores: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small tables over all cores: a single small file would be read by a single task, and
-    every row is about to be judged hundreds of times. Large tables stay where they are."""
+    """Rows of fewer files than there are cores over all cores: every row is about to be judged
+    hundreds of times. Other tables stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if is_small(df) else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 FIXED_SLOTS = 10  # alphas judged per row and pass: keeps the generated method small
@@ -116,6 +115,7 @@ def search_fixed(scores: DataFrame, by=("gcn_layers",), alphas=FIXED_ALPHAS) ->
 
 AGREE, RF_ALONE, GCN_ALONE = 0, 1, 2
 # In the order of ``fusion.weight_choice``.
+SHIFTS = ("threshold_adjust_rf", "threshold_adjust_gcn")
 SOURCES = ["alpha", "weight_high_conf", "weight_low_conf"]
 
 
@@ -138,8 +138,10 @@ def search_cells(
 ) -> DataFrame:
     """Metrics of every cell of strategy 1, strategy 2 or both (the keys of ``space``).
 
-    The threshold shifts must be given in ascending order.
+    The values of a parameter may come in any order; cells are numbered as they come.
     """
+    given = space
+    space = {n: sorted(map(float, v)) if n in SHIFTS else v for n, v in given.items()}
     spark = scores.sparkSession
     rf, gcn = F.col("rf_prob"), F.col("gcn_prob")
     confs = space.get("conf_threshold", [])
@@ -191,10 +193,15 @@ def search_cells(
         F.sum(F.when(hit, F.col("n1")).otherwise(0)).alias("tp"),
     )
 
-    grid = parameter_grid(spark, space, positions=True)
+    grid = parameter_grid(spark, given, positions=True)
 
     def at(name):
-        return F.col(f"_{name}") if name in space else F.lit(0)
+        if name not in space:
+            return F.lit(0)
+        if name not in SHIFTS:
+            return F.col(f"_{name}")
+        ranks = [space[name].index(float(v)) for v in given[name]]
+        return F.get(F.array(*map(F.lit, ranks)), F.col(f"_{name}"))
 
     def key(kind, source):
         shift = {AGREE: F.lit(0), RF_ALONE: at("threshold_adjust_rf"),

@@ -9,26 +9,32 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session.
+    """``df`` written to the shared folder of the session and read back."""
+    return written(df, "checkpoint")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared storage,
-    so a lost executor costs nothing). Only where none is set, as in local tests, a
-    temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder: later reads prune its columns, and a
+    lost executor costs nothing."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark, name: str) -> str:
-    """A new folder for the files of one job, on the checkpoint storage of the session."""
+    """A new folder for the files of one job, on the checkpoint storage of the session.
+
+    The storage is what the cluster names in ``spark.checkpoint.dir``. Only a local session
+    without the setting gets a temporary folder; elsewhere that would be another folder on
+    every machine, so a missing setting is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             known = context._jsc.sc().getCheckpointDir()
         folder = known.get()

@@ -1,101 +1,19 @@
 """Row order inside groups, safe for groups of any size.
 
-A plain window keeps each group in one task. That is right for ordinary groups and
-wrong for a group that holds a large share of the table. ``in_order`` finds such hot
-keys first, cuts their rows into slices of consecutive rows, runs the window per
-(key, slice) and then stitches neighbouring slices with a table of one row per slice.
+A window keeps each group in one task. That is right for ordinary groups and wrong for a group
+that holds a large share of the table. ``in_order`` writes its input once and counts it. A table
+of few rows has no group that could trouble a task. A larger one is range-partitioned by key and
+order into parts of bounded size, whatever the keys; the window runs per (key, part), and keys
+that lie in several parts are stitched with one row per part.
 """
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from .lineage import written
 
-_LITERAL_TYPES = {"double", "float", "bigint", "int", "smallint", "tinyint", "string"}
-MAX_HOT_KEYS = 1024
-HOT_ROWS = 2_000_000
-MAX_SLICES = 4096
-SAMPLES_PER_SLICE = 64
-SMALL_INPUT = 32 << 20  # estimated bytes below which no group can trouble a task
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the planner's size estimate is small; nothing runs for the answer."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes())) < SMALL_INPUT
-
-
-def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``hot_rows`` rows, at most ``MAX_HOT_KEYS`` of them.
-
-    The largest keys are taken, so any key left out holds less than 1/1024 of the
-    table: the list is bounded whatever the table size.
-    """
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counts.where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-
-
-def _slice_bounds(df, key, order, hot, hot_rows):
-    """Numbers of the hot keys, their sorted slice bounds, and the most bounds of a key.
-
-    The bounds come from a sample and are then constants, so every later pass over the
-    table cuts it in the same places. They are one literal that rows look up by the number
-    of their key; a joined array would be copied into every row.
-    """
-    spark = df.sparkSession
-    kinds = {o: df.schema[o].dataType.simpleString() for o in order}
-    if not set(kinds.values()) <= _LITERAL_TYPES:
-        raise ValueError(f"rows are ordered by numbers or strings, not {kinds}")
-    total = sum(r["_rows"] for r in hot)
-    wanted = {
-        tuple(r[k] for k in key): min(
-            -(-r["_rows"] // hot_rows), max(2, MAX_SLICES * r["_rows"] // total)
-        )
-        for r in hot
-    }
-    numbers = F.broadcast(spark.createDataFrame(
-        [[*k, i] for i, k in enumerate(wanted)],
-        T.StructType([df.schema[k] for k in key] + [T.StructField("_hot", T.IntegerType())]),
-    ))
-    fraction = min(1.0, SAMPLES_PER_SLICE * sum(wanted.values()) / total)
-    picked = df.join(numbers, key).select("_hot", *order)
-    if fraction < 1.0:
-        picked = picked.sample(fraction, seed=7)
-    samples: dict = {}
-    for number, *value in picked.collect():
-        if None not in value:
-            samples.setdefault(number, []).append(tuple(value))
-    cuts = []
-    for number, n in enumerate(wanted.values()):
-        values = sorted(samples.get(number, []))
-        cuts.append(sorted({values[len(values) * i // n] for i in range(1, n)}) if values else [])
-    text = json.dumps([[dict(zip(order, cut)) for cut in mine] for mine in cuts])
-    fields = ", ".join(f"`{o}`: {kind}" for o, kind in kinds.items())
-    bounds = F.from_json(F.lit(text), f"array<array<struct<{fields}>>>")
-    return numbers, bounds, max(map(len, cuts))
-
-
-def _slice_number(bounds, point, most):
-    """How many of at most ``most`` bounds are <= point, by bisection."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = F.get(bounds, mid) <= point
-        inside = acc["lo"] < acc["hi"]
-        return F.struct(
-            F.when(inside & right, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(inside & ~right, mid).otherwise(acc["hi"]).alias("hi"),
-        )
-
-    steps = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
-    return F.aggregate(steps, start, step)["lo"]
+PART_ROWS = 2_000_000
 
 
 def in_order(
@@ -105,22 +23,20 @@ def in_order(
     index: str | None = None,
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Add the position of each row and values of its neighbours inside its group.
 
-    ``order`` names columns that order a group totally (ascending, no NULLs). ``index``
-    names a new 0-based position; ``previous`` and ``following`` map new columns to the
-    columns they are taken from, NULL at either end. An empty ``key`` makes the whole
-    table one group.
+    ``order`` names columns of any orderable type that order a group totally (ascending, no
+    NULLs). ``index`` names a new 0-based position; ``previous`` and ``following`` map new
+    columns to the columns they are taken from, NULL at either end. An empty ``key`` makes the
+    whole table one group.
     """
     previous, following = previous or {}, following or {}
     whole = not key
     if whole:
         key = ["_all"]
         df = df.withColumn("_all", F.lit(0))
-    skip = df.isStreaming or (hot_rows >= HOT_ROWS and is_small(df))
-    hot = [] if skip else hot_keys(df, key, hot_rows)
 
     def local(frame, group):
         w = Window.partitionBy(*group).orderBy(*order)
@@ -131,42 +47,40 @@ def in_order(
             out = out.withColumn(new, F.lead(F.col(f"`{old}`")).over(w))
         return out
 
-    if not hot:
+    if df.isStreaming:
         out = local(df, key)
     else:
-        out = _stitched(df, key, order, previous, following, local, hot, hot_rows)
+        held = written(df, "unordered")
+        parts = -(-held.count() // part_rows)
+        out = local(held, key) if parts <= 1 else _stitched(
+            held, key, order, previous, following, local, parts)
     out = out.withColumnRenamed("_pos", index) if index else out.drop("_pos")
     return out.drop("_all") if whole else out
 
 
-def _stitched(df, key, order, previous, following, local, hot, hot_rows):
-    numbers, bounds, most = _slice_bounds(df, key, order, hot, hot_rows)
+def _stitched(df, key, order, previous, following, local, parts):
+    # Written, as each run of a range partitioning samples its own bounds.
+    ranged = written(
+        df.repartitionByRange(parts, *key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     point = F.struct(*[F.col(o) for o in order])
-    sliced = df.join(numbers, key, "left").withColumn(
-        "_slice",
-        F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(
-            _slice_number(F.get(bounds, F.col("_hot")), point, most)
-        ),
-    ).drop("_hot")
 
-    # One row per slice of a hot key: bounded by MAX_SLICES plus one per hot key.
     def ends(pairs):
         return F.struct(F.lit(True).alias("_there"),
                         *[F.col(f"`{old}`").alias(new) for new, old in pairs.items()])
 
-    borders = (
-        sliced.where(F.col("_slice") >= 0)
-        .groupBy(*key, "_slice")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max_by(ends(previous), point).alias("_last"),
-            F.min_by(ends(following), point).alias("_first"),
-        )
+    # The keys that a bound cuts, and their rows for each part: at most two a part.
+    several = ranged.groupBy(*key).agg(
+        F.min("_part").alias("_from"), F.max("_part").alias("_to")).where("_from < _to")
+    cut_keys = ranged.join(F.broadcast(several.drop("_from", "_to")), key, "left_semi")
+    borders = cut_keys.groupBy(*key, "_part").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max_by(ends(previous), point).alias("_last"),
+        F.min_by(ends(following), point).alias("_first"),
     )
-    w = Window.partitionBy(*key).orderBy("_slice")
+    w = Window.partitionBy(*key).orderBy("_part")
     borders = borders.select(
         *key,
-        "_slice",
+        "_part",
         F.col("_n"),
         F.coalesce(
             F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -174,7 +88,7 @@ def _stitched(df, key, order, previous, following, local, hot, hot_rows):
         F.lag("_last").over(w).alias("_last"),
         F.lead("_first").over(w).alias("_first"),
     )
-    out = local(sliced, [*key, "_slice"]).join(F.broadcast(borders), [*key, "_slice"], "left")
+    out = local(ranged, [*key, "_part"]).join(F.broadcast(borders), [*key, "_part"], "left")
     at_start = F.col("_n").isNotNull() & (F.col("_pos") == 0)
     at_end = F.col("_n").isNotNull() & (F.col("_pos") == F.col("_n") - 1)
     for new in previous:
@@ -182,4 +96,4 @@ def _stitched(df, key, order, previous, following, local, hot, hot_rows):
     for new in following:
         out = out.withColumn(new, F.when(at_end, F.col("_first")[new]).otherwise(F.col(new)))
     out = out.withColumn("_pos", F.col("_pos") + F.coalesce("_before", F.lit(0)))
-    return out.drop("_slice", "_n", "_before", "_last", "_first")
+    return out.drop("_part", "_n", "_before", "_last", "_first")

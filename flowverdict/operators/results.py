@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordering import HOT_ROWS, in_order
+from .ordering import PART_ROWS, in_order
 
 # Look-back of the time presets in milliseconds; a month is 30 days.
 PRESETS_MS = {
@@ -160,10 +160,10 @@ def tag_with_task(records: DataFrame, tasks: DataFrame, task_key: str = "task_id
 
 def sequence_timestamps(
     records: DataFrame, now: int, order: list[str], task_key: str = "task_id",
-    hot_rows: int = HOT_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """The i-th record of a task gets ``now + i`` milliseconds."""
-    out = in_order(records, [task_key], order, index="_i", hot_rows=hot_rows)
+    out = in_order(records, [task_key], order, index="_i", part_rows=part_rows)
     return out.withColumn("timestamp", F.lit(now).cast("long") + F.col("_i")).drop("_i")
 
 
@@ -253,7 +253,7 @@ def rate_series(rates: DataFrame, now: str, seconds: int = 60) -> DataFrame:
     return axis.join(recent, "second", "left").fillna(0, ["qps", "anomalies"])
 
 
-def explain_lifecycle(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def explain_lifecycle(events: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """State of each explanation request after all its events.
 
     ``events``: trace_id, ord, kind (request | result | error), payload. A request makes
@@ -265,7 +265,7 @@ def explain_lifecycle(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
     seen = events.join(first, "trace_id").where(F.col("ord") >= F.col("_first"))
     seen = in_order(seen, ["trace_id"], ["ord"], previous={"_before": "kind"},
-                    hot_rows=hot_rows)
+                    part_rows=part_rows)
     starts = (F.col("kind") == "request") & F.coalesce(F.col("_before") != "request", F.lit(True))
     done = F.when(F.col("kind") == "result", F.col("ord"))
     return seen.groupBy("trace_id").agg(

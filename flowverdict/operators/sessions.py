@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.http import capture_name_parts, ip_type, service_name
 from ..schemas import TOPOLOGY
-from .ordering import HOT_ROWS, in_order
+from .ordering import PART_ROWS, in_order
 
 
 def capture_sessions(packets: DataFrame) -> DataFrame:
@@ -50,16 +50,16 @@ def duration_seconds(start: Column, end: Column) -> Column:
     return F.when(end > start, end - start).otherwise(F.lit(0.0))
 
 
-def order_requests(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def order_requests(requests: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Requests with ``seq``: by time inside a capture, ties in packet order."""
-    return in_order(requests, ["trace_id"], ["ts", "pkt_no"], index="seq", hot_rows=hot_rows)
+    return in_order(requests, ["trace_id"], ["ts", "pkt_no"], index="seq", part_rows=part_rows)
 
 
-def request_gaps(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def request_gaps(requests: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Seconds since the previous request of the capture; NULL for the first."""
     out = in_order(
         requests, ["trace_id"], ["ts", "pkt_no"], index="seq",
-        previous={"_previous_ts": "ts"}, hot_rows=hot_rows,
+        previous={"_previous_ts": "ts"}, part_rows=part_rows,
     )
     return out.withColumn("gap", F.col("ts") - F.col("_previous_ts")).drop("_previous_ts")
 

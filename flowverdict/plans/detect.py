@@ -17,7 +17,7 @@ from ..operators.gcn import score_call_graphs, score_edges
 from ..operators.graph_batch import Weights
 from ..operators.joins import pair_features_graphs
 from ..operators.lineage import checkpointed
-from ..operators.ordering import HOT_ROWS
+from ..operators.ordering import PART_ROWS
 from ..operators.results import (
     REPORT_LIMIT, sequence_timestamps, tag_with_task, task_summary,
 )
@@ -97,7 +97,7 @@ def store_task(scored: DataFrame, tasks: DataFrame, task: int, now: int, path: s
     )
 
 
-def capture_tables(packets: DataFrame, hot_rows: int = HOT_ROWS):
+def capture_tables(packets: DataFrame, part_rows: int = PART_ROWS):
     """Sessions, requests and edges of decoded packets.
 
     Payloads are parsed once: what the features need, addresses, times and paths, is
@@ -109,16 +109,16 @@ def capture_tables(packets: DataFrame, hot_rows: int = HOT_ROWS):
         path.alias("path"),
     ))
     requests = slim.where(F.col("path").isNotNull()).select("trace_id", "pkt_no", "ts", "path")
-    return s.capture_sessions(slim), requests, g.call_edges(requests, hot_rows=hot_rows)
+    return s.capture_sessions(slim), requests, g.call_edges(requests, part_rows=part_rows)
 
 
 def detect_captures(
     packets: DataFrame, models: Models, task: int, mode: str = "adaptive",
-    hot_rows: int = HOT_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """A capture task: one verdict per capture. Captures are never gathered: features are
     grouped sums, graphs stay edge tables, and scores meet by trace id."""
-    sessions, requests, edges = capture_tables(packets, hot_rows)
+    sessions, requests, edges = capture_tables(packets, part_rows)
     features = s.session_features(sessions, requests, g.topology_features(edges))
     rows = models.forest(features.withColumn("has_features", F.lit(True)))
     gcn = score_edges(edges, models.gcn)

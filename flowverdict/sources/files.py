@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.results import first_by_id
 from ..schemas import FEATURES, GRAPH_FILE, MODEL_INPUT, NUMERIC, TOPOLOGY, c
@@ -26,9 +26,13 @@ def read_feature_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows of feature CSVs with their place in the files.
 
     Columns are found by their header, whatever their order, and cast by the fixed schema;
-    columns outside it stay strings. Missing values become NULL.
+    columns outside it stay strings. Missing values become NULL. All files of a folder must
+    have the same header: one that differs fails the read, as its values would otherwise stand
+    in the wrong columns.
     """
-    raw = spark.read.option("header", True).csv(path).withColumns(_file_order())
+    reader = spark.read.option("header", True)
+    header = T.StructType([T.StructField(n, T.StringType()) for n in reader.csv(path).columns])
+    raw = reader.option("enforceSchema", False).schema(header).csv(path).withColumns(_file_order())
     types = {f.name: f.dataType for f in FEATURES.fields}
     out = []
     for name in raw.columns:

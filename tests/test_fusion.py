@@ -64,10 +64,11 @@ def _threshold(rf, gcn, up, down):
 ROWS = [(i / 10, j / 10, (i * j + i) % 2) for i in range(11) for j in range(11)]
 
 
-def test_searches_by_brute_force(spark):
-    """Ties included: tenths meet thresholds exactly."""
+@pytest.mark.parametrize("turned", [False, True])
+def test_searches_by_brute_force(spark, turned):
+    """Ties included: tenths meet thresholds exactly. The values may come in any order."""
     df = spark.createDataFrame(ROWS, "rf_prob double, gcn_prob double, y int")
-    space = {k: v[:3] for k, v in grids.DUAL.items()}
+    space = {k: v[:3][::-1] if turned else v[:3] for k, v in grids.DUAL.items()}
     got = {r["cell"]: r for r in grids.search_dual(df, space).collect()}
     cells = list(itertools.product(*space.values()))
     assert len(got) == len(cells)

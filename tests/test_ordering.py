@@ -4,7 +4,7 @@ import pytest
 
 from flowverdict.operators import explain as ex, graphs as g, prepare as pr, results as r
 from flowverdict.operators import sessions as s
-from flowverdict.operators.ordering import hot_keys, in_order
+from flowverdict.operators.ordering import in_order
 
 
 def _requests(spark, n=400):
@@ -15,13 +15,12 @@ def _requests(spark, n=400):
     return spark.createDataFrame(rows, "trace_id string, pkt_no long, ts double, path string")
 
 
-@pytest.mark.parametrize("hot_rows", [5, 20, 100])
-def test_sliced_order_equals_plain_order(spark, hot_rows):
+@pytest.mark.parametrize("part_rows", [5, 20, 100])
+def test_sliced_order_equals_plain_order(spark, part_rows):
     df = _requests(spark)
-    assert hot_keys(df, ["trace_id"], hot_rows)
     args = dict(index="i", previous={"p": "path"}, following={"n": "path"})
     plain = in_order(df, ["trace_id"], ["ts", "pkt_no"], **args)
-    sliced = in_order(df, ["trace_id"], ["ts", "pkt_no"], hot_rows=hot_rows, **args)
+    sliced = in_order(df, ["trace_id"], ["ts", "pkt_no"], part_rows=part_rows, **args)
     assert sorted(plain.collect()) == sorted(sliced.collect())
 
 
@@ -31,15 +30,35 @@ def test_bounds_may_be_infinite_or_text(spark):
         "concat('\"é\\\\', path) AS name")
     for order in (["age", "pkt_no"], ["name", "pkt_no"]):
         plain = in_order(df, [], order, index="i", following={"n": "age"})
-        sliced = in_order(df, [], order, index="i", following={"n": "age"}, hot_rows=11)
+        sliced = in_order(df, [], order, index="i", following={"n": "age"}, part_rows=11)
         assert sorted(map(str, plain.collect())) == sorted(map(str, sliced.collect()))
 
 
+def test_many_large_keys_and_any_order_type(spark):
+    """1,500 keys of which each spans parts, ordered by a date and a decimal."""
+    df = spark.range(9000).selectExpr(
+        "id % 1500 AS k", "date_add(DATE'2024-01-01', int(id / 1500)) AS d", "CAST(id AS decimal(12,2)) AS x")
+    args = dict(index="i", previous={"p": "x"}, following={"n": "d"})
+    plain = in_order(df, ["k"], ["d", "x"], **args)
+    cut = in_order(df, ["k"], ["d", "x"], part_rows=4, **args)
+    assert sorted(plain.collect()) == sorted(cut.collect())
+
+
+def test_exploded_rows_are_counted_and_parts_are_bounded(spark):
+    """Few input rows that multiply: the parts follow the rows there are, not an estimate."""
+    df = spark.range(4).selectExpr("id % 2 AS k", "explode(sequence(1, 5000)) AS x", "id").repartition(1)
+    plan = in_order(df, ["k"], ["x", "id"], index="i", part_rows=1000)
+    assert sorted(r["i"] for r in plan.where("k = 0").collect()) == list(range(10_000))
+    held = spark.read.parquet(*[f for f in plan.inputFiles() if "/ranged-" in f])
+    sizes = [r["count"] for r in held.groupBy("_part").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2 * 1000
+
+
 def test_users_of_the_order_are_safe_for_hot_keys(spark):
     df = _requests(spark)
     for call in (g.call_edges, s.order_requests, s.request_gaps):
         assert sorted(map(str, call(df).collect())) == sorted(
-            map(str, call(df, hot_rows=7).collect()))
+            map(str, call(df, part_rows=7).collect()))
     assert sorted(r.sequence_timestamps(df, 1000, ["ts", "pkt_no"], "trace_id").collect()) == (
         sorted(r.sequence_timestamps(df, 1000, ["ts", "pkt_no"], "trace_id", 9).collect()))
 
@@ -71,9 +90,9 @@ def test_percentile_of_hot_graphs(spark):
     values = {}
     for x in df.collect():
         values.setdefault(x["trace_id"], []).append(x["importance"])
-    for hot_rows in (2_000_000, 6):
+    for part_rows in (2_000_000, 6):
         got = {x["trace_id"]: x["threshold"]
-               for x in ex.edge_threshold(df, hot_rows=hot_rows).collect()}
+               for x in ex.edge_threshold(df, part_rows=part_rows).collect()}
         for k, v in values.items():
             assert got[k] == np.percentile(v, 90)
 

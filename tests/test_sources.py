@@ -27,6 +27,18 @@ GRAPHS = [
 ]
 
 
+def test_files_with_other_headers_fail(spark, tmp_path):
+    """They must not put values into the wrong columns."""
+    names, *rows = CSV.splitlines()
+    (tmp_path / "a.csv").write_text("\n".join([names, rows[0]]))
+    (tmp_path / "b.csv").write_text("\n".join([names, rows[1]]))
+    assert files.read_features(spark, str(tmp_path)).count() == 2
+    turn = lambda line: ",".join(line.split(",")[::-1])
+    (tmp_path / "c.csv").write_text("\n".join([turn(names), turn(rows[2])]))
+    with pytest.raises(Exception, match="header"):
+        files.read_features(spark, str(tmp_path)).collect()
+
+
 def test_feature_csv(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_text(CSV)
