@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowverdict.functions import records
@@ -12,7 +13,7 @@ from flowverdict.operators import (
 from flowverdict.operators.lineage import checkpointed
 from flowverdict.operators.graph_batch import initial_weights
 from flowverdict.plans import compare, detect
-from flowverdict.schemas import MODEL_INPUT, c
+from flowverdict.schemas import MODEL_INPUT, NUMERIC, c
 from flowverdict.sources import tables as t
 
 from .registry import query, rounded
@@ -37,7 +38,7 @@ def labelled_sessions(spark, folder):
     return out.drop("share").withColumn("y", records.label(F.col("classification")))
 
 
-def models(spark, folder, trees=20, depth=6, epochs=2):
+def models(spark, folder, trees=100, depth=10, epochs=2):
     """Models fitted on the sessions of the folder, once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
@@ -101,12 +102,22 @@ def apply_scaler(spark, folder):
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *_LINES))
 
 
-@query("assemble")
+def _code_sql(name):
+    """Code of a category: how many of its values sort before it."""
+    value = f"coalesce({name}, 'unknown')"
+    return (f"(SELECT count(*) FROM (SELECT DISTINCT {value} AS v FROM dirty) WHERE v < coalesce(d.{name}, 'unknown'))"
+            "::DOUBLE")
+
+
+@query("assemble", sql("SELECT _id, " + ", ".join(
+    (f"CASE WHEN n{k + 1} IS NULL OR isnan(n{k + 1}) OR isinf(n{k + 1}) THEN 0.0 ELSE n{k + 1} END::DOUBLE"
+     if n in NUMERIC else _code_sql(n)) + f" AS x{k}" for k, n in enumerate(MODEL_INPUT)) + " FROM dirty d"))
 def assemble(spark, folder):
+    """The parts of the assembled vector, each as a column."""
     rows = records.clean_features(t.dirty_features(spark, folder))
-    return pr.assemble(pr.apply_label_codes(rows, pr.fit_label_codes(rows))).select(
-        "_id", F.col("features").cast("string").alias("features")
-    )
+    out = pr.assemble(pr.apply_label_codes(rows, pr.fit_label_codes(rows)))
+    parts = vector_to_array("features")
+    return out.select("_id", *[F.get(parts, F.lit(k)).alias(f"x{k}") for k in range(len(MODEL_INPUT))])
 
 
 @query("stratified_split", sql("""
@@ -125,9 +136,8 @@ def stratified_split(spark, folder):
 
 @query("smote")
 def smote(spark, folder):
-    """Classes of the balanced vectors, with the mean of their first dimension."""
-    out = sm.smote(t.vectors(spark, folder))
-    return out.select("_id", "y", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(9)])
+    """The balanced vectors, given and made."""
+    return sm.smote(t.vectors(spark, folder)).select("_id", "y", "x")
 
 
 @query("smote_balance", sql("""

@@ -166,7 +166,7 @@ VIEWS = {
                o_orderstatus AS status, o_orderdate AS create_time, o_custkey AS custkey
         FROM orders""",
     "vectors": """
-        SELECT vec_id::VARCHAR AS _id, embedding[1:9]::DOUBLE[] AS x, (label = 0)::INTEGER AS y
+        SELECT vec_id::VARCHAR AS _id, embedding::DOUBLE[] AS x, (label = 0)::INTEGER AS y
         FROM embeddings""",
 }
 

@@ -138,10 +138,10 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """First nine embedding dimensions as a scaled feature vector, label 0 against rest."""
+    """Embeddings as scaled feature vectors, label 0 against rest."""
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("_id"),
-        F.transform(F.slice("embedding", 1, 9), lambda v: v.cast("double")).alias("x"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
         (F.col("label") == 0).cast("int").alias("y"),
     )
 
