@@ -15,6 +15,7 @@ frequent ones go to all tasks, the rest is joined.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,9 +218,15 @@ def _trie_arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if found.count() > MOST_GRAMS:
         # By count, then key: as many as fit.
         found = found.orderBy(F.desc("n"), "key").limit(MOST_GRAMS)
-    frame = found.toPandas()
-    order = np.argsort(frame["key"].to_numpy())
-    return frame["key"].to_numpy(np.int64)[order].view(U64), frame["n"].to_numpy(np.int64)[order]
+    keys, n = _columns(found)
+    order = np.argsort(keys)
+    return keys[order].view(U64), n[order].astype(np.float64)
+
+
+def _columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, n)`` of a bounded table as arrays; Arrow keeps it small on the way."""
+    found = counts.select("key", "n").toArrow()
+    return found["key"].to_numpy(), found["n"].to_numpy()
 
 
 _tries: dict[int, tuple] = {}
@@ -245,7 +252,7 @@ def _score(shared):
         trie, head, head_counts = _ready(shared)
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for first, texts in w.batches_of(batch.column("text"), FLUSH):
+            for first, texts in w.batches_of(batch.column("text"), FLUSH // 3):
                 hashes, at = w.words(texts)
                 keys = hashes >> U64(1)
                 found = head.find(keys)
@@ -283,13 +290,13 @@ def scored(docs: DataFrame) -> DataFrame:
     words = counts.where("word").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     end_count = (words.where(F.col("key") == END_WORD).agg(F.sum("n")).first()[0]) or 0
-    head = words.where(F.col("key") != END_WORD).orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toPandas()
+    head, head_counts = _columns(
+        words.where(F.col("key") != END_WORD).orderBy(F.desc("n"), "key").limit(HEAD_WORDS))
     keys, n = _trie_arrays(counts)
-    import uuid
-
     shared = spark.sparkContext.broadcast({
         "name": uuid.uuid4().hex, "grams": keys, "counts": n,
-        "words": head["key"].to_numpy(np.int64), "word_counts": head["n"].to_numpy(np.float64)})
+        "words": head, "word_counts": head_counts.astype(np.float64)})
+    del head, keys, n
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _score(shared), MAIN), "scores")
     names = ["high", "low"]
