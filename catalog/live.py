@@ -55,7 +55,7 @@ def run_updates(stream, spark, name):
     SELECT epoch_ms(date_trunc('second', event_time)) AS second, count(*) AS qps,
            count(*) FILTER (is_anomaly = 1) AS anomalies FROM results GROUP BY 1"""))
 def stream_rates(spark, folder):
-    updates = run_updates(live.stream_rates(t.results(_Streamed(spark), folder)), spark, "rates")
+    updates = run_updates(live.stream_rates(t.results(_Streamed(spark), folder), "10 seconds"), spark, "rates")
     newest = updates.groupBy("second").agg(
         F.max_by(F.struct("qps", "anomalies"), "batch_id").alias("r"))
     return newest.select(F.unix_millis("second").alias("second"), "r.*")

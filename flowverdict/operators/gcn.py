@@ -6,13 +6,12 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph_batch import Weights, forward, gradients, initial_weights, make_batch
 from .graphs import weighted_pairs
 from .grids import parameter_grid
-from .lineage import checkpointed
+from .lineage import checkpointed, written
 from .metrics import classification_metrics, pick_best
 
 TASK_EDGES = 200_000  # distinct edges up to which a graph is scored inside one task
@@ -169,6 +168,7 @@ class Adam:
 
 
 COLLECT_PARTS = 256
+BATCH = 32  # graphs of a step
 
 
 def summed(df: DataFrame, call, size: int, partitions: int) -> np.ndarray:
@@ -198,11 +198,13 @@ def summed(df: DataFrame, call, size: int, partitions: int) -> np.ndarray:
 def fit_gcn(
     graphs: DataFrame, hidden: int = HIDDEN, depth: int = 2, epochs: int = EPOCHS,
     rate: float = RATE, pos_weight: float | str | None = None, batches: int | None = None,
-    seed: int = 42, snapshots: list[int] | None = None,
+    seed: int = 42, snapshots: list[int] | None = None, batch: int = BATCH,
 ) -> Weights | dict[int, Weights]:
     """Adam on cross entropy. ``graphs``: _id, call_graph, y; graphs without edges are left out.
 
-    A step is one Spark job over a hash shard of the graphs that returns gradient sums.
+    A step is one Spark job over a hash shard of about ``batch`` graphs (or as many shards as
+    ``batches`` says) that returns gradient sums. The shards are written once, in order, so a
+    step reads only its own rows.
     ``pos_weight`` "balanced" weights positives by negatives / (positives + 1e-5).
     ``snapshots`` asks for the weights after several epoch counts of one run.
     """
@@ -215,15 +217,15 @@ def fit_gcn(
     if pos_weight == "balanced":
         pos_weight = (total - positive) / (positive + 1e-5)
     factor = 1.0 if pos_weight is None else float(pos_weight)
-    shards = batches or int(min(16, max(1, total // 32)))
-    sharded = rows.withColumn(
-        "shard", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(shards))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    shards = batches or max(1, -(-total // batch))
+    shard = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(shards))
+    sharded = written(
+        rows.withColumn("shard", shard).repartitionByRange("shard").sortWithinPartitions("shard"), "shards")
     partitions = sharded.rdd.getNumPartitions()
     weights = initial_weights(hidden, depth, seed)
     flat, adam, kept = weights.flat(), Adam(rate), {}
     for epoch in range(1, epochs + 1):
-        for shard in range(shards):
+        for number in range(shards):
             now = weights.like(flat)
 
             def call(whole, now=now):
@@ -234,13 +236,12 @@ def fit_gcn(
                     total += np.concatenate([g, [loss, n]])
                 return total
 
-            part = sharded if shards == 1 else sharded.where(F.col("shard") == shard)
+            part = sharded if shards == 1 else sharded.where(F.col("shard") == number)
             out = summed(part.select("call_graph", "y"), call, flat.size + 2, partitions)
             if out[-1] > 0:
                 flat = adam(flat, out[:-2] / out[-1])
         if snapshots and epoch in snapshots:
             kept[epoch] = weights.like(flat.copy())
-    sharded.unpersist()
     return kept if snapshots else weights.like(flat)
 
 

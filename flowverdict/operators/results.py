@@ -216,15 +216,17 @@ def latest_score(df: DataFrame) -> DataFrame:
     )
 
 
-def live_counters(df: DataFrame, now: int, start=None, end=None) -> DataFrame:
+def live_counters(df: DataFrame, now: int | None = None, start=None, end=None) -> DataFrame:
     """Total and anomaly counters of arriving rows.
 
     Rows before ``start`` are not counted; nothing is counted live when the shown range
-    ended more than 60 s ago.
+    ended more than 60 s ago. ``now`` is in ms; without it the time of the query, and in a
+    stream that of each micro-batch, is taken.
     """
     rows = df.where(F.col("timestamp") >= start) if start is not None else df
-    if end is not None and end < now - 60_000:
-        rows = rows.where(F.lit(False))
+    if end is not None:
+        clock = F.unix_millis(F.current_timestamp()) if now is None else F.lit(now)
+        rows = rows.where(F.lit(end) >= clock - 60_000)
     return rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(F.col("is_anomaly") == 1, 1)).alias("anomaly"),

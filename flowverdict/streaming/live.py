@@ -14,13 +14,15 @@ _STATE = "seen boolean, status int, payload string, jobs long"
 _OUT = "trace_id string, status int, payload string, jobs long"
 
 
-def stream_rates(results: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Counts per second of event time; rows later than ``late`` are dropped."""
+def stream_rates(results: DataFrame, late: str) -> DataFrame:
+    """Counts per second of event time. Rows later than ``late`` are not counted, so it must be
+    as long as results may take to arrive."""
     return per_second_rates(results.withWatermark("event_time", late))
 
 
-def stream_counters(results: DataFrame, now: int, start=None, end=None) -> DataFrame:
-    """Running totals; write in complete mode."""
+def stream_counters(results: DataFrame, now: int | None = None, start=None, end=None) -> DataFrame:
+    """Running totals; write in complete mode. Without ``now`` the clock goes on with the
+    micro-batches."""
     return live_counters(results, now, start, end)
 
 

@@ -175,7 +175,9 @@ def test_explanations_of_stored_records(spark, models):
 
 def test_forest_importances(spark, models):
     rows = fo.feature_importances(models.forest, spark).collect()
-    assert [r["feature"] for r in rows] == MODEL_INPUT
+    assert sorted(r["feature"] for r in rows) == sorted(MODEL_INPUT)
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [r["importance"] for r in rows] == sorted((r["importance"] for r in rows), reverse=True)
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
 
 
