@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as w
 from .common import cut, table, unused
-from .components import components, small
+from .components import components, small, stars
 from .registry import query
 
 PERCENT = 80  # least similarity
@@ -442,7 +442,8 @@ def _join_cells(cells: pd.DataFrame) -> pd.DataFrame:
         else:
             stored, walking = [k for k in everyone if side[k] == 0], [k for k in everyone if side[k]]
         if stored and walking and len(rows) > 1:
-            out += [(digests[x], digests[y]) for x, y in trie_links(tokens, stored, walking, known)]
+            found = trie_links(tokens, stored, walking, known)
+            out += stars((digests[x], digests[y]) for x, y in found)
     return pd.DataFrame(out, columns=["u", "v"])
 
 
@@ -522,7 +523,8 @@ def similar_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
     found = cut(components(links), "components")
     further = _further_cells(held, groups, found)
     if further is not None:
-        found = cut(components(links.union(_links(further))), "components")
+        known = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        found = cut(components(known.union(_links(further))), "components")
     return found
 
 

@@ -63,7 +63,9 @@ def test_trie_links_connect_what_is_similar(seed):
     assert classes(len(sets), found) == classes(len(sets), across)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [100_000, 20])
+def test_components(spark, task, monkeypatch):
+    monkeypatch.setattr(c, "LINKS_A_TASK", task)
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(50)]
     links += [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
