@@ -13,6 +13,7 @@ first and then, epoch by epoch, those that the model itself finds most toxic.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,10 +98,12 @@ class _Net:
     """Embeddings and softmax under Adagrad; words are rows of a sparse bag of n-grams."""
 
     def __init__(self, vocabulary: list[str], rng):
-        bags = [subwords(w) for w in vocabulary]
-        self.sizes = np.array([len(b) for b in bags])
-        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.ids = np.concatenate([np.array(b, np.int64) for b in bags])
+        ids, ends = array("i"), array("q", [0])
+        for word in vocabulary:
+            ids.extend(subwords(word))
+            ends.append(len(ids))
+        self.ids, self.bounds = np.array(ids), np.array(ends)
+        self.sizes = np.diff(self.bounds)
         self.inner = rng.uniform(-1, 1, (BUCKETS, SIZE)) / SIZE
         self.outer = np.zeros((2, SIZE))
         self.bias = np.zeros(2)
@@ -151,31 +154,31 @@ def train(rows: list[tuple[int, str]], counts: dict[int, int]) -> Model | Consta
     ``counts``: labels of each class in the table; they weigh the classes in the calibration.
     """
     rng = np.random.default_rng(SEED)
-    split = [(y, words_of(t)) for y, t in rows]
-    split = [(y, w) for y, w in split if w]
-    classes = {y for y, _ in split}
-    if len(classes) < 2:
-        return Constant(float(max(classes, default=0)))
-    vocabulary = sorted(set().union(*(w for _, w in split)))
-    number = {w: k for k, w in enumerate(vocabulary)}
-    net = _Net(vocabulary, rng)
+    number: dict[str, int] = {}
+    labels, ids_of = [], []
+    for y, text in rows:
+        ids = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32)
+        if len(ids):
+            labels.append(y)
+            ids_of.append(np.resize(ids, max(len(ids), WINDOW)))
+    if len(set(labels)) < 2:
+        return Constant(float(max(labels, default=0)))
+    net = _Net(list(number), rng)
+    del number
     cut_up, owner = [], []
-    for d, (_, words) in enumerate(split):
-        ids = np.array([number[w] for w in words])
-        if len(ids) < WINDOW:
-            ids = np.resize(ids, WINDOW)
+    for d, ids in enumerate(ids_of):
         starts = np.arange(0, max(1, len(ids) - WINDOW + 1), WINDOW // 2)
         cut_up.append(ids[starts[:, None] + np.arange(WINDOW)])
         owner.append(np.full(len(starts), d))
     windows, owner = np.concatenate(cut_up), np.concatenate(owner)
-    y = np.array([y for y, _ in split])[owner]
+    y = np.array(labels)[owner]
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for epoch in range(EPOCHS):
         if epoch < 2:
             picked = rng.choice(toxic, min(len(toxic), 12_000), replace=False)
         else:
             means = net.word_scores()[windows[toxic]].mean(axis=1)
-            best = np.full(len(split), -np.inf)
+            best = np.full(len(labels), -np.inf)
             np.maximum.at(best, owner[toxic], means)
             bias = float(net.bias[1] - net.bias[0])
             picked = toxic[(means == best[owner[toxic]]) | (means + bias > 0)]
@@ -195,6 +198,7 @@ def train(rows: list[tuple[int, str]], counts: dict[int, int]) -> Model | Consta
     labels = [label for label, _ in rows]
     slope, model.shift = fit_logistic(margins, labels, class_weights(labels, counts))
     model.slope = float(slope[0])
+    model.known.clear()
     return model
 
 
