@@ -44,12 +44,11 @@ class WordIds:
         self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [
-            t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts
-        ]
-        for start in range(0, len(split), 64):
-            self._learn(split[start : start + 64])
-            for words in split[start : start + 64]:
+        for start in range(0, len(texts), 64):  # the words of a few texts at a time
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                     for t in texts[start : start + 64]]
+            self._learn(split)
+            for words in split:
                 yield b"".join(map(self.words.__getitem__, words))
 
     def _learn(self, texts: list[list[str]]):

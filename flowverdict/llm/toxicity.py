@@ -29,7 +29,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6 << 20  # of each class
 BUCKETS, SIZE, WINDOW = 1 << 16, 8, 10
 SHORTEST, LONGEST = 3, 6
 EPOCHS, BATCH, RATE, SEED = 6, 512, 0.3, 7
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|…«»„“”‘’-_"
 
 
