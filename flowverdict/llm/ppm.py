@@ -8,6 +8,10 @@ the context has different bytes), and the bytes seen there are excluded from the
 The bytes seen after a context were all seen after its suffixes, so what has to be excluded
 depends only on the context one byte longer, and is prepared for each once.
 
+A table of more than ``MOST_GRAMS`` n-grams is not sent whole: the most frequent ones go to all
+tasks with their probabilities, the others of each text are resolved by joins with the written
+tables of all orders. Both ways give the same scores.
+
 Beside it goes a unigram score over words. Its counts cover all training words; the most
 frequent ones go to all tasks, the rest is joined.
 """
@@ -29,9 +33,10 @@ from .registry import query
 MODULUS, HELD_OUT = 5, 1
 ORDER = 5
 END = 10  # a byte that no word holds
-# Size of the trie that goes to every task. A trie with more n-grams loses the rarest ones, as
-# PPM coders of bounded memory do; all counts are still taken over all texts.
+# n-grams that go to every task: all of them, or of a larger table the most frequent ones, the
+# others being joined.
 MOST_GRAMS = 6_000_000
+HOT_GRAMS = 10_000  # of the joined n-grams, those found in most texts are sent after all
 HEAD_WORDS = 1 << 18
 FLUSH = 6 << 20
 END_WORD = -1  # stands for the end in the table of words
@@ -50,7 +55,8 @@ def grams(coded: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The ``order + 1`` bytes up to each place, packed into one number."""
     out = np.zeros(max(0, len(coded) - order), U64)
     for k in range(order + 1):
-        out = (out << U64(8)) | coded[k : k + len(out)].astype(U64)
+        out <<= U64(8)
+        out |= coded[k : k + len(out)]
     return out
 
 
@@ -159,16 +165,39 @@ class Trie:
         out[open_] -= np.log10(unseen)
         return out
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        coded = normal(texts)
-        ends = np.flatnonzero(coded == END)
-        # Every text has ORDER leading ends and one that closes it.
-        last = ends[ORDER :: ORDER + 1]
-        first = ends[0 :: ORDER + 1]
-        values = self.log10(grams(coded)) if len(coded) else np.empty(0)
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        return sums[last - ORDER + 1] - sums[first]
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """log10 probability of each text, its end included; no n-gram is left to join."""
+        keys, first, last = _spans(texts)
+        sums = np.concatenate([[0.0], np.cumsum(self.log10(keys))])
+        return sums[last] - sums[first], [np.empty(0, np.int64)] * len(texts), [np.empty(0, np.int64)] * len(texts)
+
+
+class Frequent:
+    """The most frequent n-grams with the log10 probabilities of their last bytes."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.top, self.logs = Table(keys), logs
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The part of each text that is known here; its other n-grams and how often each comes."""
+        keys, first, last = _spans(texts)
+        at = self.top.find(keys)
+        known = np.where(at >= 0, self.logs[at], 0.0) if len(self.logs) else np.zeros(len(keys))
+        sums = np.concatenate([[0.0], np.cumsum(known)])
+        left, times = [], []
+        for a, b in zip(first, last):
+            k, n = np.unique(keys[a:b][at[a:b] < 0], return_counts=True)
+            left.append(k.view(np.int64))
+            times.append(n)
+        return sums[last] - sums[first], left, times
+
+
+def _spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed n-grams of ``texts``, and where those of each text begin and end."""
+    coded = normal(texts)
+    ends = np.flatnonzero(coded == END)
+    # Every text has ORDER leading ends and one that closes it.
+    return grams(coded), ends[0 :: ORDER + 1], ends[ORDER :: ORDER + 1] - ORDER + 1
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -213,14 +242,107 @@ def _counted(word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         ["word", "key", "n"])
 
 
-def _trie_arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = counts.where("NOT word").select("key", "n")
-    if found.count() > MOST_GRAMS:
-        # By count, then key: as many as fit.
-        found = found.orderBy(F.desc("n"), "key").limit(MOST_GRAMS)
-    keys, n = _columns(found)
-    order = np.argsort(keys)
-    return keys[order].view(U64), n[order].astype(np.float64)
+def _low(key: str, order: int):
+    """The last ``order + 1`` bytes of a packed n-gram."""
+    return F.col(key).bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1).cast("long"))
+
+
+def _context(key: str):
+    return F.shiftright(key, 8)
+
+
+class Orders:
+    """Counts of all orders as written tables. A key meets at most 256 rows in every join.
+
+    ``grams[k]``: ``(key, n)``, ``k + 1`` bytes each. ``contexts[k]``: ``(context, total, kinds,
+    rest_total, rest_kinds)``, ``rest_*`` as in ``Trie``.
+    """
+
+    def __init__(self, found: DataFrame):
+        self.grams = [found.select("key", "n")]
+        for order in range(ORDER - 1, -1, -1):
+            self.grams.insert(0, cut(self.grams[0].groupBy(_low("key", order).alias("key")).agg(
+                F.sum("n").alias("n")), "grams"))
+        nothing = F.lit(None).cast("long")
+        of = self.grams[0].groupBy(_context("key").alias("context")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        self.contexts = [cut(of.select(
+            "*", nothing.alias("rest_total"), nothing.alias("rest_kinds")), "contexts")]
+        for order in range(1, ORDER + 1):
+            shorter = self.grams[order - 1].select(F.col("key").alias("low"), F.col("n").alias("seen"))
+            suffixes = self.contexts[order - 1].select(
+                F.col("context").alias("suffix"), F.col("total").alias("of_total"), F.col("kinds").alias("of_kinds"))
+            of = self.grams[order].withColumn("low", _low("key", order - 1)).join(shorter, "low").groupBy(
+                _context("key").alias("context")).agg(
+                F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("seen").alias("seen"))
+            self.contexts.append(cut(of.withColumn("suffix", _low("context", order - 2)).join(
+                suffixes, "suffix").select(
+                "context", "total", "kinds", (F.col("of_total") - F.col("seen")).alias("rest_total"),
+                (F.col("of_kinds") - F.col("kinds")).alias("rest_kinds")), "contexts"))
+        kinds = self.contexts[0].agg(F.sum("kinds")).first()[0] or 0
+        self.unseen = -float(np.log10(EVERY_BYTE - kinds)) if kinds < EVERY_BYTE else 0.0
+
+    def frequent(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``most`` n-grams, none of them rarer than one left out, and their log10
+        probabilities."""
+        of_n = self.grams[ORDER].groupBy("n").agg(F.count(F.lit(1)).alias("key"))
+        kinds, n = _columns(of_n)
+        order = np.argsort(-n)
+        fit = int(np.searchsorted(np.cumsum(kinds[order]), most, "right"))
+        if not fit:
+            return np.empty(0, U64), np.empty(0)
+        found = self.grams[ORDER].where(F.col("n") >= int(n[order[fit - 1]]))
+        keys, logs = _columns(found.withColumn("context", _context("key")).join(
+            self.contexts[ORDER].select("context", "total", "kinds"), "context").select(
+            "key", (F.log10("n") - F.log10(F.col("total") + F.col("kinds"))).alias("n")))
+        return keys.view(U64), logs
+
+    def log10(self, wanted: DataFrame) -> DataFrame:
+        """``(key, log10)`` of distinct packed n-grams ``wanted (key)``, seen or not.
+
+        From the shortest context up: ``n`` is the count, ``free`` the value where the context
+        one byte longer was not seen, ``less`` the value after an escape from the context itself,
+        whose bytes are then excluded.
+        """
+        asked = [wanted.select("key")]
+        for order in range(ORDER - 1, -1, -1):
+            asked.insert(0, cut(asked[0].select(_low("key", order).alias("key")).distinct(), "asked"))
+        state = None
+        for order in range(ORDER + 1):
+            rows = asked[order].join(self.grams[order], "key", "left").withColumn(
+                "context", _context("key")).join(self.contexts[order], "context", "left")
+            if state is None:
+                less = free = F.lit(self.unseen)
+            else:
+                rows = rows.withColumn("low", _low("key", order - 1)).join(state.select(
+                    F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("free").alias("low_free"),
+                    F.col("less").alias("low_less")), "low")
+                room = F.log10(F.col("rest_total") + F.col("rest_kinds"))
+                # Where all bytes are excluded there is no escape to code.
+                less = F.when(F.col("low_n") > 0, F.log10("low_n") - room).otherwise(
+                    F.coalesce(F.log10("rest_kinds") - room, F.lit(0.0)) + F.col("low_less"))
+                free = F.col("low_free")
+            room = F.log10(F.col("total") + F.col("kinds"))
+            state = cut(rows.select(
+                "key", "n", less.alias("less"),
+                F.when(F.col("n") > 0, F.log10("n") - room)
+                .when(F.col("total") > 0, F.log10("kinds") - room + less).otherwise(free).alias("free")), "state")
+        return state.select("key", F.col("free").alias("log10"))
+
+
+def _joined_scores(rows: DataFrame, orders: Orders) -> DataFrame:
+    """``(high, low, joined_score)``: of the n-grams that were not among the frequent ones."""
+    left = rows.select("high", "low", F.explode(F.arrays_zip("left", "left_times")).alias("x")).select(
+        "high", "low", F.col("x.left").alias("key"), F.col("x.left_times").alias("times"))
+    wanted = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("texts")), "wanted")
+    values = cut(wanted.join(orders.log10(wanted), "key"), "values")
+    # Sent, so that no task of the join gets the rows of an n-gram that is new in very many texts.
+    hot = values.orderBy(F.desc("texts"), "key").limit(HOT_GRAMS).select("key", F.col("log10").alias("sent"))
+    met = left.join(F.broadcast(hot), "key", "left")
+    parts = met.where("sent IS NOT NULL").select("high", "low", (F.col("times") * F.col("sent")).alias("part")).unionByName(
+        met.where("sent IS NULL").join(values, "key").select(
+            "high", "low", (F.col("times") * F.col("log10")).alias("part")))
+    return parts.groupBy("high", "low").agg(F.sum("part").alias("joined_score"))
 
 
 def _columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -233,20 +355,21 @@ _tries: dict[int, tuple] = {}
 
 
 def _ready(shared) -> tuple:
-    """Trie and frequent words of a broadcast, built once in a worker."""
+    """Trie or frequent n-grams, and frequent words, of a broadcast, built once in a worker."""
     if shared.value["name"] not in _tries:
         _tries.clear()
         v = shared.value
-        _tries[v["name"]] = (Trie(v["grams"], v["counts"]), Table(v["words"].view(U64)), v["word_counts"])
+        model = Trie(v["grams"], v["counts"]) if v["whole"] else Frequent(v["grams"], v["counts"])
+        _tries[v["name"]] = (model, Table(v["words"].view(U64)), v["word_counts"])
     return _tries[shared.value["name"]]
 
 
 MAIN = ("doc_id long, n_tokens long, high long, low long, head_sum double, head_known long, "
-        "score double, rare array<long>, times array<long>")
+        "score double, rare array<long>, times array<long>, left array<long>, left_times array<long>")
 
 
 def _score(shared):
-    """One row per document; words that are not among the frequent ones are passed on."""
+    """One row per document; words and n-grams that are not among the frequent ones are passed on."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, head, head_counts = _ready(shared)
@@ -266,13 +389,14 @@ def _score(shared):
                     times.append(n)
                 names = np.frombuffer(b"".join(
                     hashlib.blake2b(t, digest_size=16).digest() for t in texts), "<i8").reshape(-1, 2)
+                score, left, left_times = trie.texts(texts)
                 yield pa.record_batch([
                     ids.slice(first, len(texts)), pa.array(np.diff(at) + 1),
                     pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])),
                     pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(known[at[1:]] - known[at[:-1]]),
-                    pa.array(trie.texts(texts)), pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "high", "low", "head_sum", "head_known", "score", "rare", "times"])
+                    pa.array(score), *[pa.array(x, pa.list_(pa.int64())) for x in (rare, times, left, left_times)]],
+                    ["doc_id", "n_tokens", "high", "low", "head_sum", "head_known", "score", "rare", "times",
+                     "left", "left_times"])
 
     return score
 
@@ -292,9 +416,16 @@ def scored(docs: DataFrame) -> DataFrame:
     end_count = (words.where(F.col("key") == END_WORD).agg(F.sum("n")).first()[0]) or 0
     head, head_counts = _columns(
         words.where(F.col("key") != END_WORD).orderBy(F.desc("n"), "key").limit(HEAD_WORDS))
-    keys, n = _trie_arrays(counts)
+    found = counts.where("NOT word").select("key", "n")
+    orders = None if found.count() <= MOST_GRAMS else Orders(found)
+    if orders is None:
+        keys, n = _columns(found)
+        order = np.argsort(keys)
+        keys, n = keys[order].view(U64), n[order].astype(np.float64)
+    else:
+        keys, n = orders.frequent(MOST_GRAMS)
     shared = spark.sparkContext.broadcast({
-        "name": uuid.uuid4().hex, "grams": keys, "counts": n,
+        "name": uuid.uuid4().hex, "whole": orders is None, "grams": keys, "counts": n,
         "words": head, "word_counts": head_counts.astype(np.float64)})
     del head, keys, n
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -307,7 +438,12 @@ def scored(docs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("rare_known"))
     # Equal texts share a name, so their sums came up once for each of them.
     copies = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
-    sums = cut(copies.join(joined, names, "left"), "sums")
+    sums = copies.join(joined, names, "left")
+    if orders is None:
+        sums = sums.withColumn("joined_score", F.lit(0.0))
+    else:
+        sums = sums.join(_joined_scores(rows, orders), names, "left")
+    sums = cut(sums, "sums")
     held_out = is_held_out(F.col("doc_id"), MODULUS, HELD_OUT)
     space = float(np.log10(total + 0.5 * (distinct + 1)))
     of_end = float(np.log10(end_count + 0.5))
@@ -318,7 +454,7 @@ def scored(docs: DataFrame) -> DataFrame:
         (F.col("head_known") + rare_known + int(end_count > 0)).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("head_sum") + rare_sum + of_end - F.col("n_tokens") * space).alias("base_score"),
-        "score")
+        (F.col("score") + F.coalesce(F.col("joined_score") / F.col("copies"), F.lit(0.0))).alias("score"))
 
 
 @query("op8_ppm_scoring")

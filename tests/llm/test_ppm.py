@@ -99,3 +99,17 @@ def test_a_trie_over_its_size_keeps_the_frequent_part(spark, documents, monkeypa
     monkeypatch.setattr(p, "MOST_GRAMS", 60)
     part = {r["doc_id"]: r["score"] for r in p.scored(documents(rows)).collect()}
     assert all(math.isfinite(x) and x <= 0 for x in part.values()) and sum(part.values()) < sum(whole.values())
+
+
+@pytest.mark.parametrize("most", [0, 60, 900])
+def test_scores_do_not_depend_on_the_grams_sent(spark, documents, hard, most, monkeypatch):
+    rows = [(i, t if t is None or len(t) < 9000 else invented(7, 900)) for i, t in hard]
+    rows += [(50 + k, invented(k % 7, 40, 60)) for k in range(20)]
+    rows += [(90 + k, "rare \u0416\u4e2d zq" + "xj" * k) for k in range(10)]
+    whole = Counter((r["doc_id"], round(r["score"], 6)) for r in p.scored(documents(rows)).collect())
+    seen = plain_trie([t for i, t in rows if not held(i)])
+    assert sum(len(v) for k, v in seen.items() if len(k) == p.ORDER) > most
+    monkeypatch.setattr(p, "MOST_GRAMS", most)
+    monkeypatch.setattr(p, "HOT_GRAMS", 5)
+    part = Counter((r["doc_id"], round(r["score"], 6)) for r in p.scored(documents(rows)).collect())
+    assert part == whole == Counter((i, round(plain_score(seen, t), 6)) for i, t in rows)
