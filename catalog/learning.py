@@ -166,10 +166,8 @@ def _split(spark, folder, rows):
 
 @query("search_forest")
 def search_forest(spark, folder):
-    """Four cells of the forest grid."""
     train, val, _ = _split(spark, folder, t.vectors(spark, folder))
-    grid = {"n_estimators": [5, 10], "max_depth": [3, 6], "max_features": ["sqrt"]}
-    return fo.search_forest(train, val, grid)
+    return fo.search_forest(train, val)
 
 
 # --- Graph net -----------------------------------------------------------------------
@@ -242,12 +240,10 @@ def fit_gcn(spark, folder):
 
 @query("search_gcn")
 def search_gcn(spark, folder):
-    """Two cells of the graph-net grid, one epoch each."""
     rows = graph_rows(spark, folder).join(
         labelled_sessions(spark, folder).select("_id", "y"), "_id")
     train, val, _ = _split(spark, folder, rows)
-    grid = {"hidden_channels": [8, 16], "learning_rate": [0.005]}
-    return gcn.search_gcn(train, val, grid, epochs=1, batches=2)
+    return gcn.search_gcn(train, val)
 
 
 # --- Gate ----------------------------------------------------------------------------
