@@ -413,10 +413,5 @@ def detect_captures(spark, folder):
 def compare_methods(spark, folder):
     rows = checkpointed(labelled_sessions(spark, folder).join(graph_rows(spark, folder), "_id"))
     parts = _split(spark, folder, rows)
-    spaces = {"dual": {"alpha": [0.2, 0.4], "conf_threshold": [0.4], "weight_high_conf": [0.5],
-                       "weight_low_conf": [0.1], "threshold_adjust_rf": [0.05, 0.1],
-                       "threshold_adjust_gcn": [0.03]}}
-    metrics, _ = compare.compare_methods(
-        *parts, depths=(1, 2, 3), epochs=1, hidden=8, spaces=spaces, gate_epochs=5, trees=10,
-        depth=5)
+    metrics, _ = compare.compare_methods(*parts)
     return metrics

@@ -32,3 +32,8 @@ def settings(monkeypatch, module, name, call):
 @pytest.mark.parametrize("module, name", [(fo, "search_forest"), (gcn, "search_gcn")])
 def test_searches_walk_the_whole_grid(spark, folder, monkeypatch, module, name):
     assert settings(monkeypatch, module, name, lambda: getattr(q, name)(spark, folder)) == {}
+
+
+def test_comparison_at_full_size(spark, folder, monkeypatch):
+    call = lambda: q.compare_methods(spark, folder)
+    assert settings(monkeypatch, compare, "compare_methods", call) == {}
