@@ -38,7 +38,7 @@ def labelled_sessions(spark, folder):
     return out.drop("share").withColumn("y", records.label(F.col("classification")))
 
 
-def models(spark, folder, trees=100, depth=10, epochs=2):
+def models(spark, folder, trees=100, depth=10):
     """Models fitted on the sessions of the folder, once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
@@ -46,7 +46,7 @@ def models(spark, folder, trees=100, depth=10, epochs=2):
         forest = fo.train_forest(rows, trees=trees, depth=depth)
         graphs = graph_rows(spark, folder).join(rows.select("_id", "y"), "_id")
         nets = [
-            gcn.fit_gcn(graphs, hidden=16, depth=d, epochs=epochs, pos_weight="balanced", batches=4)
+            gcn.fit_gcn(graphs, depth=d, pos_weight="balanced")
             for d in (2, 1)
         ]
         _MODELS[key] = detect.Models(forest, *nets)
@@ -276,7 +276,7 @@ def score_gate(spark, folder):
 @query("fit_gate")
 def fit_gate(spark, folder):
     rows = t.scores(spark, folder)
-    gate = gt.fit_gate(rows, epochs=5)
+    gate = gt.fit_gate(rows)
     return gt.score_gate(rows, gate).select("trace_id", "alpha", "gate_prob", "gate_verdict")
 
 

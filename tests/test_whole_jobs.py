@@ -37,3 +37,11 @@ def test_searches_walk_the_whole_grid(spark, folder, monkeypatch, module, name):
 def test_comparison_at_full_size(spark, folder, monkeypatch):
     call = lambda: q.compare_methods(spark, folder)
     assert settings(monkeypatch, compare, "compare_methods", call) == {}
+
+
+def test_models_at_full_size(spark, folder, monkeypatch):
+    monkeypatch.setattr(q, "_MODELS", {})
+    monkeypatch.setattr(fo, "train_forest", lambda *_, **__: None)
+    call = lambda: q.models(spark, folder)
+    assert settings(monkeypatch, gcn, "fit_gcn", call) == {"pos_weight": "balanced"}
+    assert settings(monkeypatch, gt, "fit_gate", lambda: q.fit_gate(spark, folder)) == {}
