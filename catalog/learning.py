@@ -328,9 +328,8 @@ def top_weights(spark, folder):
 
 @query("explain_forest")
 def explain_forest(spark, folder):
-    """Every session, with few sample points each."""
     rows = features(spark, folder).withColumnRenamed("_id", "trace_id")
-    return ex.explain_forest(rows, models(spark, folder).forest, samples=20)
+    return ex.explain_forest(rows, models(spark, folder).forest)
 
 
 @query("explain_graph")
@@ -354,7 +353,7 @@ def _stored(spark, folder):
 def explain_batch(spark, folder):
     m = models(spark, folder)
     stored = _stored(spark, folder)
-    out = ex.explain_batch(stored.select("trace_id"), stored, m.forest, m.gcn, m.fallback, 20)
+    out = ex.explain_batch(stored.select("trace_id"), stored, m.forest, m.gcn, m.fallback)
     return out.select(
         "trace_id", "status", F.to_json("lime_weights").alias("lime_weights"),
         F.to_json("abnormal_edges").alias("abnormal_edges"),

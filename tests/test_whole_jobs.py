@@ -45,3 +45,10 @@ def test_models_at_full_size(spark, folder, monkeypatch):
     call = lambda: q.models(spark, folder)
     assert settings(monkeypatch, gcn, "fit_gcn", call) == {"pos_weight": "balanced"}
     assert settings(monkeypatch, gt, "fit_gate", lambda: q.fit_gate(spark, folder)) == {}
+
+
+@pytest.mark.parametrize("name", ["explain_forest", "explain_batch"])
+def test_explanations_draw_all_sample_points(spark, folder, monkeypatch, name):
+    models = q.detect.Models(None, None, None)
+    monkeypatch.setattr(q, "models", lambda *_: models)
+    assert settings(monkeypatch, ex, name, lambda: getattr(q, name)(spark, folder)) == {}
