@@ -1,4 +1,7 @@
 """All corpus queries; importing the operators registers them."""
 
-from . import decontaminate, jaccard, licenses, packing, ppm, quality, sharding, sitetree, topk, toxicity  # noqa: F401
+from . import (  # noqa: F401
+    covertree, cuckoo, decontaminate, jaccard, licenses, packing, ppm, quality, sharding, sitetree, topk, toxicity,
+    variants,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
