@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -38,18 +40,39 @@ def labelled_sessions(spark, folder):
     return out.drop("share").withColumn("y", records.label(F.col("classification")))
 
 
-def models(spark, folder, trees=100, depth=10):
-    """Models fitted on the sessions of the folder, once per session and folder."""
+class FolderModels:
+    """Models fitted on the sessions of a folder, each when it is first asked for."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+
+    @cached_property
+    def rows(self):
+        return labelled_sessions(self.spark, self.folder)
+
+    @cached_property
+    def forest(self):
+        return fo.train_forest(self.rows)
+
+    @cached_property
+    def graphs(self):
+        return checkpointed(
+            graph_rows(self.spark, self.folder).join(self.rows.select("_id", "y"), "_id"))
+
+    @cached_property
+    def gcn(self):
+        return gcn.fit_gcn(self.graphs, pos_weight="balanced")
+
+    @cached_property
+    def fallback(self):
+        return gcn.fit_gcn(self.graphs, depth=1, pos_weight="balanced")
+
+
+def models(spark, folder):
+    """Models of the folder, once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
-        rows = labelled_sessions(spark, folder)
-        forest = fo.train_forest(rows, trees=trees, depth=depth)
-        graphs = graph_rows(spark, folder).join(rows.select("_id", "y"), "_id")
-        nets = [
-            gcn.fit_gcn(graphs, depth=d, pos_weight="balanced")
-            for d in (2, 1)
-        ]
-        _MODELS[key] = detect.Models(forest, *nets)
+        _MODELS[key] = FolderModels(spark, folder)
     return _MODELS[key]
 
 
@@ -246,6 +269,14 @@ def search_gcn(spark, folder):
     return gcn.search_gcn(train, val)
 
 
+@query("search_epochs")
+def search_epochs(spark, folder):
+    rows = graph_rows(spark, folder).join(
+        labelled_sessions(spark, folder).select("_id", "y"), "_id")
+    train, val, _ = _split(spark, folder, rows)
+    return gcn.search_epochs(train, val)[0]
+
+
 # --- Gate ----------------------------------------------------------------------------
 
 
@@ -414,3 +445,10 @@ def compare_methods(spark, folder):
     parts = _split(spark, folder, rows)
     metrics, _ = compare.compare_methods(*parts)
     return metrics
+
+
+@query("sweep_epochs")
+def sweep_epochs(spark, folder):
+    """All methods after every candidate epoch count."""
+    rows = checkpointed(labelled_sessions(spark, folder).join(graph_rows(spark, folder), "_id"))
+    return compare.sweep_epochs(*_split(spark, folder, rows), gcn.EPOCH_CANDIDATES)

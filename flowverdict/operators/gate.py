@@ -118,7 +118,6 @@ def fit_gate(
     rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     held = validation.select(*columns).persist(StorageLevel.MEMORY_AND_DISK) if (
         validation is not None) else None
-    partitions = {id(x): x.rdd.getNumPartitions() for x in (rows, held) if x is not None}
     adam = Adam(rate)
     best, best_loss, waited = flat, np.inf, 0
 
@@ -130,7 +129,7 @@ def fit_gate(
             g, loss, n = gate_gradients(rf, gcn, y, now)
             return np.concatenate([g, [loss, n]])
 
-        return summed(table, call, flat.size + 2, partitions[id(table)])
+        return summed(table, call, flat.size + 2)
 
     for _ in range(epochs):
         out = measure(rows, flat)

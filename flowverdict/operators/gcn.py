@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .graph_batch import Weights, forward, gradients, initial_weights, make_batch
 from .graphs import weighted_pairs
 from .grids import parameter_grid
-from .lineage import checkpointed, written
+from .lineage import checkpointed, shared_folder
 from .metrics import classification_metrics, pick_best
 
 TASK_EDGES = 200_000  # distinct edges up to which a graph is scored inside one task
@@ -167,16 +168,17 @@ class Adam:
         return w - self.rate * m / (np.sqrt(v) + self.eps)
 
 
-COLLECT_PARTS = 256
 BATCH = 32  # graphs of a step
+# A shard is what one task fits on between two averages: graphs, and edges on average.
+SHARD_GRAPHS, SHARD_EDGES = 1024, 1_000_000
 
 
-def summed(df: DataFrame, call, size: int, partitions: int) -> np.ndarray:
+def summed(df: DataFrame, call, size: int) -> np.ndarray:
     """Sum over the partitions of ``df`` of the vectors ``call(batch)`` gives.
 
-    ``call`` maps a record batch to an array of ``size``. Each partition adds up its own;
-    many partitions are added per component on the executors, so the driver receives
-    ``size`` numbers or a few short vectors.
+    ``call`` maps a record batch to an array of ``size``. Each partition adds up its own, the
+    partitions are added per component on the executors, and the driver receives ``size``
+    numbers.
     """
     def part(batches):
         total = np.zeros(size)
@@ -186,100 +188,206 @@ def summed(df: DataFrame, call, size: int, partitions: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"g": pa.array([total.tolist()])})
 
     sums = df.mapInArrow(part, "g array<double>")
-    if partitions <= COLLECT_PARTS:
-        return np.sum([r["g"] for r in sums.collect()], axis=0)
-    parts = sums.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    return _added(sums.select(F.posexplode("g").alias("i", "v")), size)
+
+
+def _added(parts: DataFrame, size: int) -> np.ndarray:
+    """Sums of ``parts (i, v)`` per component."""
     out = np.zeros(size)
-    for r in parts.collect():
+    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
 
-def fit_gcn(
-    graphs: DataFrame, hidden: int = HIDDEN, depth: int = 2, epochs: int = EPOCHS,
-    rate: float = RATE, pos_weight: float | str | None = None, batches: int | None = None,
-    seed: int = 42, snapshots: list[int] | None = None, batch: int = BATCH,
-) -> Weights | dict[int, Weights]:
-    """Adam on cross entropy. ``graphs``: _id, call_graph, y; graphs without edges are left out.
+@dataclass
+class Net:
+    """Settings of a net to fit."""
 
-    A step is one Spark job over a hash shard of about ``batch`` graphs (or as many shards as
-    ``batches`` says) that returns gradient sums. The shards are written once, in order, so a
-    step reads only its own rows.
-    ``pos_weight`` "balanced" weights positives by negatives / (positives + 1e-5).
-    ``snapshots`` asks for the weights after several epoch counts of one run.
+    hidden: int = HIDDEN
+    depth: int = 2
+    rate: float = RATE
+
+
+def training_shards(
+    graphs: DataFrame, seed: int, batch: int
+) -> tuple[DataFrame, int, int]:
+    """Graphs with edges as ``(shard, place, call_graph, y)``, their number and the positives.
+
+    The table is written with all rows of a shard together in one partition, so an epoch moves
+    none of them. Shards follow from the id, not from how the rows were dealt.
     """
     rows = checkpointed(
         graphs.where(F.size("call_graph") > 0).select("_id", "call_graph", "y")
     )
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    positive = counts.get(1, 0)
+    total, positive, edges = rows.agg(
+        F.count(F.lit(1)), F.count(F.when(F.col("y") == 1, 1)), F.sum(F.size("call_graph"))
+    ).first()
+    shards = max(1, -(-total // max(SHARD_GRAPHS, batch)), -(-(edges or 0) // SHARD_EDGES))
+    place = F.xxhash64("_id", F.lit(seed))
+    sharded = rows.select(
+        F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"),
+        place.alias("place"), "call_graph", "y",
+    )
+    context = sharded.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(sharded.sparkSession, "fit"))
+    dealt = sharded.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    return dealt.checkpoint(), total, positive
+
+
+def whole_shards(batches):
+    """The rows of each shard of a partition as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shards = np.asarray(batch.column("shard"))
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            if low == high:
+                continue
+            if held and held[0].column("shard")[0].as_py() != shards[low]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def local_steps(
+    table: pa.Table, states: list[np.ndarray], shapes: list[Weights], rates: list[float],
+    batch: int, factor: float, seed: int, epoch: int,
+) -> list[np.ndarray]:
+    """One epoch of Adam steps of every net over the graphs of a shard, from ``states``.
+
+    A state holds the weights, both moments and the number of steps. Every net takes the same
+    batches, in an order drawn anew for each epoch; a batch is laid out once for all nets.
+    """
+    table = table.combine_chunks()
+    shard = table["shard"][0].as_py()
+    order = np.random.default_rng([seed % (1 << 32), epoch, shard]).permutation(len(table))
+    y = np.asarray(table["y"]).astype(float)
+    graphs = table["call_graph"].combine_chunks()
+    adams = []
+    for state, shape, rate in zip(states, shapes, rates):
+        flat, m, v = np.split(state[:-1], 3)
+        adam = Adam(rate)
+        adam.m, adam.v, adam.step = m, v, state[-1]
+        adams.append((adam, shape, flat))
+    for low in range(0, len(order), batch):
+        rows = order[low : low + batch]
+        laid_out, labels = make_batch(graphs.take(pa.array(rows))), y[rows]
+        for k, (adam, shape, flat) in enumerate(adams):
+            g, _, n = gradients(laid_out, shape.like(flat), labels, factor)
+            adams[k] = (adam, shape, adam(flat, g / n))
+    return [np.concatenate([flat, adam.m, adam.v, [adam.step]]) for adam, _, flat in adams]
+
+
+def fit_gcns(
+    graphs: DataFrame, nets: list[Net], epochs: int = EPOCHS,
+    pos_weight: float | str | None = None, batches: int | None = None, seed: int = 42,
+    snapshots: list[int] | None = None, batch: int = BATCH,
+) -> list[Weights] | dict[int, list[Weights]]:
+    """Adam on cross entropy for several nets at once. ``graphs``: _id, call_graph, y; graphs
+    without edges are left out.
+
+    An epoch is one Spark job, whatever the number of graphs and nets. Every shard takes its
+    own steps over batches of ``batch`` graphs (or ``batches`` of them in all), and the weights
+    and moments of the shards are averaged by their graphs; up to ``SHARD_GRAPHS`` graphs there
+    is one shard, and the steps follow each other as in plain training.
+    ``pos_weight`` "balanced" weights positives by negatives / (positives + 1e-5).
+    ``snapshots`` asks for the weights after several epoch counts of one run.
+    """
+    if batches:
+        held = graphs.where(F.size("call_graph") > 0).count()
+        batch = max(1, -(-held // batches))
+    sharded, total, positive = training_shards(graphs, seed, batch)
     if pos_weight == "balanced":
         pos_weight = (total - positive) / (positive + 1e-5)
     factor = 1.0 if pos_weight is None else float(pos_weight)
-    shards = batches or max(1, -(-total // batch))
-    shard = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(shards))
-    sharded = written(
-        rows.withColumn("shard", shard).repartitionByRange("shard").sortWithinPartitions("shard"), "shards")
-    partitions = sharded.rdd.getNumPartitions()
-    weights = initial_weights(hidden, depth, seed)
-    flat, adam, kept = weights.flat(), Adam(rate), {}
+    shapes = [initial_weights(n.hidden, n.depth, seed) for n in nets]
+    flats = [w.flat() for w in shapes]
+    states = [np.concatenate([f, np.zeros(2 * f.size + 1)]) for f in flats]
+    rates = [n.rate for n in nets]
+    ends = np.cumsum([s.size for s in states])
+    kept = {}
+
+    def done() -> list[Weights]:
+        return [w.like(s[: f.size].copy()) for w, f, s in zip(shapes, flats, states)]
+
     for epoch in range(1, epochs + 1):
-        for number in range(shards):
-            now = weights.like(flat)
-
-            def call(whole, now=now):
-                total = np.zeros(flat.size + 2)
-                for batch in row_pieces(whole):
-                    y = np.asarray(batch.column("y")).astype(float)
-                    g, loss, n = gradients(make_batch(batch.column("call_graph")), now, y, factor)
-                    total += np.concatenate([g, [loss, n]])
-                return total
-
-            part = sharded if shards == 1 else sharded.where(F.col("shard") == number)
-            out = summed(part.select("call_graph", "y"), call, flat.size + 2, partitions)
-            if out[-1] > 0:
-                flat = adam(flat, out[:-2] / out[-1])
+        if total:
+            def steps(rows, now=states, epoch=epoch):
+                for table in whole_shards(rows):
+                    out = local_steps(table, now, shapes, rates, batch, factor, seed, epoch)
+                    share = len(table) / total
+                    yield pa.RecordBatch.from_pydict({"s": [(np.concatenate(out) * share).tolist()]})
+
+            parts = sharded.mapInArrow(steps, "s array<double>")
+            averaged = _added(parts.select(F.posexplode("s").alias("i", "v")), int(ends[-1]))
+            states = np.split(averaged, ends[:-1])
         if snapshots and epoch in snapshots:
-            kept[epoch] = weights.like(flat.copy())
-    return kept if snapshots else weights.like(flat)
+            kept[epoch] = done()
+    return kept if snapshots else done()
 
 
-def _judged(val: DataFrame, weights: Weights) -> DataFrame:
-    scored = score_call_graphs(val.select("_id", "call_graph", "y"), weights)
-    return scored.withColumn("predicted", (F.col("gcn_prob") > 0.5).cast("int"))
+def fit_gcn(
+    graphs: DataFrame, hidden: int = HIDDEN, depth: int = 2, epochs: int = EPOCHS,
+    rate: float = RATE, pos_weight: float | str | None = None, batches: int | None = None,
+    seed: int = 42, snapshots: list[int] | None = None, batch: int = BATCH,
+) -> Weights | dict[int, Weights]:
+    """One net, as ``fit_gcns`` fits it."""
+    out = fit_gcns(
+        graphs, [Net(hidden, depth, rate)], epochs, pos_weight, batches, seed, snapshots, batch)
+    return {n: w[0] for n, w in out.items()} if snapshots else out[0]
+
+
+def score_nets(df: DataFrame, nets: list[Weights], graph: str = "call_graph") -> DataFrame:
+    """``df`` with ``gcn_probs``, the probability of every net; a graph is laid out once."""
+    def probabilities(graphs: pa.Array) -> pa.Array:
+        parts = [np.zeros((0, len(nets)))]
+        for piece in _pieces(graphs, graph_lengths(graphs)):
+            laid_out = make_batch(piece)
+            parts.append(np.stack([forward(laid_out, w)[0] for w in nets], axis=1))
+        found = np.concatenate(parts)
+        ends = np.arange(0, found.size + 1, len(nets), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+
+    return df.withColumn("gcn_probs", F.arrow_udf(probabilities, "array<double>")(F.col(graph)))
+
+
+def judge_nets(val: DataFrame, nets: list[Weights]) -> DataFrame:
+    """Validation metrics of every net by ``cell``, its place in ``nets``: one pass over ``val``."""
+    scored = score_nets(val.select("_id", "call_graph", "y"), nets)
+    judged = scored.select("y", F.posexplode("gcn_probs").alias("cell", "gcn_prob")).select(
+        F.col("cell").cast("long").alias("cell"), "y",
+        (F.col("gcn_prob") > 0.5).cast("int").alias("predicted"),
+    )
+    return classification_metrics(judged, ["cell"])
 
 
 def search_gcn(
     train: DataFrame, val: DataFrame, grid=None, depth: int = 2, epochs: int = EPOCHS, **fit
 ) -> DataFrame:
-    """Validation metrics of every (hidden size, learning rate)."""
+    """Validation metrics of every (hidden size, learning rate), all fitted in the same jobs."""
     spark = train.sparkSession
     cells = parameter_grid(spark, grid or GCN_GRID).orderBy("cell").collect()
-    out = None
-    for r in cells:
-        hidden, rate = int(r["hidden_channels"]), r["learning_rate"]
-        weights = fit_gcn(train, hidden, depth, epochs, rate, **fit)
-        row = classification_metrics(_judged(val, weights)).select(
-            F.lit(r["cell"]).alias("cell"), F.lit(hidden).alias("hidden_channels"),
-            F.lit(rate).alias("learning_rate"), "*",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    nets = [Net(int(r["hidden_channels"]), depth, r["learning_rate"]) for r in cells]
+    named = spark.createDataFrame(
+        [(r["cell"], n.hidden, n.rate) for r, n in zip(cells, nets)],
+        "cell long, hidden_channels int, learning_rate double",
+    )
+    metrics = judge_nets(val, fit_gcns(train, nets, epochs, **fit))
+    return named.join(F.broadcast(metrics), "cell")  # a row for each cell on both sides
 
 
 def search_epochs(
     train: DataFrame, val: DataFrame, candidates=EPOCH_CANDIDATES, **fit
 ) -> tuple[DataFrame, dict[int, Weights]]:
-    """Validation metrics after each candidate epoch count, from one training run."""
+    """Validation metrics after each candidate epoch count (``cell``), from one training run."""
     kept = fit_gcn(train, epochs=max(candidates), snapshots=list(candidates), **fit)
-    out = None
-    for epochs in candidates:
-        row = classification_metrics(_judged(val, kept[epochs])).select(
-            F.lit(epochs).cast("long").alias("cell"), "*"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out, kept
+    counts = sorted(kept)
+    metrics = judge_nets(val, [kept[n] for n in counts])
+    number = F.get(F.array(*[F.lit(n).cast("long") for n in counts]), F.col("cell"))
+    return metrics.withColumn("cell", number), kept
 
 
 def best_gcn(search: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fusion as fu
 from ..operators import gate as gt, grids
 from ..operators.forest import ForestScorer, train_forest
-from ..operators.gcn import fit_gcn, score_call_graphs
+from ..operators.gcn import Net, fit_gcns, score_call_graphs
 from ..operators.metrics import best_per_category, classification_metrics, pick_best
 
 CATEGORIES = {
@@ -96,7 +96,7 @@ def compare_methods(
     the scaler of the model that scores them.
     """
     scorer = train_forest(train.drop("call_graph", "y"), **forest)
-    nets = {d: fit_gcn(train, hidden=hidden, depth=d, epochs=epochs) for d in depths}
+    nets = dict(zip(depths, fit_gcns(train, [Net(hidden, d) for d in depths], epochs)))
     metrics = judge_methods(val, test, scorer, nets, spaces, gate_epochs)
     return metrics, best_per_category(metrics, "rf")
 
@@ -105,15 +105,13 @@ def sweep_epochs(
     train: DataFrame, val: DataFrame, test: DataFrame, epochs: list[int], depths=(1, 2, 3),
     hidden: int = 64, spaces=None, gate_epochs: int = gt.EPOCHS, **forest,
 ) -> DataFrame:
-    """``compare_methods`` after several epoch counts: one forest, one run per net."""
+    """``compare_methods`` after several epoch counts: one forest, one run of all nets."""
     scorer = train_forest(train.drop("call_graph", "y"), **forest)
-    runs = {
-        d: fit_gcn(train, hidden=hidden, depth=d, epochs=max(epochs), snapshots=list(epochs))
-        for d in depths
-    }
+    runs = fit_gcns(
+        train, [Net(hidden, d) for d in depths], max(epochs), snapshots=list(epochs))
     out = None
     for n in epochs:
-        nets = {d: kept[n] for d, kept in runs.items()}
+        nets = dict(zip(depths, runs[n]))
         part = judge_methods(val, test, scorer, nets, spaces, gate_epochs).withColumn(
             "epochs", F.lit(n))
         out = part if out is None else out.unionByName(part)

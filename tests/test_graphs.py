@@ -149,3 +149,91 @@ def test_fit_lowers_the_loss(spark):
     assert right >= 38
     again = gcn.fit_gcn(df, hidden=8, depth=2, epochs=12, rate=0.05, batches=2)
     assert np.allclose(w.flat(), again.flat())
+
+
+def labelled_graphs(spark, n):
+    rows = [(f"g{i}", [("/a", "/b")] * (1 + i % 2 * 6) + [("/b", f"/c{i % 3}")] * (i % 4), i % 2)
+            for i in range(n)]
+    return spark.createDataFrame(
+        rows, "_id string, call_graph array<struct<fromId:string,toId:string>>, y int")
+
+
+def plain_fit(sharded, nets, epochs, batch, factor, seed=42):
+    """Epochs of Adam per shard, one batch after another, then averages by graphs."""
+    rows = {}
+    for r in sharded.collect():
+        rows.setdefault(r["shard"], []).append((r["place"], [tuple(e) for e in r["call_graph"]], r["y"]))
+    total = sum(map(len, rows.values()))
+    out = []
+    for net in nets:
+        start = gb.initial_weights(net.hidden, net.depth, seed)
+        flat, m, v, t = start.flat(), 0.0, 0.0, 0.0
+        for epoch in range(1, epochs + 1):
+            ends = []
+            for shard, held in rows.items():
+                held = sorted(held, key=lambda r: r[0])
+                x, mm, vv, tt = flat, m, v, t
+                order = np.random.default_rng([seed, epoch, shard]).permutation(len(held))
+                for low in range(0, len(order), batch):
+                    part = [held[k] for k in order[low : low + batch]]
+                    lists = [[{"fromId": a, "toId": b} for a, b in g] for _, g, _ in part]
+                    y = np.array([float(r[2]) for r in part])
+                    g, _, n = gb.gradients(gb.make_batch(pa.array(lists)), start.like(x), y, factor)
+                    tt += 1
+                    mm = 0.9 * mm + 0.1 * g / n
+                    vv = 0.999 * vv + 0.001 * (g / n) ** 2
+                    x = x - net.rate * (mm / (1 - 0.9**tt)) / (np.sqrt(vv / (1 - 0.999**tt)) + 1e-8)
+                ends.append((len(held) / total, x, mm, vv, tt))
+            flat, m, v, t = (sum(e[0] * e[k] for e in ends) for k in (1, 2, 3, 4))
+        out.append(flat)
+    return out
+
+
+@pytest.mark.parametrize("graphs_a_shard", [1000, 12])
+def test_fit_is_plain_adam_averaged_over_shards(spark, monkeypatch, graphs_a_shard):
+    monkeypatch.setattr(gcn, "SHARD_GRAPHS", graphs_a_shard)
+    df = labelled_graphs(spark, 70)
+    nets = [gcn.Net(5, 2, 0.01), gcn.Net(3, 1, 0.05)]
+    sharded, total, positive = gcn.training_shards(df, 42, 8)
+    assert sharded.select("shard").distinct().count() == (1 if graphs_a_shard == 1000 else 6)
+    factor = (total - positive) / (positive + 1e-5)
+    want = plain_fit(sharded, nets, 3, 8, factor)
+    got = gcn.fit_gcns(df, nets, 3, "balanced", batch=8)
+    for w, flat in zip(got, want):
+        assert np.allclose(w.flat(), flat, rtol=0, atol=1e-9)
+    again = gcn.fit_gcns(df.repartition(5), nets, 3, "balanced", batch=8, snapshots=[1, 3])
+    assert np.allclose(again[3][0].flat(), want[0], rtol=0, atol=1e-9)
+    assert not np.allclose(again[1][0].flat(), want[0], atol=1e-4)
+
+
+def test_jobs_of_a_fit_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(gcn, "SHARD_GRAPHS", 10)
+    context, jobs = spark.sparkContext, []
+    for n, nets in ((20, 1), (200, 3)):
+        context.setJobGroup(f"fit{n}", "")
+        gcn.fit_gcns(labelled_graphs(spark, n), [gcn.Net(4, 1)] * nets, 2)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"fit{n}")))
+    context.setJobGroup("", "")
+    assert jobs[0] == jobs[1] < 20
+
+
+def test_search_judges_every_cell(spark):
+    df = labelled_graphs(spark, 40)
+    grid = {"hidden_channels": [4, 6], "learning_rate": [0.01, 0.1]}
+    out = {r["cell"]: r for r in gcn.search_gcn(df, df, grid, epochs=4).collect()}
+    assert sorted(out) == [0, 1, 2, 3]
+    for cell, (hidden, rate) in enumerate([(4, 0.01), (4, 0.1), (6, 0.01), (6, 0.1)]):
+        w = gcn.fit_gcn(df, hidden, 2, 4, rate)
+        scored = gcn.score_call_graphs(df, w).collect()
+        right = sum(r["gcn_prob"] > 0.5 and r["y"] == 1 for r in scored)
+        assert (out[cell]["hidden_channels"], out[cell]["learning_rate"]) == (hidden, rate)
+        assert out[cell]["tp"] == right
+    by_epochs, kept = gcn.search_epochs(df, df, [2, 4], hidden=4, rate=0.1)
+    rows = {r["cell"]: r for r in by_epochs.collect()}
+    assert sorted(rows) == [2, 4] == sorted(kept)
+    assert [rows[4][c] for c in ("tn", "fp", "fn", "tp")] == [out[1][c] for c in ("tn", "fp", "fn", "tp")]
+
+
+def test_fit_without_graphs(spark):
+    df = labelled_graphs(spark, 4).where("y > 5")
+    assert np.allclose(gcn.fit_gcn(df, 4).flat(), gb.initial_weights(4).flat())

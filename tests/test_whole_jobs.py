@@ -19,7 +19,7 @@ def settings(monkeypatch, module, name, call):
 
     def spy(*args, **named):
         given = spec.bind(*args, **named).arguments
-        rest = given.pop("forest", {}) if name == "compare_methods" else given.pop("fit", {})
+        rest = given.pop("forest", {}) if name in ("compare_methods", "train_forest") else given.pop("fit", {})
         raise Called({k: v for k, v in given.items()
                       if spec.parameters[k].default not in (inspect.Parameter.empty, v)} | rest)
 
@@ -41,8 +41,8 @@ def test_comparison_at_full_size(spark, folder, monkeypatch):
 
 def test_models_at_full_size(spark, folder, monkeypatch):
     monkeypatch.setattr(q, "_MODELS", {})
-    monkeypatch.setattr(fo, "train_forest", lambda *_, **__: None)
-    call = lambda: q.models(spark, folder)
+    assert settings(monkeypatch, fo, "train_forest", lambda: q.models(spark, folder).forest) == {}
+    call = lambda: q.models(spark, folder).gcn
     assert settings(monkeypatch, gcn, "fit_gcn", call) == {"pos_weight": "balanced"}
     assert settings(monkeypatch, gt, "fit_gate", lambda: q.fit_gate(spark, folder)) == {}
 
