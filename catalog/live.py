@@ -118,7 +118,7 @@ def detect_stream(spark, folder):
     run.awaitTermination()
     out = sd.read_results(spark, f"{place}/out")
     return rounded(out.select("trace_id", "source_ip", "timestamp", "rf_prob", "gcn_prob",
-                              "final_prob", "is_anomaly", F.col("fusion_info.mode").alias("mode")))
+                              "final_prob", "is_anomaly", "mode"))
 
 
 @query("bad_messages", sql("""

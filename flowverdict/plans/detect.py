@@ -22,7 +22,7 @@ from ..operators.results import (
     REPORT_LIMIT, sequence_timestamps, tag_with_task, task_summary,
 )
 from ..schemas import CATEGORICAL, MODEL_INPUT, NUMERIC, TOPOLOGY, c
-from ..sources.files import append_task_results
+from ..sources.verdicts import VerdictStore
 
 
 @dataclass
@@ -89,12 +89,12 @@ def task_report(scored: DataFrame, skipped: DataFrame, task: DataFrame) -> tuple
     return task_summary(*marked, task), skipped.orderBy("id", "reason").limit(REPORT_LIMIT)
 
 
-def store_task(scored: DataFrame, tasks: DataFrame, task: int, now: int, path: str) -> None:
-    """Append the records of a task to the stored verdicts, with its name and time stamps."""
+def store_task(scored: DataFrame, tasks: DataFrame, task: int, now: int, path: str) -> bool:
+    """Add the records of a file or capture task to the verdict table at ``path``, with its
+    name and time stamps. A task that is there already, or is not known, changes nothing."""
     named = tag_with_task(scored.withColumn("task_id", F.lit(task).cast("long")), tasks)
-    append_task_results(
-        sequence_timestamps(named, now, ["trace_id"]).drop("task_id"), path
-    )
+    stamped = sequence_timestamps(named, now, ["trace_id"]).drop("task_id")
+    return VerdictStore(scored.sparkSession, path).append(stamped, f"task:{task}")
 
 
 def capture_tables(packets: DataFrame, part_rows: int = PART_ROWS):

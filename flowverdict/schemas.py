@@ -74,6 +74,21 @@ MESSAGE = T.StructType(
     ]
 )
 
+# The stored verdicts of streams (detect type 0), file and capture tasks (1).
+VERDICT = T.StructType(
+    [T.StructField("id", T.LongType(), True)]
+    + _fields(["trace_id", "source_ip"], T.StringType())
+    + _fields(["timestamp"], T.LongType())
+    + _fields(["rf_prob", "gcn_prob", "final_prob"], T.DoubleType())
+    + _fields(["is_anomaly"], T.IntegerType())
+    + _fields(["mode"], T.StringType())
+    + _fields(["threshold", "weight_rf"], T.DoubleType())
+    + _fields(["features_json", "call_graph_json"], T.StringType())
+    + _fields(["detect_type"], T.IntegerType())
+    + _fields(["file_id"], T.LongType())
+    + _fields(["task_name"], T.StringType())
+)
+
 WEIGHTS = T.MapType(T.StringType(), T.DoubleType())
 ABNORMAL_EDGES = T.ArrayType(
     T.StructType(

@@ -1,12 +1,12 @@
-"""Live detection: messages in, verdicts out, newest verdict per trace on reading."""
+"""Live detection: messages in, rows of the verdict table out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.results import latest_by_trace
 from ..plans.detect import Models, infer
 from ..sources.messages import message_rows, parse_messages
+from ..sources.verdicts import VerdictStore
 
 
 def detect_stream(messages: DataFrame, models: Models, mode: str = "adaptive") -> DataFrame:
@@ -24,18 +24,20 @@ def _verdicts(rows: DataFrame, models: Models, mode: str) -> DataFrame:
 
 def write_detect_results(
     messages: DataFrame, models: Models, path: str, checkpoint: str, mode: str = "adaptive",
-    trigger: dict | None = None,
+    trigger: dict | None = None, stream: str = "live",
 ):
-    """Score a message stream into ``path``: verdicts, and texts that do not parse.
+    """Score a message stream into the verdict table at ``path``, and texts that do not parse
+    beside it.
 
-    Each micro-batch writes its own partition by overwriting it, so a replayed batch leaves
-    the same rows. A known trace gets a newer row; readers take the newest
-    (``read_results``), and nothing stored is rewritten while the stream runs.
+    Each micro-batch is one batch of ``stream`` there (``VerdictStore.append``): a replayed
+    batch changes nothing, a known trace gets a newer row and keeps its id, and nothing stored
+    is rewritten while the stream runs.
     """
+    store = VerdictStore(messages.sparkSession, path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_messages(batch).persist()
-        verdicts = _verdicts(message_rows(parsed), models, mode)
-        verdicts.write.mode("overwrite").parquet(f"{path}/verdicts/batch_id={batch_id}")
+        store.append(_verdicts(message_rows(parsed), models, mode), stream, batch_id)
         parsed.where("bad").select("value").write.mode("overwrite").parquet(
             f"{path}/bad_messages/batch_id={batch_id}"
         )
@@ -49,14 +51,28 @@ def write_detect_results(
     )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Stored live verdicts, the newest per trace."""
-    rows = spark.read.parquet(f"{path}/verdicts").withColumn(
-        "arrival", F.struct("batch_id", "timestamp")
+def upsert_stream(results: DataFrame, path: str, checkpoint: str, stream: str = "live",
+                  trigger: dict | None = None):
+    """Write a stream of verdict rows into the verdict table at ``path``, as
+    ``write_detect_results`` does."""
+    store = VerdictStore(results.sparkSession, path)
+    return (
+        results.writeStream.foreachBatch(lambda rows, batch: store.append(rows, stream, batch))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    return latest_by_trace(rows).drop("arrival", "batch_id")
 
 
-def compact_results(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest rows as a base table; run now and then, outside the stream."""
-    read_results(spark, path).write.mode("overwrite").parquet(target)
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Stored verdicts of all streams and tasks, the newest per trace."""
+    return VerdictStore(spark, path).read()
+
+
+def compact_results(spark: SparkSession, path: str, target: str | None = None) -> None:
+    """Merge the batches written so far into a new base, which readers take from then on; run
+    now and then, also while streams write. With ``target`` a copy of all rows is written
+    there."""
+    VerdictStore(spark, path).compact()
+    if target is not None:
+        read_results(spark, path).write.mode("overwrite").parquet(target)

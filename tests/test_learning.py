@@ -8,6 +8,7 @@ from flowverdict.operators import (
 from flowverdict.plans import detect
 from flowverdict.schemas import MODEL_INPUT
 from flowverdict.sources import models as store
+from flowverdict.sources.verdicts import VerdictStore
 
 
 def _points(spark, seed=0, n=300, copies=40):
@@ -201,14 +202,15 @@ def test_file_task_report_and_store(spark, folder, models, tmp_path):
     assert report.count() == min(100, skipped.count())
     tasks = spark.createDataFrame([(7, "Nightly")], "id long, task_name string")
     detect.store_task(scored, tasks, 7, 1000, str(tmp_path / "r"))
-    stored = spark.read.parquet(str(tmp_path / "r"))
-    assert stored.count() == scored.count()
+    stored = VerdictStore(spark, str(tmp_path / "r")).read()
+    assert stored.count() == scored.count() == stored.select("id").distinct().count()
     assert stored.select("detect_type", "file_id", "task_name").distinct().collect() == [
         (1, 7, "Nightly")]
     times = sorted(r["timestamp"] for r in stored.collect())
     assert times == list(range(1000, 1000 + len(times)))
+    assert not detect.store_task(scored, tasks, 7, 9000, str(tmp_path / "r"))  # run again
     detect.store_task(scored, tasks, 8, 1000, str(tmp_path / "r"))  # unknown task: no rows
-    assert spark.read.parquet(str(tmp_path / "r")).count() == len(times)
+    assert VerdictStore(spark, str(tmp_path / "r")).read().count() == len(times)
 
 
 def test_captures_from_files_to_verdicts(spark, models, tmp_path):
