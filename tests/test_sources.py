@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 
 import pytest
@@ -161,3 +162,56 @@ def test_captures(spark, tmp_path):
     empty = by_id[sessions["udp.pcap"]["trace_id"]]
     assert empty["vsession_duration(min)"] == 0.0 and empty["num_users"] == 1.0
     assert requests.select(F.col("host")).distinct().collect() == [("h",)]
+
+
+def noisy(n, seed, order="<", largest=900):
+    """A capture whose payloads hold bytes that look like packet headers."""
+    rng = random.Random(seed)
+    packets = []
+    for k in range(n):
+        lie = struct.pack(order + "IIII", 1_700_000_000 + k, 5, 40, 40) * rng.randint(0, 3)
+        body = b"GET /%d HTTP/1.1\r\n\r\n" % k + lie + rng.randbytes(rng.randint(0, largest))
+        f = frame("10.0.0.%d" % (k % 9), "10.1.0.1", 5000, 80, body, rng.choice([6, 6, 6, 17]))
+        packets.append((1_700_000_000 + k / 4, f))
+    return capture(packets, order)
+
+
+def packet_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_slices_give_the_packets_of_whole_files(spark, tmp_path, monkeypatch):
+    whole = noisy(10_000, 1)
+    (tmp_path / "a.pcap").write_bytes(whole)
+    (tmp_path / "turned.pcap").write_bytes(noisy(800, 2, ">"))
+    (tmp_path / "cut.pcap").write_bytes(noisy(500, 3)[:-77])
+    (tmp_path / "head.pcap").write_bytes(noisy(500, 4)[:-7] + b"\0" * 3)
+    (tmp_path / "large.pcap").write_bytes(noisy(12, 5, largest=60_000))
+    (tmp_path / "empty.pcap").write_bytes(capture([]))
+    (tmp_path / "broken.pcap").write_bytes(b"no capture" * 9000)
+    (tmp_path / "none.pcap").write_bytes(b"")
+    # A packet that holds a whole capture: chains of headers that are none of this file.
+    inner = [(1_700_000_000 + k, b"\0" * 60 + noisy(150, k)) for k in range(6)]
+    (tmp_path / "nested.pcap").write_bytes(capture(inner))
+    want = packet_rows(captures.decode_packets(captures.scan_captures(spark, str(tmp_path))))
+    assert len(want) > 11_000
+    sure = []
+    real = captures.sure_slices
+    monkeypatch.setattr(captures, "sure_slices", lambda found: sure.append(real(found)) or sure[-1])
+    for size, block in ((64 << 20, 8 << 20), (50_000, 8 << 20), (50_000, 3000), (1_000_000, 20_000)):
+        monkeypatch.setattr(captures, "BLOCK_BYTES", block)
+        assert packet_rows(captures.read_packets(spark, str(tmp_path), size)) == want
+    many = {r["file_name"]: r["count"] for r in sure[1].groupBy("file_name").count().collect()}
+    assert many["a.pcap"] > len(whole) // 50_000 - 3  # read by as many tasks as it has slices
+    assert many["cut.pcap"] > 2 and many["empty.pcap"] == many["broken.pcap"] == 1
+
+
+def test_many_large_packets(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(noisy(40, 7, largest=60_000))
+    want = packet_rows(captures.decode_packets(captures.scan_captures(spark, str(tmp_path))))
+    assert packet_rows(captures.read_packets(spark, str(tmp_path), 10_000)) == want
+
+
+def test_no_captures(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("x")
+    assert captures.read_packets(spark, str(tmp_path)).count() == 0
