@@ -241,16 +241,16 @@ def score_gcn_1_layer(spark, folder):
     return rounded(gcn.score_edges(g.call_edges(t.requests(spark, folder)), initial_weights(64, 1)))
 
 
-@query("score_gcn_2_layers", _gcn_sql(initial_weights(16, 2)))
+@query("score_gcn_2_layers", _gcn_sql(initial_weights(64, 2)))
 def score_gcn_2_layers(spark, folder):
-    return rounded(gcn.score_edges(g.call_edges(t.requests(spark, folder)), initial_weights(16, 2)))
+    return rounded(gcn.score_edges(g.call_edges(t.requests(spark, folder)), initial_weights(64, 2)))
 
 
-@query("score_gcn_large_graphs", _gcn_sql(initial_weights(16, 2)))
+@query("score_gcn_large_graphs", _gcn_sql(initial_weights(64, 2)))
 def score_gcn_large_graphs(spark, folder):
     """The form for graphs that fit no task, here for all graphs."""
     edges = g.call_edges(t.requests(spark, folder))
-    return rounded(gcn.score_pairs_joined(g.weighted_pairs(edges), initial_weights(16, 2)))
+    return rounded(gcn.score_pairs_joined(g.weighted_pairs(edges), initial_weights(64, 2)))
 
 
 @query("fit_gcn")
@@ -348,13 +348,13 @@ def abnormal_edges(spark, folder):
         SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY abs(weight) DESC, feature)
                AS rank
         FROM (SELECT user_id::VARCHAR AS trace_id, event_type AS feature, avg(value) - 50 AS weight
-              FROM events GROUP BY 1, 2)) WHERE rank <= 3"""))
+              FROM events GROUP BY 1, 2)) WHERE rank <= 5"""))
 def top_weights(spark, folder):
     """Mean values per user and event type stand for feature weights."""
     weights = t.table(spark, folder, "events").groupBy(
         F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("feature")
     ).agg((F.avg("value") - 50).alias("weight"))
-    return rounded(ex.top_weights(weights, 3))
+    return rounded(ex.top_weights(weights))
 
 
 @query("explain_forest")
@@ -369,6 +369,52 @@ def explain_graph(spark, folder):
     return ex.explain_graph(rows, models(spark, folder).gcn)
 
 
+def _edges_sql(weights):
+    """Fall of the probability of a one-layer net, edge by edge."""
+    (w, b), head = weights.layers[0], weights.head
+    return sql("""
+        SELECT e.trace_id, e.pos, e.from_id, e.to_id, round(CASE WHEN e.from_id = e.to_id THEN 0.0 ELSE greatest(0.0,
+            1.0 / (1.0 + exp(-g.z)) - 1.0 / (1.0 + exp(-(g.z + l.shift / g.nodes)))) END, 6) AS importance
+        FROM edges e JOIN whole g USING (trace_id)
+        LEFT JOIN cut l ON l.trace_id = e.trace_id AND l.from_id = e.from_id AND l.to_id = e.to_id""",
+        links=_LINKS, scaled=_SCALED,
+        a0="""
+            SELECT trace_id, node_id, sum(v) AS a FROM (
+                SELECT trace_id, node_id, x / d AS v FROM scaled
+                UNION ALL
+                SELECT t.trace_id, t.node_id, l.n * s.x / sqrt(s.d * t.d)
+                FROM links l
+                JOIN scaled s ON s.trace_id = l.trace_id AND s.node_id = l.from_id
+                JOIN scaled t ON t.trace_id = l.trace_id AND t.node_id = l.to_id)
+            GROUP BY 1, 2""",
+        w0=f"""SELECT o, {_matrix(w[0])}[o] AS w, {_matrix(b)}[o] AS b, {_matrix(head[0])}[o] AS h
+               FROM range(1, {w.shape[1] + 1}) AS y(o)""",
+        whole=f"""SELECT trace_id, count(DISTINCT node_id) AS nodes, {head[1]!r}::DOUBLE
+                   + sum(h * greatest(0.0, a * w + b)) / count(DISTINCT node_id) AS z
+                  FROM a0 CROSS JOIN w0 GROUP BY 1""",
+        cut="""SELECT l.trace_id, l.from_id, l.to_id, sum(h * (
+                   greatest(0.0, (a.a - s.x / sqrt(s.d * t.d)) * w + b) - greatest(0.0, a.a * w + b))) AS shift
+               FROM links l
+               JOIN scaled s ON s.trace_id = l.trace_id AND s.node_id = l.from_id
+               JOIN scaled t ON t.trace_id = l.trace_id AND t.node_id = l.to_id
+               JOIN a0 a ON a.trace_id = l.trace_id AND a.node_id = l.to_id CROSS JOIN w0
+               GROUP BY 1, 2, 3""")
+
+
+@query("explain_edges", _edges_sql(initial_weights(64, 1)))
+def explain_edges(spark, folder):
+    """Importance of every edge for the one-layer net, graphs in tasks."""
+    edges = checkpointed(g.call_edges(t.requests(spark, folder)))
+    return rounded(ex.explain_edges(edges, initial_weights(64, 1)))
+
+
+@query("explain_edges_large_graphs", _edges_sql(initial_weights(64, 1)))
+def explain_edges_large_graphs(spark, folder):
+    """The form for graphs that fit no task, here for all graphs."""
+    edges = checkpointed(g.call_edges(t.requests(spark, folder)))
+    return rounded(ex.explain_edges(edges, initial_weights(64, 1), task_edges=0))
+
+
 def _stored(spark, folder):
     """Stored records of all sessions; sessions of address 8.8.* kept no features."""
     rows = j.pair_by_id(features(spark, folder), graph_rows(spark, folder))

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.records import features_from_json, graph_from_json
 from ..schemas import ABNORMAL_EDGES, WEIGHTS
 from .forest import ForestScorer, forest_probability
-from .gcn import graph_lengths, row_pieces
+from .gcn import TASK_EDGES, dot, graph_lengths, literal, row_pieces
 from .graph_batch import Weights, edge_importance, make_batch
+from .graphs import weighted_pairs
 from .joins import explain_requests
+from .lineage import checkpointed
 from .ordering import PART_ROWS, in_order
 from .smote import uniform
 
@@ -129,6 +131,177 @@ def explain_graph(
     )
 
 
+def explain_edges(edges: DataFrame, weights: Weights, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``explain_graph`` of an edge table (trace_id, pos, from_id, to_id).
+
+    A graph of at most ``task_edges`` distinct edges goes to one task as an array; larger ones
+    are explained by joins and are never gathered in one place.
+    """
+    pairs = weighted_pairs(edges)
+    sizes = pairs.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_e"))
+    big = sizes.where(F.col("_e") > task_edges).select("trace_id")
+    entry = F.struct(F.col("from_id").alias("fromId"), F.col("to_id").alias("toId"))
+    small = pairs.join(big, "trace_id", "left_anti").groupBy("trace_id").agg(
+        F.flatten(F.collect_list(F.array_repeat(entry, F.col("n").cast("int")))).alias("call_graph"))
+    inside = explain_graph(small, weights).groupBy("trace_id", "from_id", "to_id").agg(
+        F.max("importance").alias("importance"))
+    joined = explain_pairs_joined(pairs.join(big, "trace_id", "left_semi"), weights)
+    return edges.select("trace_id", "pos", "from_id", "to_id").join(
+        inside.unionByName(joined), ["trace_id", "from_id", "to_id"]
+    ).select("trace_id", "pos", "from_id", "to_id", "importance")
+
+
+def explain_pairs_joined(pairs: DataFrame, weights: Weights) -> DataFrame:
+    """Importance of weighted pairs (trace_id, from_id, to_id, n) of graphs of any size.
+
+    Without the message s -> t the first layer changes at t only, by a number that follows from
+    three numbers of s. So the edges into t are grouped by these before they meet the edges that
+    leave t, and those are grouped by what they carry and where to: a hub costs its kinds of
+    edges, not its pairs of edges. Nodes and edges are written once, as several joins read them.
+    """
+    if weights.depth > 2:
+        raise ValueError("edges are explained for one or two layers")
+    two = weights.depth == 2
+    loops = pairs.where(F.col("from_id") == F.col("to_id")).select(
+        "trace_id", "from_id", "to_id", F.lit(0.0).alias("importance"))
+    nodes = _node_states(pairs, weights)
+    graphs = nodes.groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.avg(dot(F.col("h"), literal(weights.head[0]))).alias("z"))
+    start = nodes.select("trace_id", F.col("node_id").alias("from_id"), F.col("x").alias("xs"),
+                         F.col("root").alias("rs"), F.col("a").alias("as"))
+    kind = ["xs", "rs", "as"]
+    plain = pairs.where(F.col("from_id") != F.col("to_id"))
+    edges = checkpointed(plain.join(start, ["trace_id", "from_id"]))
+    target = nodes.select("trace_id", F.col("node_id").alias("to_id"), F.col("root").alias("rt"),
+                          F.col("a").alias("at"), *(["s"] if two else []))
+    kinds = edges.select("trace_id", "to_id", *kind).distinct().join(target, ["trace_id", "to_id"])
+    kinds = kinds.withColumn("d", F.col("xs") / (F.col("rs") * F.col("rt")))
+    own = _own_change(weights)
+    if two:
+        kinds = checkpointed(kinds.withColumn(
+            "own", own(F.col("at"), F.col("d"), F.col("rs"), F.col("rt"), F.col("as"), F.col("s"))
+        ).drop("s"))
+        ends = nodes.select("trace_id", F.col("node_id").alias("to_id"), F.col("root").alias("ru"), "s")
+        leaving = plain.join(ends, ["trace_id", "to_id"]).join(
+            nodes.select("trace_id", F.col("node_id").alias("from_id"), "root"), ["trace_id", "from_id"])
+        leaving = leaving.groupBy(
+            "trace_id", F.col("from_id").alias("to_id"), "s",
+            (F.col("n") / (F.col("root") * F.col("ru"))).alias("carried"),
+        ).agg(F.count(F.lit(1)).alias("m"))
+        further = kinds.select("trace_id", "to_id", *kind, "at", "d").join(leaving, ["trace_id", "to_id"])
+        gone = _next_change(weights)(F.col("at"), F.col("d"), F.col("carried"), F.col("s")) * F.col("m")
+        on = ["trace_id", "to_id", *kind]
+        summed = further.select(*on, gone.alias("g")).groupBy(*on).agg(F.sum("g").alias("g"))
+        kinds = kinds.join(summed, on, "left").withColumn("own", F.col("own") + F.coalesce("g", F.lit(0.0)))
+    else:
+        kinds = kinds.withColumn("own", own(F.col("at"), F.col("d")))
+    logit = F.col("z") + F.lit(float(weights.head[1]))
+    lost = 1.0 / (1.0 + F.exp(-logit)) - 1.0 / (1.0 + F.exp(-(logit + F.col("own") / F.col("nodes"))))
+    valued = kinds.join(graphs, "trace_id").select(
+        "trace_id", "to_id", *kind, F.greatest(F.lit(0.0), lost).alias("importance"))
+    out = edges.join(valued, ["trace_id", "to_id", *kind]).select(
+        "trace_id", "from_id", "to_id", "importance")
+    return out.unionByName(loops)
+
+
+def _node_states(pairs: DataFrame, weights: Weights) -> DataFrame:
+    """``(trace_id, node_id, x, root, a, h[, s])`` of every node: input, root of the degree, input
+    of the first layer, output of the last, and for two layers its input to the rectifier."""
+    ends = pairs.select("trace_id", F.inline(F.array(
+        F.struct(F.col("from_id").alias("node_id"), F.col("n").alias("x"), F.lit(0).alias("i")),
+        F.struct(F.col("to_id").alias("node_id"), F.col("n").alias("x"),
+                 F.when(F.col("from_id") != F.col("to_id"), F.col("n")).otherwise(0).alias("i")),
+    )))
+    nodes = ends.groupBy("trace_id", "node_id").agg(
+        F.sum("x").cast("double").alias("x"), F.sum("i").alias("n_in")
+    ).select("trace_id", "node_id", "x", F.sqrt(F.col("n_in") + 1.0).alias("root"))
+    plain = pairs.where(F.col("from_id") != F.col("to_id"))
+
+    def received(values: list[Column], names: list[str]) -> DataFrame:
+        sent = nodes.select("trace_id", F.col("node_id").alias("from_id"),
+                            *[(v / F.col("root")).alias(n) for v, n in zip(values, names)])
+        return plain.join(sent, ["trace_id", "from_id"]).groupBy(
+            "trace_id", F.col("to_id").alias("node_id")
+        ).agg(*[F.sum(F.col("n") * F.col(n)).alias(f"r_{n}") for n in names])
+
+    def whole(value: Column, name: str) -> Column:
+        return (F.coalesce(F.col(f"r_{name}"), F.lit(0.0)) + value / F.col("root")) / F.col("root")
+
+    nodes = nodes.join(received([F.col("x")], ["v"]), ["trace_id", "node_id"], "left").select(
+        "trace_id", "node_id", "x", "root", whole(F.col("x"), "v").alias("a"))
+    (w1, b1) = weights.layers[0]
+    nodes = checkpointed(nodes)
+    first = _vectors(lambda a: np.maximum(a @ w1 + b1, 0.0), w1.shape[1])(F.col("a"))
+    if weights.depth == 1:
+        return checkpointed(nodes.withColumn("h", first))
+    nodes = nodes.withColumn("h1", first)
+    width = w1.shape[1]
+    values, names = [F.get("h1", F.lit(i)) for i in range(width)], [f"v{i}" for i in range(width)]
+    w2, b2 = weights.layers[1]
+    joined = nodes.join(received(values, names), ["trace_id", "node_id"], "left").withColumn(
+        "a2", F.array(*[whole(v, n) for v, n in zip(values, names)]))
+    second = _vectors(lambda a: a @ w2 + b2, w2.shape[1])(F.col("a2"))
+    out = joined.select("trace_id", "node_id", "x", "root", "a", second.alias("s"))
+    return checkpointed(out.withColumn("h", F.transform("s", lambda v: F.greatest(v, F.lit(0.0)))))
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    """Number or list columns as a matrix."""
+    if not pa.types.is_list(rows.type) and not pa.types.is_large_list(rows.type):
+        return np.asarray(rows)[:, None]
+    return np.asarray(rows.flatten()).reshape(len(rows), -1)
+
+
+def _vectors(call, width: int):
+    """``call`` on a matrix of the rows of a batch, as a column of arrays."""
+    def rows(values: pa.Array) -> pa.Array:
+        out = call(_matrix(values)) if len(values) else np.zeros((0, width))
+        ends = np.arange(0, out.size + 1, width, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+    return F.arrow_udf(rows, "array<double>")
+
+
+def _change(weights: Weights, a: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Change of the first layer's output where its input ``a`` loses ``d``."""
+    w, b = weights.layers[0]
+    return np.maximum((a - d) @ w + b, 0.0) - np.maximum(a @ w + b, 0.0)
+
+
+def _own_change(weights: Weights):
+    """What an edge's end itself adds to the sum of the head when the message is left out."""
+    if weights.depth == 1:
+        return F.arrow_udf(lambda a, d: pa.array(
+            _change(weights, _matrix(a), _matrix(d)) @ weights.head[0]), "double")
+    (w1, b1), (w2, _) = weights.layers
+
+    def own(a: pa.Array, d: pa.Array, rs: pa.Array, rt: pa.Array, source: pa.Array, s: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.float64())
+        rs, rt, before = _matrix(rs), _matrix(rt), _matrix(s)
+        sent = np.maximum(_matrix(source) @ w1 + b1, 0.0) @ w2
+        new = before + _change(weights, _matrix(a), _matrix(d)) @ w2 / rt**2 - sent / (rs * rt)
+        return pa.array((np.maximum(new, 0.0) - np.maximum(before, 0.0)) @ weights.head[0])
+
+    return F.arrow_udf(own, "double")
+
+
+def _next_change(weights: Weights):
+    """What a node adds that gets ``carried`` times the change at the end of the cut edge."""
+    w2 = weights.layers[1][0]
+
+    def further(a: pa.Array, d: pa.Array, carried: pa.Array, s: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.float64())
+        kinds, place = np.unique(np.hstack([_matrix(a), _matrix(d)]), axis=0, return_inverse=True)
+        moved = _change(weights, kinds[:, :1], kinds[:, 1:]) @ w2
+        before = _matrix(s)
+        new = before + _matrix(carried) * moved[place.ravel()]
+        return pa.array((np.maximum(new, 0.0) - np.maximum(before, 0.0)) @ weights.head[0])
+
+    return F.arrow_udf(further, "double")
+
+
 def edge_threshold(
     importances: DataFrame, share: float = 0.9, part_rows: int = PART_ROWS
 ) -> DataFrame:

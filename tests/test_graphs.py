@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowverdict.operators import explain as ex, gcn, graph_batch as gb, graphs as g
 
@@ -123,6 +124,38 @@ def test_edge_importance_by_brute_force(spark, depth):
         assert r["importance"] == pytest.approx(max(0.0, drop), abs=1e-12)
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+@pytest.mark.parametrize("task_edges", [0, 8, 1000])
+def test_edges_of_large_graphs_by_joins(spark, depth, task_edges):
+    """Joined, in tasks, or both, by the size of a graph: the same as leaving edges out."""
+    rows = _random_edges(8)
+    rows += [("hub", k, f"/s{k % 5}" if k < 30 else "/hub", "/hub" if k < 30 else f"/e{k % 7}") for k in range(60)]
+    rows += [("hub", 60, "/hub", "/hub"), ("loop", 0, "/a", "/a")]
+    w = _weights(depth, 4)
+    got = ex.explain_edges(spark.createDataFrame(rows, SCHEMA), w, task_edges).collect()
+    assert sorted((r["trace_id"], r["pos"]) for r in got) == sorted(r[:2] for r in rows)
+    for r in got:
+        edges = [(a, b) for x, _, a, b in rows if x == r["trace_id"]]
+        drop = _dense_probability(edges, w) - _dense_probability(
+            edges, w, (r["from_id"], r["to_id"]))
+        want = 0.0 if r["from_id"] == r["to_id"] else max(0.0, drop)
+        assert r["importance"] == pytest.approx(want, abs=1e-12)
+
+
+def test_a_hub_costs_its_kinds_of_edges(spark):
+    """20,000 edges into and 20,000 out of one node: 400 million pairs, but few kinds."""
+    w = _weights(2, 4)
+    n = 20_000
+    edges = spark.range(2 * n).selectExpr(
+        "'h' AS trace_id", "id AS pos", f"if(id < {n}, concat('/s', id), '/hub') AS from_id",
+        f"if(id < {n}, '/hub', concat('/e', id)) AS to_id")
+    got = {r["k"]: r for r in ex.explain_edges(edges, w, 10).groupBy(
+        (F.col("from_id") == "/hub").alias("k")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("importance").alias("low"), F.max("importance").alias("high")).collect()}
+    for leaves in (True, False):
+        assert got[leaves]["n"] == n and got[leaves]["high"] == pytest.approx(got[leaves]["low"], abs=1e-12)
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3])
 def test_gradients_by_differences(depth):
     rows = _random_edges(2, 5)
