@@ -20,6 +20,7 @@ from .ordering import PART_ROWS, in_order
 from .smote import uniform
 
 SAMPLES, TOP, RIDGE = 1000, 5, 1.0
+FIT_ROWS = 1000  # rows fitted in one go
 
 
 def _normal(*key: Column) -> Column:
@@ -29,63 +30,66 @@ def _normal(*key: Column) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
+def background(spark, d: int, samples: int = SAMPLES, seed: int = 42) -> DataFrame:
+    """``samples`` points ``x`` around the training mean, in scaled units, where mean and
+    deviation are 0 and 1."""
+    drawn = F.array(*[_normal(F.col("id"), F.lit(j), F.lit(seed)) for j in range(d)])
+    return spark.range(1, samples + 1).select("id", drawn.alias("x"))
+
+
 def explain_forest(
     rows: DataFrame, scorer: ForestScorer, samples: int = SAMPLES, seed: int = 42, model=None,
 ) -> DataFrame:
     """Weights of a local linear model per row: (trace_id, feature, weight).
 
-    ``rows``: trace_id and feature columns. Around the training mean ``samples`` points are
-    drawn, scored, weighted by their nearness to the row, and a ridge model is fitted
-    (Ribeiro et al. 2016). Points are drawn in scaled units, where mean and deviation are 0
-    and 1. The normal equations are sums, so points combine before the shuffle; only the
-    ten-by-ten systems are solved in Python. ``model`` may replace the forest by any
-    function that adds ``rf_prob`` to rows with ``x``.
+    ``rows``: trace_id and feature columns. Points around the training mean and the row itself
+    are weighted by their nearness to the row, and a ridge model is fitted to their scores
+    (Ribeiro et al. 2016). The points depend on the mean, not on the row: all rows share
+    ``samples`` of them, which are drawn and scored once, so the forest scores rows + samples.
+    The driver and the tasks hold these points; a task fits its rows batch by batch as matrix
+    products. ``model`` may replace the forest by any function that adds ``rf_prob`` to rows
+    with ``x``.
     """
     names = scorer.preparation.columns
     d = len(names)
     score = model or (lambda df: forest_probability(df, scorer.model))
-    base = scorer.preparation.apply(rows).select("trace_id", F.col("x").alias("x0"))
-    points = base.select(
-        "trace_id", "x0", F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("i")
-    )
-    drawn = F.array(*[
-        _normal(F.col("trace_id"), F.col("i"), F.lit(j), F.lit(seed)) for j in range(d)
-    ])
-    points = points.withColumn("x", F.when(F.col("i") == 0, F.col("x0")).otherwise(drawn))
-    scored = score(points)
-    width2 = 0.75 * 0.75 * d
-    far = F.aggregate(
-        F.zip_with("x", "x0", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
-    )
-    z = [F.lit(1.0)] + [F.col(f"x{j}") for j in range(1, d + 1)]
-    flat = scored.select(
-        "trace_id", F.col("rf_prob").alias("p"),
-        F.sqrt(F.exp(-far / F.lit(width2))).alias("w"),
-        *[F.get("x", F.lit(j)).alias(f"x{j + 1}") for j in range(d)],
-    )
-    sums = [F.sum(F.col("w") * z[a] * z[b]).alias(f"a{a}_{b}")
-            for a in range(d + 1) for b in range(a, d + 1)]
-    sums += [F.sum(F.col("w") * z[a] * F.col("p")).alias(f"b{a}") for a in range(d + 1)]
-    normal = flat.groupBy("trace_id").agg(*sums)
+    base = score(scorer.preparation.apply(rows).select("trace_id", "x"))
+    drawn = score(background(rows.sparkSession, d, samples, seed)).orderBy("id").collect()
+    points = np.array([r["x"] for r in drawn]).reshape(-1, d)
+    values = np.array([r["rf_prob"] for r in drawn])
 
     def solve(batches):
         for batch in batches:
-            n = batch.num_rows
-            a = np.zeros((n, d + 1, d + 1))
-            b = np.zeros((n, d + 1))
-            for r in range(d + 1):
-                b[:, r] = np.asarray(batch.column(f"b{r}"))
-                for q in range(r, d + 1):
-                    a[:, r, q] = a[:, q, r] = np.asarray(batch.column(f"a{r}_{q}"))
-            a[:, np.arange(1, d + 1), np.arange(1, d + 1)] += RIDGE
-            w = np.linalg.solve(a, b[:, :, None])[:, 1:, 0] if n else np.zeros((0, d))
-            yield pa.RecordBatch.from_pydict({
-                "trace_id": batch.column("trace_id").take(pa.array(np.repeat(np.arange(n), d))),
-                "feature": pa.array(names * n, pa.string()),
-                "weight": pa.array(w.ravel(), pa.float64()),
-            })
-
-    return normal.mapInArrow(solve, "trace_id string, feature string, weight double")
+            for low in range(0, batch.num_rows, FIT_ROWS):
+                part = batch.slice(low, FIT_ROWS)
+                x = np.asarray(part.column("x").flatten()).reshape(part.num_rows, d)
+                w = local_weights(x, np.asarray(part.column("rf_prob")), points, values)
+                yield pa.RecordBatch.from_pydict({
+                    "trace_id": part.column("trace_id").take(
+                        pa.array(np.repeat(np.arange(len(x)), d))),
+                    "feature": pa.array(names * len(x), pa.string()),
+                    "weight": pa.array(w.ravel(), pa.float64()),
+                })
+
+    return base.select("trace_id", "x", "rf_prob").mapInArrow(
+        solve, "trace_id string, feature string, weight double")
+
+
+def local_weights(
+    x: np.ndarray, p: np.ndarray, points: np.ndarray, values: np.ndarray
+) -> np.ndarray:
+    """Ridge weights around every row of ``x`` (scored ``p``): normal equations of all rows as
+    one matrix product over the shared ``points`` (scored ``values``), solved together."""
+    d = x.shape[1]
+    far = (x**2).sum(1)[:, None] - 2.0 * x @ points.T + (points**2).sum(1)[None, :]
+    near = np.exp(-np.maximum(far, 0.0) / (2 * 0.75 * 0.75 * d))  # root of the kernel
+    z = np.hstack([np.ones((len(points), 1)), points])
+    own = np.hstack([np.ones((len(x), 1)), x])  # the row itself: distance 0, weight 1
+    outer = (z[:, :, None] * z[:, None, :]).reshape(len(points), -1)
+    a = (near @ outer).reshape(-1, d + 1, d + 1) + own[:, :, None] * own[:, None, :]
+    b = near @ (z * values[:, None]) + own * p[:, None]
+    a[:, np.arange(1, d + 1), np.arange(1, d + 1)] += RIDGE
+    return np.linalg.solve(a, b[:, :, None])[:, 1:, 0] if len(x) else np.zeros((0, d))
 
 
 def top_weights(weights: DataFrame, n: int = TOP) -> DataFrame:

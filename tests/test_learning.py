@@ -157,6 +157,34 @@ def test_local_weights_follow_a_linear_model(spark, folder, models):
         MODEL_INPUT[0], MODEL_INPUT[8]}
 
 
+def test_local_weights_are_those_of_a_plain_solver(spark, folder, models):
+    """Row by row, with weighted least squares and a ridge; and the forest scores every point
+    once."""
+    from catalog.traffic import features
+    rows = features(spark, folder).orderBy("_id").limit(30).withColumnRenamed("_id", "trace_id")
+    scored = []
+
+    def bent(df):
+        scored.append(df)
+        x = [F.get("x", F.lit(i)) for i in range(len(MODEL_INPUT))]
+        return df.withColumn("rf_prob", 1.0 / (1.0 + F.exp(-(x[0] * x[1] + F.sin(x[2]) - x[8]))))
+
+    got = {(r["trace_id"], r["feature"]): r["weight"]
+           for r in ex.explain_forest(rows, models.forest, samples=200, model=bent).collect()}
+    assert sorted(df.count() for df in scored) == [30, 200]
+    mine, shared = (bent(df).collect() for df in list(scored))
+    d = len(MODEL_INPUT)
+    for r in mine:
+        z = np.array([r["x"], *[s["x"] for s in shared]])
+        y = np.array([r["rf_prob"], *[s["rf_prob"] for s in shared]])
+        w = np.sqrt(np.exp(-((z - z[0]) ** 2).sum(1) / (0.75**2 * d)))
+        z = np.hstack([np.ones((len(z), 1)), z])
+        ridge = np.diag([0.0] + [ex.RIDGE] * d)
+        want = np.linalg.solve(z.T @ (w[:, None] * z) + ridge, z.T @ (w * y))[1:]
+        for name, value in zip(models.forest.preparation.columns, want):
+            assert got[r["trace_id"], name] == pytest.approx(value, abs=1e-9)
+
+
 def test_explanations_of_stored_records(spark, models):
     rows = [
         ("a", "{}", '[{"fromId":"/x","toId":"/y"},{"fromId":"/y","toId":"/z"}]'),
