@@ -87,8 +87,10 @@ def stream_counters(spark, folder):
     steps="""SELECT *, min(ord) FILTER (kind = 'request') OVER (PARTITION BY trace_id) AS first
              FROM raw"""))
 def stream_explain_lifecycle(spark, folder):
-    stream = live.stream_explain_lifecycle(explain_events(_Streamed(spark), folder))
-    return live.newest_states(run_updates(stream, spark, "explanations"))
+    place = shared_folder(spark, "explanations")
+    live.write_explain_lifecycle(
+        explain_events(_Streamed(spark), folder), f"{place}/out", f"{place}/state").awaitTermination()
+    return live.read_explain_lifecycle(spark, f"{place}/out")
 
 
 def messages(spark, folder):

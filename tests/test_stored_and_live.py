@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,14 +143,43 @@ def test_lifecycle_does_not_depend_on_batches(spark, tmp_path, cuts):
             folder)
         lo = hi
         stream = spark.readStream.schema(EVENT_SCHEMA).parquet(folder)
-        live.stream_explain_lifecycle(stream).writeStream.outputMode("update").foreachBatch(
-            lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch_id={i}")
-        ).option("checkpointLocation", str(tmp_path / "state")).trigger(
-            availableNow=True).start().awaitTermination()
-    got = live.newest_states(spark.read.parquet(f"{tmp_path}/out"))
+        live.write_explain_lifecycle(
+            stream, f"{tmp_path}/out", str(tmp_path / "state")).awaitTermination()
+    got = live.read_explain_lifecycle(spark, f"{tmp_path}/out")
     assert {x["trace_id"]: (x["status"], x["payload"], x["jobs"]) for x in got.collect()} == want
 
 
+def test_lifecycles_by_any_cuts_and_compactions(spark, tmp_path):
+    rng = random.Random(4)
+    events = [(f"t{rng.randint(0, 8)}", k, rng.choice(["request", "result", "error"]),
+               rng.choice([None, f"p{k}"])) for k in range(90)]
+    whole = spark.createDataFrame(events, EVENT_SCHEMA)
+    want = {x["trace_id"]: (x["status"], x["payload"], x["jobs"]) for x in r.explain_lifecycle(whole).collect()}
+    for seed in range(3):
+        store, lo, number = live.LifecycleStore(spark, f"{tmp_path}/{seed}"), 0, 0
+        while lo < len(events):
+            hi = lo + rng.choice([1, 5, 20, 40])
+            part = spark.createDataFrame(events[lo:hi], EVENT_SCHEMA)
+            assert store.append(part, "e", number) and not store.append(part, "e", number)
+            lo, number = hi, number + 1
+            if rng.random() < 0.5:
+                store.compact()
+        got = {x["trace_id"]: (x["status"], x["payload"], x["jobs"]) for x in store.read().collect()}
+        assert got == want
+
+
+def test_finished_requests_can_be_forgotten(spark, tmp_path):
+    store = live.LifecycleStore(spark, str(tmp_path / "s"))
+    store.append(spark.createDataFrame(EVENTS + [("d", 1, "request", None)], EVENT_SCHEMA), "e", 0)
+    assert store.forget("2100-01-01")
+    assert [tuple(x) for x in store.read().collect()] == [("d", 0, None, 1)]
+    late = [("a", 7, "result", "late"), ("d", 2, "result", "ok"), ("b", 3, "request", None)]
+    store.append(spark.createDataFrame(late, EVENT_SCHEMA), "e", 1)
+    assert store.forget("2000-01-01")
+    assert {x["trace_id"]: tuple(x)[1:] for x in store.read().collect()} == {
+        "d": (1, "ok", 1), "b": (0, None, 1)}
+
+
 def test_rate_series_fills_gaps(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:58.2", 1), ("2024-01-01 00:00:58.9", 0),
                                 ("2023-12-31 23:00:00", 1)], "t string, is_anomaly int")
