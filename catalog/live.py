@@ -61,6 +61,23 @@ def stream_rates(spark, folder):
     return newest.select(F.unix_millis("second").alias("second"), "r.*")
 
 
+@query("late_rates", sql("""
+    SELECT epoch_ms(date_trunc('second', event_time)) AS second, count(*) AS qps,
+           count(*) FILTER (is_anomaly = 1) AS anomalies FROM results GROUP BY 1"""))
+def late_rates(spark, folder):
+    """Events of one kind after those of another, so that most rows come late, with a compaction
+    in between."""
+    place = shared_folder(spark, "late")
+    rows = t.results(spark, folder).select("event_time", "is_anomaly", "task_name")
+    for k, kinds in enumerate((["click", "error"], ["view", "signup"], ["purchase"])):
+        rows.where(F.col("task_name").isin([f"Task {x}" for x in kinds])).write.parquet(f"{place}/in/{k}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1 << 30)
+        live.write_rates(stream.parquet(f"{place}/in/*"), f"{place}/out", f"{place}/state").awaitTermination()
+        if k == 1:
+            live.RateStore(spark, f"{place}/out").compact()
+    return live.read_rates(spark, f"{place}/out").withColumn("second", F.unix_millis("second"))
+
+
 @query("stream_counters", sql("""
     SELECT count(*) AS total, count(*) FILTER (is_anomaly = 1) AS anomaly
     FROM results WHERE timestamp >= 1704326400000"""))

@@ -10,11 +10,58 @@ from ..operators.results import live_counters, per_second_rates, status_code
 from ..sources.batches import BatchStore
 
 def stream_rates(results: DataFrame, late: str) -> DataFrame:
-    """Counts per second of event time. Rows later than ``late`` are not counted, so it must be
-    as long as results may take to arrive."""
+    """Counts per second of event time as a stream. Rows later than ``late`` are not counted; to
+    count all of them, use ``write_rates``."""
     return per_second_rates(results.withWatermark("event_time", late))
 
 
+class RateStore(BatchStore):
+    """Counts per second of event time, however late a row comes.
+
+    A batch stores the counts of its own rows; a reader adds up the batches over the base. A late
+    row thus corrects the second it belongs to, no stream keeps state, and nothing is dropped.
+    """
+
+    schema = T.StructType([T.StructField("second", T.TimestampType()), T.StructField("qps", T.LongType()),
+                           T.StructField("anomalies", T.LongType())])
+
+    def prepared(self, rows: DataFrame, number: int) -> DataFrame:
+        return per_second_rates(rows.where(F.col("event_time").isNotNull()))
+
+    def merged(self, base: DataFrame | None, changed: DataFrame) -> DataFrame:
+        def added(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("second").agg(
+                *[F.sum(n).alias(n) for n in ("qps", "anomalies")], F.max("_batch").alias("_batch"))
+
+        if base is None:
+            return added(changed)
+        seconds = changed.select("second").distinct()
+        return base.join(seconds, "second", "left_anti").unionByName(
+            added(changed.unionByName(base.join(seconds, "second", "left_semi"))))
+
+    def corrected(self, since: int) -> DataFrame:
+        """Seconds that batches after number ``since`` have counted in, with their counts now:
+        what a reader that showed them has to replace."""
+        return self._merged(self._state()).where(F.col("_batch") > since).drop("_batch")
+
+
+def write_rates(
+    results: DataFrame, path: str, checkpoint: str, stream: str = "live", trigger: dict | None = None,
+):
+    """Keep the counts per second of a stream (``event_time``, ``is_anomaly``) at ``path``."""
+    store = RateStore(results.sparkSession, path)
+    return (
+        results.writeStream.foreachBatch(lambda rows, batch: store.append(rows, stream, batch))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    return RateStore(spark, path).read()
+
+
 def stream_counters(results: DataFrame, now: int | None = None, start=None, end=None) -> DataFrame:
     """Running totals; write in complete mode. Without ``now`` the clock goes on with the
     micro-batches."""

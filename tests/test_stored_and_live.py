@@ -180,6 +180,20 @@ def test_finished_requests_can_be_forgotten(spark, tmp_path):
         "d": (1, "ok", 1), "b": (0, None, 1)}
 
 
+def test_late_rows_correct_their_second(spark, tmp_path):
+    store = live.RateStore(spark, str(tmp_path / "s"))
+    parts = [[("00:00:01.5", 1), ("00:00:02.5", 0)], [("00:00:09", 1), ("00:00:01.1", 0), (None, 1)], [("00:00:01", 1)]]
+    for k, part in enumerate(parts):
+        df = spark.createDataFrame([(t and f"2024-01-01 {t}", a) for t, a in part], "t string, is_anomaly int")
+        df = df.withColumn("event_time", F.to_timestamp("t"))
+        assert store.append(df, "live", k) and not store.append(df, "live", k)
+        if k == 1:
+            assert store.compact()
+    got = {str(x["second"])[-8:]: (x["qps"], x["anomalies"]) for x in store.read().collect()}
+    assert got == {"00:00:01": (3, 2), "00:00:02": (1, 0), "00:00:09": (1, 1)}
+    assert [str(x["second"])[-8:] for x in store.corrected(1).collect()] == ["00:00:01"]
+
+
 def test_rate_series_fills_gaps(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:58.2", 1), ("2024-01-01 00:00:58.9", 0),
                                 ("2023-12-31 23:00:00", 1)], "t string, is_anomaly int")
