@@ -56,28 +56,36 @@ def _hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(found ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and the place of each text's first word.
+def hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans ``starts`` to ``ends`` of bytes, which are in order.
 
-    The second array has one more entry than there are texts. The bytes are hashed in blocks
-    that end at white space, so a very long text needs no more room than a block.
+    The bytes are hashed in blocks that end with a span, so a very long text needs no more room
+    than a block.
     """
-    blob = b"\n".join(texts) + b"\n"
-    low = np.frombuffer(blob.lower(), np.uint8)
-    space = is_space(low)
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     out = np.empty(len(starts), np.uint64)
     done = 0
     while done < len(starts):
         first = starts[done]
         upto = max(np.searchsorted(ends, first + BLOCK, "right"), done + 1)
         last = ends[upto - 1]
-        out[done:upto] = _hashes(low[first:last], starts[done:upto] - first, ends[done:upto] - first)
+        out[done:upto] = _hashes(a[first:last], starts[done:upto] - first, ends[done:upto] - first)
         done = upto
+    return out
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and the place of each text's first word.
+
+    The second array has one more entry than there are texts.
+    """
+    blob = b"\n".join(texts) + b"\n"
+    low = np.frombuffer(blob.lower(), np.uint8)
+    space = is_space(low)
+    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    return out, np.searchsorted(starts, bounds)
+    return hashes(low, starts, ends), np.searchsorted(starts, bounds)
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
