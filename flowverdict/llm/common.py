@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -38,6 +41,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what malloc and Arrow keep for themselves to the system.
+
+    A worker goes on to the tasks of the next stage; what it kept would be missing there.
+    """
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(read: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``read`` over the batches of a task; its memory is given back when they end."""
+    def whole(batches: Iterator) -> Iterator:
+        yield from read(batches)
+        give_back()
+
+    return whole
+
+
 def unused(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` does not have, whatever their case."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as w
-from .common import table, unused
+from .common import giving_back, table, unused
 from .registry import query
 
 PERCENT = 80
@@ -183,7 +183,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
                     ["doc_id", "item_id", "similarity", "word"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(read, "doc_id long, item_id long, similarity double, word long")
+    return source.mapInArrow(giving_back(read), "doc_id long, item_id long, similarity double, word long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     [*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
         kind = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
-        out = out.mapInArrow(flag, kind).where(~F.col(name)).drop(name)
+        out = out.mapInArrow(giving_back(flag), kind).where(~F.col(name)).drop(name)
     return out
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as w
-from .common import cut, table, unused
+from .common import cut, giving_back, table, unused
 from .components import components, small, stars
 from .registry import query
 
@@ -87,7 +87,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "digest"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(read, "doc_id long, n long, digest binary")
+    return source.mapInArrow(giving_back(read), "doc_id long, n long, digest binary")
 
 
 BLOB = "bucket int, high binary, low binary, owner binary, keys binary, own binary, own_n binary"
@@ -192,7 +192,7 @@ def partly_shared(docs: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(48, tokens * (100 - PERCENT + EXTRA) // 100 // TOKENS_A_BUCKET)
     shared = (
-        docs.select("text").mapInArrow(_deal(buckets), BLOB)
+        docs.select("text").mapInArrow(giving_back(_deal(buckets)), BLOB)
         .groupBy("bucket").applyInArrow(_count_shared, "node long, many long")
         .groupBy("node").agg(F.sum("many").alias("many"))
     )
@@ -227,7 +227,7 @@ def _tokens_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     joined = source.alias("l").join(
         small(held, 500_000).alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")))
     return joined.select("l.text", "r.digest").mapInArrow(
-        read, "digest binary, node long, tokens binary")
+        giving_back(read), "digest binary, node long, tokens binary")
 
 
 def _frequent(held: DataFrame, total: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def _frequent(held: DataFrame, total: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(np.frombuffer(blob, np.int64))], ["token"])
 
     part = F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLED))) == 0
-    counted = held.where(part).select("tokens").mapInArrow(read, "token long").groupBy("token").count()
+    counted = held.where(part).select("tokens").mapInArrow(giving_back(read), "token long").groupBy("token").count()
     rows = counted.where(F.col("count") >= FREQUENT).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(U64))
 
@@ -316,7 +316,7 @@ def _prefix_rows(held: DataFrame, frequent: np.ndarray, tokens: int) -> DataFram
     buckets = max(48, tokens // TOKENS_A_BUCKET)
     lists = (
         held.select("node", "tokens")
-        .mapInArrow(_entries(frequent, buckets), "bucket int, tokens binary, owner binary, nodes binary")
+        .mapInArrow(giving_back(_entries(frequent, buckets)), "bucket int, tokens binary, owner binary, nodes binary")
         .groupBy("bucket").applyInArrow(_shared_with_counts, "node long, tokens binary, counts binary")
         .groupBy("node").agg(F.collect_list(F.struct("tokens", "counts")).alias("lists"))
     )
@@ -347,8 +347,8 @@ def _prefix_rows(held: DataFrame, frequent: np.ndarray, tokens: int) -> DataFram
                 yield pa.record_batch([pa.array(first.view(np.int64)),
                                        pa.array(np.full(len(first), row["node"]))], ["token", "node"])
 
-    sizes = held.select("node", "tokens").mapInArrow(own, "node long, n long, many long, late binary")
-    return sizes.join(lists, "node", "left").mapInArrow(prefixes, "token long, node long")
+    sizes = held.select("node", "tokens").mapInArrow(giving_back(own), "node long, n long, many long, late binary")
+    return sizes.join(lists, "node", "left").mapInArrow(giving_back(prefixes), "token long, node long")
 
 
 def candidate_groups(held: DataFrame, total: int, tokens: int) -> DataFrame:
@@ -564,7 +564,7 @@ def _with_digest(docs: DataFrame, name: str) -> DataFrame:
                 [*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, name])
 
     kind = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
-    return docs.mapInArrow(read, kind)
+    return docs.mapInArrow(giving_back(read), kind)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

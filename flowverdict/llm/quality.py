@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import is_held_out, table, unused
+from .common import give_back, is_held_out, table, unused
 from .labelled import class_weights, fit_logistic, sample
 from .registry import query
 
@@ -109,6 +109,7 @@ def score_of(text: Column, model: Model | Constant) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype=float)
+        give_back()
 
     return scored(text)
 

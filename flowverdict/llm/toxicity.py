@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import is_held_out, table, unused
+from .common import give_back, is_held_out, table, unused
 from .labelled import class_weights, fit_logistic, sample
 from .registry import query
 
@@ -30,6 +30,8 @@ BUCKETS, SIZE, WINDOW = 1 << 16, 8, 10
 SHORTEST, LONGEST = 3, 6
 EPOCHS, BATCH, RATE, SEED = 6, 512, 0.3, 7
 KEPT_WORDS = 250_000
+# Toxic windows of the sample that an epoch before the first ranking of windows learns from.
+FIRST_WINDOWS = 12_000
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|…«»„“”‘’-_"
 
 
@@ -175,7 +177,7 @@ def train(rows: list[tuple[int, str]], counts: dict[int, int]) -> Model | Consta
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for epoch in range(EPOCHS):
         if epoch < 2:
-            picked = rng.choice(toxic, min(len(toxic), 12_000), replace=False)
+            picked = rng.choice(toxic, min(len(toxic), FIRST_WINDOWS), replace=False)
         else:
             means = net.word_scores()[windows[toxic]].mean(axis=1)
             best = np.full(len(labels), -np.inf)
@@ -213,6 +215,9 @@ def score_of(text: Column, model: Model | Constant) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([model.score(t) for t in texts], dtype=float)
+        if isinstance(model, Model):
+            model.known.clear()
+        give_back()
 
     return scored(text)
 
