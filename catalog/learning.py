@@ -20,7 +20,7 @@ from flowverdict.sources import tables as t
 
 from .registry import query, rounded
 from .traffic import features
-from .views import sql
+from .views import VIEWS, sql
 
 _MODELS: dict = {}
 
@@ -208,32 +208,38 @@ _SCALED = """SELECT g.trace_id, g.node_id, (out_degree + in_degree)::DOUBLE AS x
                  AND l.to_id = g.node_id), 0) AS d FROM degrees g"""
 
 
-def _gcn_sql(weights):
-    """Scores by unnested components: no list arithmetic beyond lookups by index."""
+def _gcn_views(weights, name="prob", to=""):
+    """View ``name`` (trace_id, gcn_prob) and what it needs, by unnested components: no list
+    arithmetic beyond lookups by index. ``to`` keeps the views of two nets apart."""
     extra = {"links": _LINKS, "scaled": _SCALED,
-             "h0": "SELECT trace_id, node_id, d, 1 AS i, x AS v FROM scaled"}
+             f"{to}h0": "SELECT trace_id, node_id, d, 1 AS i, x AS v FROM scaled"}
     for k, (w, b) in enumerate(weights.layers):
-        extra[f"a{k}"] = f"""
+        extra[f"{to}a{k}"] = f"""
             SELECT trace_id, node_id, d, i, sum(v) AS v FROM (
-                SELECT trace_id, node_id, d, i, v / d AS v FROM h{k}
+                SELECT trace_id, node_id, d, i, v / d AS v FROM {to}h{k}
                 UNION ALL
                 SELECT t.trace_id, t.node_id, t.d, s.i, l.n * s.v / sqrt(s.d * t.d)
                 FROM links l
-                JOIN h{k} s ON s.trace_id = l.trace_id AND s.node_id = l.from_id
+                JOIN {to}h{k} s ON s.trace_id = l.trace_id AND s.node_id = l.from_id
                 JOIN scaled t ON t.trace_id = l.trace_id AND t.node_id = l.to_id)
             GROUP BY 1, 2, 3, 4"""
-        extra[f"w{k}"] = f"""
+        extra[f"{to}w{k}"] = f"""
             SELECT i, o, {_matrix(w)}[i][o] AS w, {_matrix(b)}[o] AS b
             FROM range(1, {w.shape[0] + 1}) AS x(i) CROSS JOIN range(1, {w.shape[1] + 1}) AS y(o)"""
-        extra[f"h{k + 1}"] = f"""
+        extra[f"{to}h{k + 1}"] = f"""
             SELECT trace_id, node_id, d, o AS i, greatest(0.0, sum(v * w) + any_value(b)) AS v
-            FROM a{k} JOIN w{k} USING (i) GROUP BY 1, 2, 3, 4"""
-    last = f"h{len(weights.layers)}"
-    return sql(f"""
-        SELECT trace_id, round(1.0 / (1.0 + exp(-z)), 6) AS gcn_prob FROM (
+            FROM {to}a{k} JOIN {to}w{k} USING (i) GROUP BY 1, 2, 3, 4"""
+    last = f"{to}h{len(weights.layers)}"
+    extra[name] = f"""
+        SELECT trace_id, 1.0 / (1.0 + exp(-z)) AS gcn_prob FROM (
             SELECT trace_id, {weights.head[1]!r}::DOUBLE
                    + sum(v * {_matrix(weights.head[0])}[i]) / count(DISTINCT node_id) AS z
-            FROM {last} GROUP BY trace_id)""", **extra)
+            FROM {last} GROUP BY trace_id)"""
+    return extra
+
+
+def _gcn_sql(weights):
+    return sql("SELECT trace_id, round(gcn_prob, 6) AS gcn_prob FROM prob", **_gcn_views(weights))
 
 
 @query("score_gcn_1_layer", _gcn_sql(initial_weights(64, 1)))
@@ -474,15 +480,86 @@ def detect_graph_only(spark, folder):
     return scored.drop("features_json", "call_graph_json")
 
 
-@query("detect_captures")
-def detect_captures(spark, folder):
+def _literal_forest(df):
+    """Stands in for a fitted forest: long sessions are suspicious."""
+    long = F.least(F.lit(1.0), c("sequence_length(count)") / F.lit(24.0))
+    return df.withColumn("rf_prob", F.when(F.col("has_features"), long).otherwise(F.lit(0.0)))
+
+
+_NETS = (initial_weights(64, 2), initial_weights(64, 1))
+_LITERAL = detect.Models(_literal_forest, *_NETS)
+
+
+@query("detect_records", sql("""
+    SELECT trace_id, source_ip, round(rf, 6) AS rf_prob, round(gcn, 6) AS gcn_prob,
+           round(CASE WHEN event_type = 'view' THEN gcn WHEN event_type = 'click' THEN rf
+                ELSE prob END, 6) AS final_prob,
+           CASE WHEN event_type = 'view' THEN hard_gcn WHEN event_type = 'click' THEN hard_rf
+                ELSE (prob > threshold)::INTEGER END AS is_anomaly,
+           CASE WHEN event_type = 'view' THEN 'gcn_only' WHEN event_type = 'click' THEN 'rf_only'
+                ELSE mode END AS mode,
+           round(CASE WHEN event_type IN ('view', 'click') THEN 0.5 ELSE threshold END, 6) AS threshold
+    FROM my_adaptive""",
+    **_gcn_views(_NETS[0], "rich_prob", "r") | _gcn_views(_NETS[1], "poor_prob", "p"),
+    my_scores="""
+        SELECT *, CASE WHEN poor AND graph THEN 'view' WHEN NOT poor AND NOT graph THEN 'click'
+                       WHEN poor THEN 'signup' ELSE 'error' END AS event_type FROM (
+            SELECT f._id AS trace_id, f.source_ip, f.poor,
+                   CASE WHEN f.poor THEN 0.0 ELSE least(1.0, f.n / 24.0) END::DOUBLE AS rf,
+                   f.graph AND r.trace_id IS NOT NULL AS graph,
+                   CASE WHEN NOT f.graph OR r.trace_id IS NULL THEN 0.0
+                        WHEN f.poor THEN p.gcn_prob ELSE r.gcn_prob END::DOUBLE AS gcn
+            FROM (SELECT _id, source_ip, "sequence_length(count)" AS n, source_ip LIKE '8.8.%' AS poor,
+                         source_ip NOT LIKE '172.%' AS graph FROM features) f
+            LEFT JOIN rich_prob r ON r.trace_id = f._id LEFT JOIN poor_prob p ON p.trace_id = f._id
+            WHERE f.poor OR f.n <= 15)""",
+    my_judged=VIEWS["judged"].replace("scores", "my_scores"),
+    my_adaptive=VIEWS["adaptive"].replace("judged", "my_judged")))
+def detect_records(spark, folder):
+    """Sessions of 8.8.* have no features, those of 172.* no graph, and long ones a category that
+    does not validate."""
+    rows = features(spark, folder).withColumnRenamed("_id", "trace_id")
+    poor, many = F.col("source_ip").startswith("8.8."), c("sequence_length(count)") > 15
+    absent = {n: F.when(~poor, c(n)) for n in MODEL_INPUT}
+    absent["source"] = F.when(~poor & ~many, F.col("source"))
+    edges = g.call_edges(t.requests(spark, folder)).join(
+        rows.where(~F.col("source_ip").startswith("172.")).select("trace_id"), "trace_id", "left_semi")
+    scored, _ = detect.detect_records(rows.withColumns(absent), _LITERAL, edges)
+    return rounded(scored.drop("features_json", "call_graph_json"))
+
+
+@query("capture_task", sql("""
+    SELECT 9::BIGINT AS task_id, 'COMPLETED' AS status, 2500::BIGINT AS duration,
+           (SELECT count(DISTINCT trace_id) FROM raw_http) AS record_count,
+           (SELECT count(*) FROM pages WHERE page_id % 50 = 0) AS skipped_count,
+           (SELECT count(*) - count(DISTINCT trace_id) FROM http_requests)::BIGINT AS edges"""))
+def capture_task(spark, folder):
+    """Counts of a capture task over the pages, and the edges in the graph texts of its records;
+    every fiftieth page stands for a file that cannot be read."""
+    broken = t.table(spark, folder, "pages").where("page_id % 50 = 0").select(
+        F.concat(F.lit("p"), "page_id").alias("trace_id"), F.concat("page_id", F.lit(".pcap")).alias("file_name"),
+        F.lit("not a capture file").alias("error"))
+    decoded = _page_packets(spark, folder).unionByName(broken, allowMissingColumns=True)
+    task = spark.sql("""SELECT 9L AS task_id, TIMESTAMP '2024-01-01 00:00:00' AS start_time,
+                        TIMESTAMP '2024-01-01 00:00:02.5' AS end_time""")
+    scored, summary, _ = detect.detect_capture_task(decoded, _LITERAL, task)
+    edges = scored.agg(F.sum(F.json_array_length("call_graph_json")).cast("long").alias("edges"))
+    return summary.select("task_id", "status", "duration", "record_count", "skipped_count").crossJoin(edges)
+
+
+def _page_packets(spark, folder):
     """Pages as packets with HTTP payload; a host name is one capture."""
-    packets = t.raw_http(spark, folder).select(
+    return t.raw_http(spark, folder).select(
         "trace_id", F.lit(None).cast("string").alias("file_name"), "pkt_no", "ts",
         F.lit("10.0.0.9").alias("src_ip"), F.lit("10.0.0.1").alias("dst_ip"),
         F.lit(5000).alias("src_port"), F.lit(80).alias("dst_port"), "payload",
     )
-    return detect.detect_captures(packets, models(spark, folder), 9).drop("features_json")
+
+
+@query("detect_captures")
+def detect_captures(spark, folder):
+    packets = _page_packets(spark, folder)
+    return detect.detect_captures(packets, models(spark, folder), 9).drop("features_json", "call_graph_json")
 
 
 @query("compare_methods")

@@ -265,7 +265,7 @@ def http_requests(spark, folder):
 
 
 @query("request_line", sql("""
-    SELECT page_id AS pkt_no, CASE WHEN verb IN ('GET', 'POST') THEN verb END AS method,
+    SELECT pkt_no, CASE WHEN verb IN ('GET', 'POST') THEN verb END AS method,
            CASE WHEN verb IN ('GET', 'POST') THEN path END AS path FROM raw_http"""))
 def request_line(spark, folder):
     text = F.col("text")
@@ -275,7 +275,7 @@ def request_line(spark, folder):
 
 
 @query("headers", sql("""
-    SELECT page_id AS pkt_no, host,
+    SELECT pkt_no, host,
            CASE WHEN page_id % 2 = 0 THEN 'probe/1.0' END AS user_agent,
            CASE WHEN page_id % 3 = 0 THEN 'text/html' END AS content_type
     FROM raw_http"""))
@@ -289,8 +289,8 @@ def headers(spark, folder):
 
 
 @query("body", sql("""
-    SELECT page_id AS pkt_no,
-           CASE WHEN page_id % 5 <> 0
+    SELECT pkt_no,
+           CASE WHEN NOT blank
                 THEN nullif(trim(html, E' \\t\\n\\r\\x0b\\x0c'), '') END AS body
     FROM raw_http"""))
 def body(spark, folder):
@@ -341,7 +341,7 @@ def ip_types(spark, folder):
     SELECT page_id AS pkt_no,
            CASE WHEN regexp_extract(path, '^/*([^/]+)', 1) = '' THEN 'unknown'
                 ELSE regexp_extract(path, '^/*([^/]+)', 1) END AS service
-    FROM raw_http"""))
+    FROM raw_http WHERE NOT blank"""))
 def service_names(spark, folder):
     path = F.concat(F.lit("/"), F.regexp_extract("url", r"^[a-z]+://[^/]*/(.*)$", 1))
     return t.table(spark, folder, "pages").select(

@@ -138,17 +138,19 @@ VIEWS = {
                'Task ' || a.event_type AS task_name, p.event_time, a.event_type
         FROM adaptive a JOIN packets p ON p.pkt_no = a.event_id""",
     "raw_http": """
-        SELECT host AS trace_id, page_id AS pkt_no, host, path,
+        SELECT host AS trace_id, CASE WHEN blank THEN -1 - page_id ELSE page_id END AS pkt_no, host, path,
                CASE WHEN page_id % 7 = 0 THEN 'get' WHEN page_id % 7 = 1 THEN 'POST'
                     WHEN page_id % 7 = 2 THEN 'CONNECT' ELSE 'GET' END AS verb,
-               page_id, html
+               page_id, html, blank
         FROM (SELECT *, split_part(split_part(url, '://', 2), '/', 1) AS host,
-                     '/' || regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS path FROM pages)""",
+                     '/' || regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS path
+              FROM (SELECT *, FALSE AS blank FROM pages
+                    UNION ALL SELECT *, TRUE FROM pages WHERE page_id % 5 = 0))""",
     "http_requests": """
         SELECT trace_id, pkt_no, verb AS method, path, trim(host) AS host,
                CASE WHEN page_id % 2 = 0 THEN 'probe/1.0' END AS user_agent,
                CASE WHEN page_id % 3 = 0 THEN 'text/html' END AS content_type,
-               CASE WHEN page_id % 5 <> 0
+               CASE WHEN NOT blank
                     THEN nullif(trim(html, E' \\t\\n\\r\\x0b\\x0c'), '') END AS body
         FROM raw_http WHERE verb IN ('GET', 'POST')""",
     "dirty": """

@@ -13,7 +13,7 @@ from ..functions.records import (
 )
 from ..operators import graphs as g, sessions as s
 from ..operators.forest import ForestScorer
-from ..operators.gcn import score_call_graphs, score_edges
+from ..operators.gcn import TASK_EDGES, score_call_graphs, score_edges
 from ..operators.graph_batch import Weights
 from ..operators.joins import pair_features_graphs
 from ..operators.lineage import checkpointed
@@ -22,6 +22,7 @@ from ..operators.results import (
     REPORT_LIMIT, sequence_timestamps, tag_with_task, task_summary,
 )
 from ..schemas import CATEGORICAL, MODEL_INPUT, NUMERIC, TOPOLOGY, c
+from ..sources.captures import capture_errors, good_packets
 from ..sources.verdicts import VerdictStore
 
 
@@ -81,6 +82,50 @@ def detect_batch(
     ), skipped
 
 
+def detect_records(
+    records: DataFrame, models: Models, edges: DataFrame | None = None, mode: str = "adaptive",
+) -> tuple[DataFrame, DataFrame]:
+    """A batch request: (scored records, skipped records with their reason).
+
+    Every record decides for itself what it has. ``records``: trace_id, feature columns (NULL
+    where a record has none; columns may lack), and if known source_ip and ``has_features``;
+    without that flag a record has features if one of the model's inputs is there. Graphs are
+    arrays in ``call_graph``, or, whatever their size, an edge table ``edges`` (trace_id, pos,
+    from_id, to_id). A record whose features do not validate is skipped alone; one without
+    features is scored by its graph, one without a graph by its features.
+    """
+    missing = {n: F.lit(None).cast("double") for n in NUMERIC if n not in records.columns}
+    missing |= {n: F.lit(None).cast("string") for n in CATEGORICAL if n not in records.columns}
+    rows = records.withColumns(missing)
+    if "has_features" not in rows.columns:
+        rows = rows.withColumn("has_features", F.coalesce(*[c(n).cast("string") for n in MODEL_INPUT]).isNotNull())
+    if "source_ip" not in rows.columns:
+        rows = rows.withColumn("source_ip", F.lit(""))
+    checked = validate_features(rows)
+    bad = F.col("has_features") & ~F.col("is_valid")
+    skipped = checked.where(bad).select(F.col("trace_id").alias("id"), F.col("error").alias("reason"))
+    own = [n for n in MODEL_INPUT + TOPOLOGY if n in rows.columns]
+    good = clean_features(checked.where(~bad).withColumn(
+        "features_json", F.when(F.col("has_features"), features_to_json(own))))
+    if edges is None:
+        scored = infer(good.withColumn("call_graph_json", graph_to_json(F.col("call_graph"))), models, mode)
+    else:
+        asked = good.select("trace_id", "has_features").distinct()
+        of = checkpointed(edges.join(asked, "trace_id"))
+        rich, poor = (of.where(x).drop("has_features") for x in ("has_features", "NOT has_features"))
+        probability = score_edges(rich, models.gcn).unionByName(score_edges(poor, models.fallback))
+        joined = models.forest(good).join(probability, "trace_id", "left").withColumns({
+            "has_graph": F.col("gcn_prob").isNotNull(),
+            "gcn_prob": F.coalesce("gcn_prob", F.lit(0.0)),
+            "call_graph_json": F.lit(None).cast("string"),
+        })
+        scored = fuse_with_fallback(joined, mode)
+    return scored.select(
+        "trace_id", "source_ip", "rf_prob", "gcn_prob", "final_prob", "is_anomaly", "mode", "threshold",
+        "features_json", "call_graph_json",
+    ), skipped
+
+
 def task_report(scored: DataFrame, skipped: DataFrame, task: DataFrame) -> tuple:
     """(summary row, first skipped rows) of a file task. ``task``: one row with ``task_id``
     and, if known, ``start_time`` and ``end_time``."""
@@ -114,10 +159,12 @@ def capture_tables(packets: DataFrame, part_rows: int = PART_ROWS):
 
 def detect_captures(
     packets: DataFrame, models: Models, task: int, mode: str = "adaptive",
-    part_rows: int = PART_ROWS,
+    part_rows: int = PART_ROWS, text_edges: int = TASK_EDGES,
 ) -> DataFrame:
     """A capture task: one verdict per capture. Captures are never gathered: features are
-    grouped sums, graphs stay edge tables, and scores meet by trace id."""
+    grouped sums, graphs stay edge tables, and scores meet by trace id. The graph of a capture
+    is also given as text, as the record format has it; one of more than ``text_edges`` edges
+    fits no record, its text is NULL and ``capture_tables`` has its edges."""
     sessions, requests, edges = capture_tables(packets, part_rows)
     features = s.session_features(sessions, requests, g.topology_features(edges))
     rows = models.forest(features.withColumn("has_features", F.lit(True)))
@@ -127,8 +174,30 @@ def detect_captures(
         "gcn_prob": F.coalesce("gcn_prob", F.lit(0.0)),
         "features_json": features_to_json(MODEL_INPUT + TOPOLOGY),
     })
-    fused = fuse_with_fallback(joined, mode)
+    sizes = edges.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
+    short = edges.join(sizes.where(F.col("n") <= text_edges).select("trace_id"), "trace_id", "left_semi")
+    texts = g.collect_graphs(short).select("_id", graph_to_json(F.col("call_graph")).alias("call_graph_json"))
+    fused = fuse_with_fallback(joined.join(texts, "_id", "left"), mode)
     return fused.select(
         task_trace_id("pcap", task, F.col("_id")).alias("trace_id"), c("source_ip"),
         "rf_prob", "gcn_prob", "final_prob", "is_anomaly", "mode", "threshold", "features_json",
+        "call_graph_json",
     )
+
+
+def detect_capture_task(
+    decoded: DataFrame, models: Models, task: DataFrame, mode: str = "adaptive",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole capture task: (verdicts, summary row, files that could not be read).
+
+    ``decoded``: packet rows with the errors of broken files (``read_packets``). ``task``: one
+    row with ``task_id`` and, if known, ``start_time`` and ``end_time``. The summary has the
+    counts, the anomaly rate, the duration and the status of the task, as that of a file task;
+    broken files count as skipped.
+    """
+    decoded = checkpointed(decoded)
+    broken = capture_errors(decoded).select(F.col("file_name").alias("id"), F.col("error").alias("reason"))
+    number = task.select("task_id").first()["task_id"]
+    scored = checkpointed(detect_captures(good_packets(decoded), models, number, mode))
+    summary, report = task_report(scored, broken, task)
+    return scored, summary, report

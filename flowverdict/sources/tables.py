@@ -98,7 +98,8 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_http(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as request packets; the page text is the body."""
+    """Pages as request packets, the page text as the body; every fifth page has a further
+    packet with a blank body, whose number is below 0."""
     url = F.col("url")
     host = F.split_part(F.split_part(url, F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
     path = F.concat(
@@ -115,12 +116,14 @@ def raw_http(spark: SparkSession, folder: str) -> DataFrame:
         F.when(page % 2 == 0, F.lit("User-Agent: probe/1.0\r\n")).otherwise(F.lit("")),
         F.when(page % 3 == 0, F.lit("Content-Type: text/html\r\n")).otherwise(F.lit("")),
         F.lit("\r\n"),
-        F.when(page % 5 == 0, F.lit("  ")).otherwise(F.col("html")),
+        F.when(F.col("blank"), F.lit("  ")).otherwise(F.col("html")),
         F.lit("\r\n"),
     )
-    return table(spark, folder, "pages").select(
+    pages = table(spark, folder, "pages").withColumn("blank", F.lit(False))
+    further = pages.where(page % 5 == 0).withColumn("blank", F.lit(True))
+    return pages.unionByName(further).select(
         host.alias("trace_id"),
-        page.alias("pkt_no"),
+        F.when(F.col("blank"), -1 - page).otherwise(page).alias("pkt_no"),
         page.cast("double").alias("ts"),
         text.alias("text"),
         F.encode(text, "UTF-8").alias("payload"),

@@ -241,6 +241,60 @@ def test_file_task_report_and_store(spark, folder, models, tmp_path):
     assert VerdictStore(spark, str(tmp_path / "r")).read().count() == len(times)
 
 
+def literal_models():
+    from catalog.learning import _LITERAL
+    return _LITERAL
+
+
+@pytest.mark.parametrize("task_edges", [200_000, 0])
+def test_mixed_records_decide_for_themselves(spark, monkeypatch, task_edges):
+    from flowverdict.operators import gcn
+    monkeypatch.setattr(gcn.score_edges, "__defaults__", (task_edges,))
+    graph = [("/a", "/b"), ("/b", "/c"), ("/a", "/b")]
+    full = [3.0] * 7 + ["default", "E"]
+    rows = [("both", *full, graph), ("rf", *full, None), ("gcn", *[None] * 9, graph), ("none", *[None] * 9, []),
+            ("bad", *[3.0] * 7, "default", None, graph), ("some", 1.0, *[None] * 8, graph)]
+    names = ", ".join(f"`{n}` {'double' if k < 7 else 'string'}" for k, n in enumerate(MODEL_INPUT))
+    df = spark.createDataFrame(
+        rows, f"trace_id string, {names}, call_graph array<struct<fromId:string,toId:string>>")
+    scored, skipped = detect.detect_records(df, literal_models())
+    got = {r["trace_id"]: r for r in scored.collect()}
+    assert {k: r["mode"] in ("rf_only", "gcn_only") and r["mode"] for k, r in got.items()} == {
+        "both": False, "rf": "rf_only", "gcn": "gcn_only", "none": False}
+    assert {r["id"] for r in skipped.collect()} == {"bad", "some"}
+    assert got["rf"]["final_prob"] == 3.0 / 24 and got["none"]["final_prob"] == 0.0
+    assert got["gcn"]["features_json"] is None and got["rf"]["call_graph_json"] is None
+    edges = df.select("trace_id", F.posexplode("call_graph").alias("pos", "e")).select(
+        "trace_id", "pos", F.col("e.fromId").alias("from_id"), F.col("e.toId").alias("to_id"))
+    joined, missed = detect.detect_records(df.drop("call_graph"), literal_models(), edges)
+    assert missed.count() == 2
+    for r in joined.collect():
+        for name in ("rf_prob", "gcn_prob", "final_prob", "is_anomaly", "mode", "threshold"):
+            assert r[name] == pytest.approx(got[r["trace_id"]][name])
+    assert detect.detect_records(df.select("trace_id", "call_graph").limit(0), literal_models())[0].count() == 0
+
+
+def test_capture_task_reports_graphs_and_broken_files(spark, tmp_path):
+    from tests.test_sources import capture, frame
+    from flowverdict.sources import captures
+    get = b"GET /%d HTTP/1.1\r\nHost: h\r\n\r\n"
+    for name, n in (("a", 3), ("b", 9), ("c", 1)):
+        (tmp_path / f"{name}.pcap").write_bytes(capture(
+            [(10.0 + i, frame("10.0.0.1", "10.0.0.2", 5, 80, get % (i % 3))) for i in range(n)]))
+    (tmp_path / "x.pcap").write_bytes(b"no capture")
+    task = spark.createDataFrame([(4,)], "task_id long")
+    scored, summary, broken = detect.detect_capture_task(
+        captures.read_packets(spark, str(tmp_path)), literal_models(), task)
+    rows = sorted((r["call_graph_json"] or "[]").count("fromId") for r in scored.collect())
+    assert rows == [0, 2, 8]
+    got = summary.first()
+    assert (got["record_count"], got["skipped_count"], got["status"]) == (3, 1, "COMPLETED")
+    assert [tuple(r) for r in broken.collect()] == [("x.pcap", "not a capture file")]
+    packets = captures.good_packets(captures.read_packets(spark, str(tmp_path)))
+    short = detect.detect_captures(packets, literal_models(), 4, text_edges=2)
+    assert sorted((r["call_graph_json"] or "[]").count("fromId") for r in short.collect()) == [0, 0, 2]
+
+
 def test_captures_from_files_to_verdicts(spark, models, tmp_path):
     from tests.test_sources import capture, frame
     from flowverdict.sources import captures
