@@ -1,9 +1,11 @@
-"""Exact nearest neighbours of vectors by space cells.
-
-Space is cut into cells of a few thousand distinct vectors. Each cell finds neighbours
-among its own vectors; the distance of the k-th one bounds how far the true neighbours
-can lie, so a vector then visits only the cells whose box is nearer than that. Copies of
-a vector count once here, with their number, so no cell is filled by copies.
+"""Exact nearest neighbours of vectors by a metric partition.
+
+Some of the vectors are pivots, about one for every ``CELL_ROWS``; a vector belongs to a near
+pivot, and the vectors of a pivot form blocks of bounded size, so their number grows with the
+table. Each block finds neighbours among its own vectors; the distance of the k-th one bounds how
+far the true neighbours can lie. By the triangle inequality a vector then visits only the blocks
+whose pivot is nearer than that bound and the block's radius. Copies of a vector count once here,
+with their number, so no block is filled by copies.
 """
 
 from __future__ import annotations
@@ -11,52 +13,91 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .lineage import checkpointed
 
 CELL_ROWS = 4000
-MAX_CELLS = 65_536
-SAMPLE_ROWS = 200_000
+REGIONS = 1024  # pivots of the first level at most: what the driver holds and the tasks get
 VISITS_PER_GROUP = 500_000
+SLACK = 1e-9  # for sums that round differently
 _NEAR = "array<struct<d: double, x: array<double>, m: bigint>>"
 
 
-def _build_cells(sample: np.ndarray, cells: int):
-    """Split planes (dimension, value, left, right) of a binary tree; leaves are -1 - cell."""
-    planes, leaves = [], 0
-    stack = [(np.arange(len(sample)), max(0, int(np.ceil(np.log2(cells)))), None, 0)]
-    while stack:
-        rows, depth, parent, side = stack.pop()
-        node = None
-        if depth > 0 and len(rows) > 1:
-            spread = np.ptp(sample[rows], axis=0)
-            dim = int(np.argmax(spread))
-            if spread[dim] > 0:
-                value = float(np.median(sample[rows, dim]))
-                low = sample[rows, dim] <= value
-                if low.all():
-                    value = float(np.max(sample[rows, dim][sample[rows, dim] < value]))
-                    low = sample[rows, dim] <= value
-                node = len(planes)
-                planes.append([dim, value, 0, 0])
-                stack.append((rows[~low], depth - 1, node, 3))
-                stack.append((rows[low], depth - 1, node, 2))
-        if node is None:
-            node = -1 - leaves
-            leaves += 1
-        if parent is not None:
-            planes[parent][side] = node
-    return planes, leaves
-
-
-def _assign(x: np.ndarray, planes) -> np.ndarray:
-    at = np.zeros(len(x), dtype=np.int64) if planes else np.full(len(x), -1)
-    dims, values, left, right = (np.array(v) for v in zip(*planes)) if planes else [()] * 4
-    while (at >= 0).any():
-        rows = np.nonzero(at >= 0)[0]
-        node = at[rows]
-        low = x[rows, dims[node]] <= values[node]
-        at[rows] = np.where(low, left[node], right[node])
-    return -1 - at
+def _rows(column) -> np.ndarray:
+    """A list column as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        out += (a[:, j : j + 1] - b[:, j]) ** 2
+    return out
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def _regions(vectors: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """``(x, m, region)``: the nearest of at most ``REGIONS`` vectors, which are given as well."""
+    many = int(min(REGIONS, max(1, np.ceil(np.sqrt(n / CELL_ROWS)))))
+    first = vectors.orderBy(F.xxhash64("x"), "x").limit(many).select("x").collect()
+    centres = np.array([r["x"] for r in first], float)
+
+    def nearest(batches):
+        for batch in batches:
+            x = _rows(batch.column("x"))
+            at = [_squares(x[k : k + 4096], centres).argmin(axis=1) for k in range(0, len(x), 4096)]
+            yield batch.append_column("region", pa.array(np.concatenate([np.zeros(0, int), *at]), pa.int64()))
+
+    return vectors.select("x", "m").mapInArrow(nearest, "x array<double>, m bigint, region bigint"), centres
+
+
+def _placed(vectors: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """``(x, m, region, pivot, far, block)`` of every vector, and the centres of the regions.
+
+    The pivots of a region are its vectors whose hash says so, one of about ``CELL_ROWS``, and
+    its centre. A region of very many vectors is dealt into groups, each of which gets its pivots.
+    """
+    rows, centres = _regions(vectors, n)
+    rows = checkpointed(rows)
+    spark = vectors.sparkSession
+    middle = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "region long, pivot array<double>")
+    drawn = rows.where(F.pmod(F.xxhash64("x", F.lit(7)), F.lit(CELL_ROWS)) == 0).select(
+        "region", F.col("x").alias("pivot"))
+    pivots = middle.unionByName(drawn).distinct()
+    crowd = rows.groupBy("region").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(VISITS_PER_GROUP)).alias("groups"))
+    dealt = rows.join(crowd, "region").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("groups"))).drop("groups")
+    hosts = pivots.join(crowd, "region").select(
+        "region", "pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in _PLACED})
+        x, p = _rows(left["x"]), _rows(right["pivot"])
+        step = max(1, (1 << 22) // len(p))
+        found = [_squares(x[k : k + step], p) for k in range(0, len(x), step)]
+        at = np.concatenate([d.argmin(axis=1) for d in found])
+        return pa.table({
+            "x": left["x"], "m": left["m"], "region": left["region"],
+            "pivot": right["pivot"].combine_chunks().take(pa.array(at)),
+            "far": pa.array(np.sqrt(np.concatenate([d.min(axis=1) for d in found]))),
+        })
+
+    placed = checkpointed(dealt.groupBy("region", "salt").cogroup(hosts.groupBy("region", "salt")).applyInArrow(
+        nearest, "x array<double>, m bigint, region bigint, pivot array<double>, far double"))
+    sizes = placed.groupBy("region", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)).alias("parts"))
+    part = F.pmod(F.xxhash64("x", F.lit(3)), F.col("parts"))
+    return placed.join(sizes, ["region", "pivot"]).withColumn(
+        "block", F.xxhash64("region", "pivot", part)).drop("parts"), centres
+
+
+_PLACED = [("x", pa.list_(pa.float64())), ("m", pa.int64()), ("region", pa.int64()),
+           ("pivot", pa.list_(pa.float64())), ("far", pa.float64())]
 
 
 def _nearest(queries, points, k, skip_self, chunk=256):
@@ -86,23 +127,12 @@ def _packed(best, dist, points, copies, k):
 def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """``vectors``: distinct ``x`` with copies ``m``. Adds ``near``: the k nearest other
     vectors with distance and copies, nearest first."""
-    spark = vectors.sparkSession
     n = vectors.count()
-    cells = int(min(MAX_CELLS, max(1, -(-n // CELL_ROWS))))
-    planes = []
-    if cells > 1:
-        part = min(1.0, SAMPLE_ROWS / n)
-        sample = vectors.select("x").sample(part, seed=11).toPandas()["x"] if part < 1.0 else (
-            vectors.select("x").toPandas()["x"])
-        planes, _ = _build_cells(np.stack(sample.to_numpy()), cells)
-
-    def assign(batches):
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            x = x.reshape(batch.num_rows, -1)
-            yield batch.append_column("cell", pa.array(_assign(x, planes), pa.int64()))
-
-    placed = vectors.select("x", "m").mapInArrow(assign, "x array<double>, m bigint, cell bigint")
+    whole = n <= CELL_ROWS
+    placed = vectors.select("x", "m", F.lit(0).cast("long").alias("block"))
+    if not whole:
+        placed, centres = _placed(vectors, n)
+        placed = checkpointed(placed)
 
     def inside(pdf):
         x, m = np.stack(pdf["x"].to_numpy()), pdf["m"].to_numpy()
@@ -113,46 +143,48 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
         else:
             near = [[]]
         pdf["near"] = near
-        pdf["reach"] = [v[k - 1]["d"] if len(v) >= k else np.inf for v in near]
+        pdf["reach"] = [np.sqrt(v[k - 1]["d"]) if len(v) >= k else np.inf for v in near]
         return pdf
 
-    local = placed.groupBy("cell").applyInPandas(
-        inside, f"x array<double>, m bigint, cell bigint, near {_NEAR}, reach double"
+    local = placed.select("x", "m", "block").groupBy("block").applyInPandas(
+        inside, f"x array<double>, m bigint, block bigint, near {_NEAR}, reach double"
     )
-    if not planes:
+    if whole:
         return local.select("x", "m", "near")
-
-    width = F.size("x")
-    boxes = (
-        placed.select("cell", F.posexplode("x").alias("j", "v"))
-        .groupBy("cell", "j").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .toPandas()
-    )  # at most MAX_CELLS rows per dimension
-    lo = boxes.pivot(index="cell", columns="j", values="lo")
-    hi = boxes.pivot(index="cell", columns="j", values="hi").to_numpy()
-    box_cells, lo = lo.index.to_numpy(), lo.to_numpy()
-
-    def visits(batches):
+    local = checkpointed(local)
+
+    # A block reaches a region, and then its blocks, by distances of pivots alone.
+    blocks = checkpointed(placed.groupBy("block", "region", "pivot").agg(F.max("far").alias("radius")).join(
+        local.groupBy("block").agg(F.max("reach").alias("reach")), "block"))
+    sizes = placed.select("region", "x").mapInArrow(
+        _far_from(centres), "region bigint, far double").groupBy("region").agg(F.max("far").alias("far")).collect()
+    outer = np.full(len(centres), -np.inf)
+    for r in sizes:  # one row for each of at most ``REGIONS`` regions
+        outer[r["region"]] = r["far"]
+
+    def regions(batches):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            x = x.reshape(batch.num_rows, -1)
-            reach = batch.column("reach").to_numpy(zero_copy_only=False)
-            own = batch.column("cell").to_numpy(zero_copy_only=False)
-            for at in range(0, len(x), 512):
-                q = x[at : at + 512]
-                d = np.zeros((len(q), len(box_cells)))
-                for j in range(q.shape[1]):
-                    gap = np.maximum(lo[:, j] - q[:, j : j + 1], q[:, j : j + 1] - hi[:, j])
-                    d += np.maximum(gap, 0.0) ** 2
-                near = (d <= reach[at : at + 512, None]) & (
-                    box_cells[None, :] != own[at : at + 512, None])
-                row, cell = np.nonzero(near)
-                yield pa.RecordBatch.from_pydict({
-                    "x": batch.column("x").take(pa.array(at + row)),
-                    "cell": pa.array(box_cells[cell], pa.int64()),
-                })
-
-    asked = local.select("x", "reach", "cell").mapInArrow(visits, "x array<double>, cell bigint")
+            p = _rows(batch.column("pivot"))
+            span = np.asarray(batch.column("radius")) + np.asarray(batch.column("reach"))
+            for at in range(0, len(p), 4096):
+                far = np.sqrt(_squares(p[at : at + 4096], centres))
+                row, region = np.nonzero(far * (1 - SLACK) <= span[at : at + 4096, None] + outer[None, :] + SLACK)
+                yield batch.take(pa.array(at + row)).append_column("to", pa.array(region, pa.int64()))
+
+    asks = blocks.select("block", "pivot", "radius", "reach").mapInArrow(
+        regions, "block bigint, pivot array<double>, radius double, reach double, to bigint")
+    host = blocks.select(F.col("region").alias("to"), F.col("block").alias("cell"),
+                         F.col("pivot").alias("host"), F.col("radius").alias("host_radius"))
+    apart = _distance(F.col("pivot"), F.col("host")) * F.lit(1 - SLACK)
+    pairs = asks.join(host, "to").where(
+        (F.col("block") != F.col("cell"))
+        & (apart <= F.col("radius") + F.col("reach") + F.col("host_radius") + F.lit(SLACK))
+    ).select("block", "cell", "host", "host_radius")
+    own = _distance(F.col("x"), F.col("host")) * F.lit(1 - SLACK)
+    asked = local.select("x", "reach", "block").join(pairs, "block").where(
+        own <= F.col("reach") + F.col("host_radius") + F.lit(SLACK)).select("x", "cell")
+    asked = checkpointed(asked)
+    placed = placed.select("x", "m", F.col("block").alias("cell"))
     # A cell that very many vectors visit is split into groups of bounded size.
     crowd = asked.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(VISITS_PER_GROUP)).alias("groups")
@@ -184,3 +216,14 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
         F.max("m").alias("m"), F.flatten(F.collect_list("near")).alias("near")
     )
     return merged.select("x", "m", F.slice(F.array_sort("near"), 1, k).alias("near"))
+
+
+def _far_from(centres: np.ndarray):
+    """Distance of every vector to the centre of its region."""
+    def far(batches):
+        for batch in batches:
+            x, region = _rows(batch.column("x")), np.asarray(batch.column("region"))
+            yield pa.RecordBatch.from_pydict({
+                "region": batch.column("region"), "far": np.sqrt(((x - centres[region]) ** 2).sum(axis=1))})
+
+    return far

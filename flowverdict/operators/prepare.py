@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.records import default_missing
 from ..schemas import CATEGORICAL, MODEL_INPUT, NUMERIC, c
+from .lineage import written
 from .ordering import in_order
 
 MAX_CODES = 10_000
@@ -112,7 +113,7 @@ def assemble(df: DataFrame, columns: list[str] = MODEL_INPUT, name: str = "featu
 class Preparation:
     """Codes and scaler of one model; the scaler belongs to the rows the model saw."""
 
-    codes: dict[str, dict[str, int]]
+    codes: dict[str, dict[str, int]] | DataFrame  # a table (column, value, code) beyond MAX_CODES
     scaler: Scaler
     columns: list[str]
     categorical: list[str]
@@ -123,8 +124,7 @@ class Preparation:
         coded = apply_label_codes(
             filled.select(*[c(n) for n in filled.columns],
                           *[c(n).alias(f"_in_{i}") for i, n in enumerate(self.columns)]),
-            {f"_in_{self.columns.index(n)}": self.codes.get(n, {}) for n in self.categorical},
-            [f"_in_{self.columns.index(n)}" for n in self.categorical],
+            self._named_codes(), [f"_in_{self.columns.index(n)}" for n in self.categorical],
             handle_unseen,
         )
         x = F.array(*[
@@ -134,6 +134,15 @@ class Preparation:
         return coded.withColumn("x", x).select(*[c(n) for n in df.columns], "x")
 
 
+    def _named_codes(self) -> dict[str, dict[str, int]] | DataFrame:
+        """The codes by the place of their column in the input."""
+        if isinstance(self.codes, dict):
+            return {f"_in_{self.columns.index(n)}": self.codes.get(n, {}) for n in self.categorical}
+        place = F.create_map(*[F.lit(x) for n in self.categorical
+                               for x in (n, f"_in_{self.columns.index(n)}")])
+        return self.codes.withColumn("column", F.element_at(place, F.col("column")))
+
+
 def fit_preparation(
     df: DataFrame, numeric: list[str] = NUMERIC, categorical: list[str] = CATEGORICAL
 ) -> Preparation:
@@ -141,7 +150,7 @@ def fit_preparation(
     codes = fit_label_codes(df, categorical)
     maps = code_maps(codes)
     if maps is None:
-        raise ValueError(f"more than {MAX_CODES} categories: not a category column")
+        maps = written(codes, "codes")
     coded = apply_label_codes(df, maps, categorical)
     return Preparation(maps, fit_scaler(coded, columns), columns, list(categorical))
 

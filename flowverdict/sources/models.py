@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from ..operators.forest import ForestScorer
 from ..operators.graph_batch import Weights
-from ..operators.prepare import Preparation, Scaler
+from ..operators.prepare import Preparation, Scaler, code_maps
 from ..plans.detect import Models
 
 
@@ -22,9 +22,12 @@ def save_models(models: Models, spark: SparkSession, folder: str) -> None:
     spark.createDataFrame(
         columns, "position int, column string, categorical boolean, mean double, scale double"
     ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/columns")
-    codes = [(n, v, int(k)) for n, m in p.codes.items() for v, k in m.items()]
-    spark.createDataFrame(codes, "column string, value string, code bigint").coalesce(
-        1).write.mode("overwrite").parquet(f"{folder}/codes")
+    if isinstance(p.codes, dict):
+        codes = spark.createDataFrame([(n, v, int(k)) for n, m in p.codes.items() for v, k in m.items()],
+                                      "column string, value string, code bigint").coalesce(1)
+    else:
+        codes = p.codes.select("column", "value", F.col("code").cast("long").alias("code"))
+    codes.write.mode("overwrite").parquet(f"{folder}/codes")
     layers = []
     for name, w in (("gcn", models.gcn), ("fallback", models.fallback)):
         for i, (matrix, bias) in enumerate([*w.layers, (w.head[0][:, None], [w.head[1]])]):
@@ -36,9 +39,9 @@ def save_models(models: Models, spark: SparkSession, folder: str) -> None:
 
 def load_models(spark: SparkSession, folder: str) -> Models:
     rows = spark.read.parquet(f"{folder}/columns").orderBy("position").collect()
-    codes: dict = {}
-    for r in spark.read.parquet(f"{folder}/codes").collect():
-        codes.setdefault(r["column"], {})[r["value"]] = r["code"]
+    table = spark.read.parquet(f"{folder}/codes")
+    codes = code_maps(table)
+    codes = table if codes is None else codes
     names = [r["column"] for r in rows]
     preparation = Preparation(
         codes, Scaler(names, [r["mean"] for r in rows], [r["scale"] for r in rows]), names,

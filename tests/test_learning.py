@@ -72,6 +72,35 @@ def test_many_codes_are_joined(spark, monkeypatch):
     assert sorted(r["k"] for r in out.collect()) == [0.0, 1.0, 2.0]
 
 
+def test_preparation_with_many_codes(spark, monkeypatch, tmp_path):
+    """Beyond the literal maps the codes are a table that is joined, with the same input."""
+    rows = [(f"v{k % 7}", f"w{k % 3}", float(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "a string, b string, n double")
+    outs = []
+    for most in (10_000, 3):
+        monkeypatch.setattr(pr, "MAX_CODES", most)
+        p = pr.fit_preparation(df, ["n"], ["a", "b"])
+        assert isinstance(p.codes, dict) == (most > 3)
+        new = spark.createDataFrame([("v3", "w1", 2.0), ("zz", None, 3.0)], "a string, b string, n double")
+        outs.append(sorted((r["n"], r["x"]) for r in p.apply(new).collect()))
+    assert outs[0] == outs[1]
+
+
+@pytest.mark.parametrize("regions", [1, 5, 1024])
+def test_neighbours_of_crowded_vectors(spark, monkeypatch, regions):
+    """Far and near clumps: exact for any number of regions, and far blocks are not visited."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 20)
+    monkeypatch.setattr(neighbours, "REGIONS", regions)
+    monkeypatch.setattr(neighbours, "VISITS_PER_GROUP", 40)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(60, 4)) * 0.01 + 100 * c for c in rng.normal(size=(6, 4))]
+                       + [rng.normal(size=(90, 4)) * 50])
+    df = spark.createDataFrame([([float(v) for v in p], 1) for p in x], "x array<double>, m long")
+    for r in neighbours.nearest_vectors(df, 3).collect():
+        far = np.sort(((x - np.array(r["x"])) ** 2).sum(1))[1:4]
+        assert [v["d"] for v in r["near"]] == pytest.approx(far.tolist())
+
+
 def test_gate_gradient_and_form(spark):
     rng = np.random.default_rng(3)
     rf, gcn, y = rng.random(50), rng.random(50), rng.integers(0, 2, 50).astype(float)
