@@ -284,7 +284,41 @@ def with_label_error(rows: DataFrame) -> DataFrame:
     return rows.join(of, rows["label"].eqNullSafe(of["_of"])).drop("_of")
 
 
-@query("op11_cover_tree_codes")
+def _sql() -> str:
+    """Lloyd's rounds by comparing every part with every entry."""
+    views = [f"""v AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+               [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""parts AS MATERIALIZED (
+        SELECT r, p, e[p * len(e) // {PARTS} + 1 : (p + 1) * len(e) // {PARTS}] AS x FROM v, range({PARTS}) AS q(p))""",
+        f"b0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS c FROM parts WHERE r <= {ENTRIES})"]
+    for n in range(ROUNDS + 1):
+        views.append(f"""a{n} AS MATERIALIZED (
+            SELECT r, p, any_value(x) AS x, arg_min(k, {ENTRIES} * d + k) AS k, CAST(min(d) AS BIGINT) AS d FROM (
+                SELECT r, t.p, x, k, list_dot_product(x::DOUBLE[], x::DOUBLE[]) + list_dot_product(c::DOUBLE[], c::DOUBLE[])
+                       - 2 * list_dot_product(x::DOUBLE[], c::DOUBLE[]) AS d FROM parts t JOIN b{n} b ON b.p = t.p)
+            GROUP BY r, p)""")
+        if n < ROUNDS:
+            views.append(f"""b{n + 1} AS MATERIALIZED (
+                SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN (
+                    SELECT p, k, list(mean ORDER BY i) AS c FROM (
+                        SELECT p, k, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS mean
+                        FROM a{n}, range(1, len(x) + 1) AS q(i) GROUP BY p, k, i) GROUP BY p, k) m
+                ON m.p = b.p AND m.k = b.k)""")
+    views.append(f"""codes AS (
+        SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+        FROM a{ROUNDS} GROUP BY r)""")
+    views.append(f"""books AS (
+        SELECT sha256(string_agg(CAST(c[i] AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256
+        FROM b{ROUNDS}, range(1, len(c) + 1) AS q(i))""")
+    return "WITH " + ",\n".join(views) + """
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM v JOIN codes USING (r) CROSS JOIN books"""
+
+
+@query("op11_cover_tree_codes", _sql())
 def op11_cover_tree_codes(spark, sf_dir):
     rows, books = coded(quantised(table(spark, sf_dir, "embeddings")))
     rows = with_label_error(cut(rows, "codes"))

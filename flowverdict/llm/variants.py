@@ -345,6 +345,50 @@ def variant_groups(docs: DataFrame, factor: int = 2, **words) -> DataFrame:
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-@query("op12_spelling_variants")
+def _sql() -> str:
+    """All near pairs by their wildcard forms; CRC-32 byte by byte, its table made by its rule."""
+    crc = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        crc.append(byte)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+        WITH RECURSIVE runs AS MATERIALIZED (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{upper}', '{lower}') AS run
+            FROM documents WHERE text IS NOT NULL),
+        counted AS MATERIALIZED (
+            SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)] ELSE [195, ord(ch) - 64] END)) AS bytes
+            FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL)),
+        hashed AS MATERIALIZED (
+            SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, b:
+                xor(c >> 8, {crc}[(xor(c, CAST(b AS BIGINT)) & 255) + 1]), 4294967295::BIGINT)) AS h FROM counted),
+        vocab AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT n, CASE WHEN h % {LOST_EVERY} = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :]
+                               ELSE run END AS word FROM hashed)
+            WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+        cut AS MATERIALIZED (
+            SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM vocab, range(1, length(word) + 1) AS q(i)),
+        pairs AS MATERIALIZED (
+            SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i
+            WHERE a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocab b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocab b ON a.rest = b.word),
+        best AS (
+            SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+        forms AS MATERIALIZED (
+            SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+                   CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+            FROM vocab v LEFT JOIN best USING (word)),
+        way(word, root) AS (
+            SELECT word, word FROM forms
+            UNION ALL SELECT w.word, f.form FROM way w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+        FROM forms f JOIN way w USING (word) JOIN forms l ON l.word = w.root WHERE l.form IS NULL"""
+
+
+@query("op12_spelling_variants", _sql())
 def op12_spelling_variants(spark, sf_dir):
     return variant_groups(table(spark, sf_dir, "documents"))
