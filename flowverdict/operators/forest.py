@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -11,13 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.records import fill_missing, label
 from ..schemas import MODEL_INPUT, c
 from .grids import parameter_grid
-from .lineage import checkpointed
+from .lineage import checkpointed, shared_folder
 from .metrics import classification_metrics, pick_best
 from .prepare import Preparation, fit_preparation
 from .smote import smote
 
 # The tuned forest and the search space (split size has no twin here).
 TREES, DEPTH, SEED = 100, 10, 42
+JUDGED_ROWS = 2000  # rows that walk all trees in one go
 FOREST_GRID = {
     "n_estimators": [100, 200], "max_depth": [10, 20, 30], "max_features": ["sqrt", "log2"],
 }
@@ -78,32 +81,99 @@ def feature_importances(scorer: ForestScorer, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, rank int")
 
 
+@dataclass
+class Trees:
+    """Nodes of all trees of a forest as flat arrays; a leaf has feature -1."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    probability: np.ndarray
+
+    def at_depths(self, x: np.ndarray, depths: list[int]) -> np.ndarray:
+        """Probability of every row and tree at each of ``depths`` (ascending), where a tree that
+        is deeper is cut: (depth, row, tree)."""
+        at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
+        rows, out = np.arange(len(x))[:, None], []
+        for level in range(depths[-1] + 1):
+            if level in depths:
+                out.append(self.probability[at])
+            inner = self.feature[at] >= 0
+            if not inner.any():
+                break
+            low = x[rows, np.maximum(self.feature[at], 0)] <= self.threshold[at]
+            at = np.where(inner, np.where(low, self.left[at], self.right[at]), at)
+        return np.stack(out + [self.probability[at]] * (len(depths) - len(out)))
+
+
+def grown_trees(model: RandomForestClassificationModel, spark) -> Trees:
+    """The trees of a fitted forest of two classes, read from its stored form; as many rows as
+    the model, which is on the driver anyway, has nodes."""
+    folder = shared_folder(spark, "forest")
+    model.write().overwrite().save(folder)
+    n = F.col("nodeData")
+    rows = spark.read.parquet(f"{folder}/data").select(
+        "treeID", n["id"], n["split"]["featureIndex"], F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)),
+        n["leftChild"], n["rightChild"], n["impurityStats"][0], n["impurityStats"][1],
+    ).toDF("tree", "id", "feature", "threshold", "left", "right", "n0", "n1").orderBy("tree", "id").collect()
+    tree = np.array([r["tree"] for r in rows])
+    roots = np.searchsorted(tree, np.arange(tree[-1] + 1))
+    inner = np.array([r["left"] >= 0 for r in rows])
+    number = lambda name: np.array([r[name] or 0 for r in rows])
+    base = roots[tree]  # ids count from 0 in every tree, in the order of the rows
+    return Trees(
+        roots, np.where(inner, number("feature"), -1), number("threshold").astype(float),
+        base + number("left"), base + number("right"),
+        number("n1") / np.maximum(number("n0") + number("n1"), 1e-300),
+    )
+
+
+def _cell_probabilities(trees: Trees, sizes: list[tuple[int, int]], depths: list[int]):
+    """Probabilities of every (number of trees, depth) as an array column."""
+    def probabilities(rows: pa.Array) -> pa.Array:
+        x = np.asarray(rows.flatten(), float).reshape(len(rows), -1)
+        parts = [np.zeros((0, len(sizes)))]
+        for low in range(0, len(x), JUDGED_ROWS):
+            found = trees.at_depths(x[low : low + JUDGED_ROWS], depths)
+            parts.append(np.stack([found[depths.index(d), :, :t].mean(axis=1) for t, d in sizes], axis=1))
+        flat = np.concatenate(parts)
+        ends = np.arange(0, flat.size + 1, len(sizes), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
+
+    return F.arrow_udf(probabilities, "array<double>")
+
+
 def search_forest(train: DataFrame, val: DataFrame, grid=None, seed: int = SEED) -> DataFrame:
     """Validation metrics of every forest of the grid. Both tables: x, y.
 
-    Every fit is a Spark job of its own; the driver only walks the cells.
+    Only the largest and deepest forest of each ``max_features`` is grown: a smaller one is its
+    first trees, a shallower one its trees cut at their depth. All its cells are judged in one
+    pass over ``val``, so the jobs do not grow with the numbers of trees and depths.
     """
     grid = grid or FOREST_GRID
     spark = train.sparkSession
     train, val = checkpointed(train.select("x", "y")), checkpointed(val.select("x", "y"))
     numbers = {k: v for k, v in grid.items() if k != "max_features"}
-    cells = [
-        (*(r[n] for n in numbers), f)
-        for r in parameter_grid(spark, numbers).orderBy("cell").collect()
-        for f in grid["max_features"]
-    ]
+    sizes = [(int(r["n_estimators"]), int(r["max_depth"]))
+             for r in parameter_grid(spark, numbers).orderBy("cell").collect()]
+    kinds = grid["max_features"]
+    cells = [(k * len(kinds) + j, trees, depth, f)
+             for k, (trees, depth) in enumerate(sizes) for j, f in enumerate(kinds)]
+    depths = sorted({d for _, d in sizes})
     out = None
-    for cell, (trees, depth, features) in enumerate(cells):
-        model = fit_forest(train, int(trees), int(depth), features, seed)
-        judged = forest_probability(val.select("x", "y"), model).withColumn(
-            "predicted", (F.col("rf_prob") > 0.5).cast("int")
-        )
-        row = classification_metrics(judged).select(
-            F.lit(cell).cast("long").alias("cell"), F.lit(int(trees)).alias("n_estimators"),
-            F.lit(int(depth)).alias("max_depth"), F.lit(features).alias("max_features"), "*",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    for j, features in enumerate(kinds):
+        model = fit_forest(train, max(t for t, _ in sizes), depths[-1], features, seed)
+        trees = grown_trees(model, spark)
+
+        probability = _cell_probabilities(trees, sizes, depths)(F.col("x"))
+        judged = val.select("y", F.posexplode(probability).alias("k", "rf_prob")).select(
+            (F.col("k") * len(kinds) + j).cast("long").alias("cell"), "y",
+            (F.col("rf_prob") > 0.5).cast("int").alias("predicted"))
+        out = judged if out is None else out.unionByName(judged)
+    named = spark.createDataFrame(cells, "cell long, n_estimators int, max_depth int, max_features string")
+    return named.join(F.broadcast(classification_metrics(out, ["cell"])), "cell")  # a row a cell
 
 
 def best_forest(search: DataFrame) -> DataFrame:

@@ -239,6 +239,34 @@ def test_forest_importances(spark, models):
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
 
 
+def test_search_judges_cuts_of_one_forest(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(400) < 0.1)).astype(int)
+    df = spark.createDataFrame([([float(v) for v in p], int(k)) for p, k in zip(x, y)], "x array<double>, y int")
+    grid = {"n_estimators": [4, 7], "max_depth": [0, 2, 6], "max_features": ["sqrt", "log2"]}
+    real, seen = fo.grown_trees, []
+    monkeypatch.setattr(fo, "grown_trees", lambda *a: seen.append(real(*a)) or seen[-1])
+    out = {(r["n_estimators"], r["max_depth"], r["max_features"]): r for r in fo.search_forest(df, df, grid).collect()}
+    assert len(seen) == 2
+    assert sorted(r["cell"] for r in out.values()) == list(range(12))
+    model = fo.fit_forest(df, 7, 6, "sqrt")
+    whole = real(model, spark).at_depths(x, [0, 2, 6])
+    want = np.array([r["rf_prob"] for r in fo.forest_probability(df, model).collect()])
+    assert np.allclose(whole[2].mean(axis=1), want)  # the uncut forest is the model
+    for k in (0, 3):
+        tree = [model.trees[k].predictProbability(Vectors.dense(p))[1] for p in x[:40]]
+        assert np.allclose(whole[2][:40, k], tree)
+    assert len(np.unique(whole[0][:, 0])) == 1 and len(np.unique(whole[1][:, 0])) <= 4
+    whole = seen[0].at_depths(x, [0, 2, 6])
+    for t in (4, 7):
+        for k, d in enumerate((0, 2, 6)):
+            guess = whole[k][:, :t].mean(axis=1) > 0.5
+            assert out[t, d, "sqrt"]["tp"] == int((guess & (y == 1)).sum())
+            assert out[t, d, "sqrt"]["fp"] == int((guess & (y == 0)).sum())
+
+
 def test_file_task_report_and_store(spark, folder, models, tmp_path):
     from catalog.learning import graph_rows
     from catalog.traffic import features
