@@ -14,7 +14,7 @@ from flowverdict.operators import (
 )
 from flowverdict.operators.lineage import checkpointed
 from flowverdict.operators.graph_batch import initial_weights
-from flowverdict.plans import compare, detect
+from flowverdict.plans import compare, detect, train
 from flowverdict.schemas import MODEL_INPUT, NUMERIC, c
 from flowverdict.sources import tables as t
 
@@ -570,6 +570,20 @@ def compare_methods(spark, folder):
     return metrics
 
 
+@query("gate_stability")
+def gate_stability(spark, folder):
+    """Five seeded gates on the scores of the events, each judged on the test split."""
+    parts = pr.parts_of(pr.stratified_split(t.scores(spark, folder), [0.6, 0.2, 0.2], "trace_id", "y"), 3)
+    metrics, spread, _, _ = compare.gate_stability(*parts)
+    return metrics.withColumn("f1_mean", spread.select("f1_mean").scalar())
+
+
+@query("train_report")
+def train_report(spark, folder):
+    """The training job on the sessions: metrics of the three models."""
+    return train.train_models(labelled_sessions(spark, folder).drop("y"), graph_rows(spark, folder))[1]
+
+
 @query("sweep_epochs")
 def sweep_epochs(spark, folder):
     """All methods after every candidate epoch count."""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fusion import confidence, weighted
 from ..schemas import c
 from .gcn import Adam, summed
+from .lineage import checkpointed
 
 # Layer widths of the plain nets and the training settings.
 NETS = {"small": [4, 16, 8, 1], "extended": [6, 16, 8, 1], "deep": [6, 32, 64, 32, 16, 1]}
@@ -103,46 +103,61 @@ def _like(gate, flat):
     return out
 
 
-def fit_gate(
-    df: DataFrame, widths=None, epochs: int = EPOCHS, rate: float = RATE, seed: int = 42,
+def fit_gates(
+    df: DataFrame, seeds: list[int], widths=None, epochs: int = EPOCHS, rate: float = RATE,
     validation: DataFrame | None = None, patience: int | None = None,
-):
-    """Full-batch Adam; one Spark job per epoch returns gradient sums.
+) -> list:
+    """Full-batch Adam for a gate of each seed; one Spark job per epoch, whatever the number of
+    gates, returns gradient sums on ``df`` and loss sums on ``validation``.
 
-    With ``patience`` training stops when the loss (of ``validation`` if given) has not
-    improved for so many epochs, and the best weights are returned.
+    With ``patience`` the training of a gate stops when its loss (of ``validation`` if given) has
+    not improved for so many epochs, and its best weights are returned.
     """
-    gate = initial_gate(widths or NETS["small"], seed)
-    flat = _flat(gate)
+    gates = [initial_gate(widths or NETS["small"], seed) for seed in seeds]
+    flats = [_flat(gate) for gate in gates]
     columns = [F.col("rf_prob"), F.col("gcn_prob"), F.col("y").cast("double").alias("y")]
-    rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    held = validation.select(*columns).persist(StorageLevel.MEMORY_AND_DISK) if (
-        validation is not None) else None
-    adam = Adam(rate)
-    best, best_loss, waited = flat, np.inf, 0
-
-    def measure(table, values):
-        now = _like(gate, values)
-
+    rows = df.select(*columns, F.lit(validation is None).alias("judged"), F.lit(True).alias("learnt"))
+    if validation is not None:
+        rows = rows.unionByName(
+            validation.select(*columns, F.lit(True).alias("judged"), F.lit(False).alias("learnt")))
+    rows = checkpointed(rows)
+    adams = [Adam(rate) for _ in gates]
+    best, best_loss, waited = list(flats), [np.inf] * len(gates), [0] * len(gates)
+    size = flats[0].size + 4
+
+    def measure(now) -> np.ndarray:
         def call(batch):
-            rf, gcn, y = (np.asarray(batch.column(i)) for i in range(3))
-            g, loss, n = gate_gradients(rf, gcn, y, now)
-            return np.concatenate([g, [loss, n]])
-
-        return summed(table, call, flat.size + 2)
+            rf, gcn, y, judged, learnt = (np.asarray(batch.column(i)) for i in range(5))
+            out = []
+            for gate in now:
+                g, loss, n = gate_gradients(rf[learnt], gcn[learnt], y[learnt], gate)
+                if judged.all() and learnt.all():
+                    seen = loss, n
+                else:
+                    seen = gate_gradients(rf[judged], gcn[judged], y[judged], gate)[1:]
+                out.append(np.concatenate([g, [loss, n], seen]))
+            return np.concatenate(out)
+
+        return summed(rows, call, size * len(gates)).reshape(len(gates), size)
 
     for _ in range(epochs):
-        out = measure(rows, flat)
-        seen = out if held is None else measure(held, flat)
-        loss = seen[-2] / max(seen[-1], 1)
-        if loss < best_loss:
-            best, best_loss, waited = flat, loss, 0
-        else:
-            waited += 1
-        if patience is not None and waited >= patience:
+        out = measure([_like(gate, flat) for gate, flat in zip(gates, flats)])
+        for k, sums in enumerate(out):
+            loss = sums[-2] / max(sums[-1], 1)
+            if loss < best_loss[k]:
+                best[k], best_loss[k], waited[k] = flats[k], loss, 0
+            else:
+                waited[k] += 1
+            if patience is None or waited[k] < patience:
+                flats[k] = adams[k](flats[k], sums[:-4] / max(sums[-3], 1))
+        if patience is not None and min(waited) >= patience:
             break
-        flat = adam(flat, out[:-2] / max(out[-1], 1))
-    rows.unpersist()
-    if held is not None:
-        held.unpersist()
-    return _like(gate, best if patience is not None else flat)
+    return [_like(gate, b if patience is not None else f) for gate, b, f in zip(gates, best, flats)]
+
+
+def fit_gate(
+    df: DataFrame, widths=None, epochs: int = EPOCHS, rate: float = RATE, seed: int = 42,
+    validation: DataFrame | None = None, patience: int | None = None,
+):
+    """One gate, as ``fit_gates`` fits it."""
+    return fit_gates(df, [seed], widths, epochs, rate, validation, patience)[0]

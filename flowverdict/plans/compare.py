@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fusion as fu
 from ..operators import gate as gt, grids
 from ..operators.forest import ForestScorer, train_forest
 from ..operators.gcn import Net, fit_gcns, score_call_graphs
-from ..operators.metrics import best_per_category, classification_metrics, pick_best
+from ..operators.lineage import checkpointed
+from ..operators.metrics import (
+    best_per_category, classification_metrics, pick_best, run_stability, score_distribution,
+    split_overlap,
+)
 
 CATEGORIES = {
     "rf": "single", "gcn1": "single", "gcn2": "single", "gcn3": "single", "fixed": "fixed",
@@ -78,9 +83,8 @@ def judge_methods(
     """Choose the parameters of every method on ``val`` and judge them on ``test``."""
     main = "gcn2" if 2 in nets else f"gcn{max(nets)}"
     judged = [
-        score_split(x, forest, nets)
-        .select("rf_prob", *[f"gcn{d}" for d in nets], F.col(main).alias("gcn_prob"), "y")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        checkpointed(score_split(x, forest, nets).select(
+            "rf_prob", *[f"gcn{d}" for d in nets], F.col(main).alias("gcn_prob"), "y"))
         for x in (val, test)
     ]
     return compare_scores(judged[1], fit_methods(judged[0], spaces, gate_epochs))
@@ -101,6 +105,32 @@ def compare_methods(
     return metrics, best_per_category(metrics, "rf")
 
 
+def gate_stability(
+    train: DataFrame, val: DataFrame, test: DataFrame, runs: int = 5, epochs: int = 75,
+    seed: int = 42, key: str = "trace_id",
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Is the learned gate stable? (metrics of every run on ``test``, their spread, probability
+    distributions per split, ids that splits share).
+
+    Gates of ``runs`` seeds are fitted on ``train`` in the same jobs; of each, the weights of the
+    epoch with the least loss on ``val`` are judged. All tables: ``key``, rf_prob, gcn_prob, y.
+    """
+    seeds = [seed + 1000 * k for k in range(runs)]
+    gates = gt.fit_gates(train, seeds, epochs=epochs, validation=val, patience=epochs)
+    rows = test.select("rf_prob", "gcn_prob", "y")
+    for k, gate in enumerate(gates, 1):
+        rows = gt.score_gate(rows, gate).withColumnRenamed("gate_verdict", f"run{k}").drop("alpha", "gate_prob")
+    verdicts = F.array(*[F.struct(F.lit(k).alias("run"), F.col(f"run{k}").alias("predicted"))
+                         for k in range(1, runs + 1)])
+    metrics = classification_metrics(rows.select("y", F.inline(verdicts)), ["run"])
+    parts = reduce(DataFrame.unionByName, [
+        df.select("rf_prob", "gcn_prob").withColumn("split", F.lit(name))
+        for name, df in (("train", train), ("val", val), ("test", test))])
+    return (metrics, run_stability(metrics, [], "run"),
+            score_distribution(parts, ["split"], ["rf_prob", "gcn_prob"]),
+            split_overlap(train, val, test, key))
+
+
 def sweep_epochs(
     train: DataFrame, val: DataFrame, test: DataFrame, epochs: list[int], depths=(1, 2, 3),
     hidden: int = 64, spaces=None, gate_epochs: int = gt.EPOCHS, **forest,

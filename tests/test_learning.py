@@ -239,6 +239,36 @@ def test_forest_importances(spark, models):
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
 
 
+def test_gates_of_many_seeds_are_those_of_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"t{k}", float(a), float(b), int(a + b > 1)) for k, (a, b) in enumerate(rng.random((300, 2)))]
+    df = spark.createDataFrame(rows, "trace_id string, rf_prob double, gcn_prob double, y int")
+    train, val, test = (df.where(f"int(substr(trace_id, 2)) % 3 = {k}") for k in range(3))
+    together = gt.fit_gates(train, [1, 2], epochs=8, validation=val, patience=3)
+    for seed, gate in zip((1, 2), together):
+        alone = gt.fit_gate(train, epochs=8, seed=seed, validation=val, patience=3)
+        assert np.allclose(gt._flat(alone), gt._flat(gate), atol=1e-9)
+    from flowverdict.plans import compare
+    metrics, spread, drift, shared = compare.gate_stability(train, val, test.unionByName(val.limit(4)), 3, 6)
+    got = {r["run"]: r for r in metrics.collect()}
+    assert sorted(got) == [1, 2, 3] and all(r["normal_count"] + r["anomaly_count"] == 104 for r in got.values())
+    assert spread.first()["f1_max"] == max(r["f1"] for r in got.values())
+    assert {r["split"] for r in drift.collect()} == {"train", "val", "test"}
+    assert 4 in shared.first().asDict().values()
+
+
+def test_training_job(spark, folder):
+    from catalog.learning import graph_rows, labelled_sessions
+    from flowverdict.plans import train
+    rows = labelled_sessions(spark, folder).drop("y")
+    models, report, ranked = train.train_models(rows, graph_rows(spark, folder), hidden=4, epochs=2, trees=5, depth=3)
+    got = {r["model"]: r for r in report.collect()}
+    assert set(got) == {"rf", "gcn", "fallback"} and got["rf"]["normal_count"] + got["rf"]["anomaly_count"] == rows.count()
+    assert got["gcn"]["normal_count"] == got["fallback"]["normal_count"]
+    assert (models.gcn.depth, models.fallback.depth) == (2, 1)
+    assert [r["rank"] for r in ranked.collect()] == list(range(1, len(MODEL_INPUT) + 1))
+
+
 def test_search_judges_cuts_of_one_forest(spark, monkeypatch):
     from pyspark.ml.linalg import Vectors
     rng = np.random.default_rng(9)
