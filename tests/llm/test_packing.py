@@ -89,3 +89,32 @@ def test_pieces_keep_the_ids(spark, documents):
 
 def test_empty_table(spark, documents):
     assert p.pack(documents([])).count() == 0
+
+
+def test_ids_with_small_tables(monkeypatch):
+    """Long texts in parts, full tables, pieces taken over from the older table."""
+    monkeypatch.setattr(p, "RUN_BYTES", 300)
+    monkeypatch.setattr(p, "KEPT_PIECES", 40)
+    monkeypatch.setattr(p, "RUN_PIECES", 25)
+    rng = random.Random(8)
+    stock = ["".join(rng.choice("abcdeéßÀ'1,.") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    texts = [rng.choice([" ", "\n", "\x0b "]).join(rng.choices(stock, k=rng.choice([0, 3, 40, 400]))) for _ in range(30)]
+    texts.append("x" * 2000 + " <|startoftext|> " + "ab " * 500)
+    for text, packed in zip(texts, p.WordIds(p.default_tokenizer()).ids(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == whole(text), text
+
+
+def test_id_table_finds_what_it_was_given():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1, 1 << 63, 5000).astype(np.uint64))
+    many = rng.integers(0, 4, len(keys))
+    ids = rng.integers(0, 50_000, many.sum()).astype("<u4")
+    table = p.IdTable(16)
+    for part in np.array_split(np.arange(len(keys)), 7):
+        low, high = many[: part[0]].sum(), many[: part[-1] + 1].sum()
+        table.add(keys[part], many[part], ids[low:high])
+    order = rng.permutation(len(keys))
+    ends = np.cumsum(many)
+    want = [ids[ends[k] - many[k] : ends[k]] for k in order]
+    assert (table.gather(table.find(keys[order])) == np.concatenate(want)).all()
+    assert (table.find(keys ^ np.uint64(1 << 40)) < 0).all()
