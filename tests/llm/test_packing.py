@@ -4,6 +4,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import pytest
 
 from flowverdict.llm import packing as p
 
@@ -118,3 +119,10 @@ def test_id_table_finds_what_it_was_given():
     want = [ids[ends[k] - many[k] : ends[k]] for k in order]
     assert (table.gather(table.find(keys[order])) == np.concatenate(want)).all()
     assert (table.find(keys ^ np.uint64(1 << 40)) < 0).all()
+
+
+def test_tokenizers_that_join_words_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="alone"):
+        p.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
