@@ -257,9 +257,11 @@ def coded(
     """``(vec_id, label, code, error)`` of ``vectors (vec_id, label, v)``, and the codebooks.
 
     A codebook starts as that part of the vectors with the ``entries`` (at most 256) smallest
-    ids; equal ids are taken in order of the vector. Vectors of another length than the first
-    that ``parts`` divides cannot be cut: their code and error are NULL. An empty table gives no
-    rows and empty codebooks; with fewer vectors the codebooks have fewer entries.
+    ids; equal ids are taken in order of the vector. Of equally near entries the first is taken.
+    Repeated rows are rows: each counts and gets its code. Vectors of another length than the
+    first that ``parts`` divides cannot be cut, and those without an id are not coded: their code
+    and error are NULL. Labels may be NULL; other columns are not looked at. An empty table gives
+    no rows and empty codebooks; with fewer vectors the codebooks have fewer entries.
     """
     divides = (F.size("v") > 0) & (F.size("v") % parts == 0)
     first = vectors.where(divides & F.col("vec_id").isNotNull()).orderBy("vec_id", "v").select("v").first()

@@ -300,7 +300,9 @@ def insert(index: Index, docs: DataFrame) -> tuple[Index, DataFrame]:
 
     Decisions: ``doc_id, keep_id, group_size, kept, digest``. Of equal texts, the row with the
     largest id stays; of rows that share that id, a stored one, or any one of the new. Ids that
-    are NULL are the smallest. An empty table gives no rows.
+    are NULL are the smallest, a NULL text counts as empty, repeated rows are rows of their group.
+    Texts may be of any length; only their digests move. Other columns, whatever their names, are
+    not looked at. An empty table gives no rows and the same index.
     """
     first = index.rows.isEmpty()
     rows = cut(digest_rows(docs, index.shards), "digests")
