@@ -34,6 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+_DEFAULT_BYTES = ("67108864", "67108864b", "64MB")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Spark send texts to Python in batches of at most ``BATCH_BYTES``, unless the session
+    has a limit of its own: the tasks of a job hold several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in _DEFAULT_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
