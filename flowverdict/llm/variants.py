@@ -340,7 +340,8 @@ def variant_groups(docs: DataFrame, factor: int = 2, **words) -> DataFrame:
     Further columns are not looked at.
     """
     vocab = cut(vocabulary(docs, **words), "vocabulary")
-    forms = cut(with_forms(vocab, near_pairs(vocab), factor), "forms")
+    pairs = cut(near_pairs(vocab), "pairs")  # read in both directions
+    forms = cut(with_forms(vocab, pairs, factor), "forms")
     return forms.join(roots(forms), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
