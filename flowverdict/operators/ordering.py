@@ -88,12 +88,15 @@ def _stitched(df, key, order, previous, following, local, parts):
         F.lag("_last").over(w).alias("_last"),
         F.lead("_first").over(w).alias("_first"),
     )
+    # One column, as a caller's new columns may have any of these names.
+    borders = borders.select(*key, "_part", F.struct("_n", "_before", "_last", "_first").alias("_border"))
     out = local(ranged, [*key, "_part"]).join(F.broadcast(borders), [*key, "_part"], "left")
-    at_start = F.col("_n").isNotNull() & (F.col("_pos") == 0)
-    at_end = F.col("_n").isNotNull() & (F.col("_pos") == F.col("_n") - 1)
+    border = F.col("_border")
+    at_start = border["_n"].isNotNull() & (F.col("_pos") == 0)
+    at_end = border["_n"].isNotNull() & (F.col("_pos") == border["_n"] - 1)
     for new in previous:
-        out = out.withColumn(new, F.when(at_start, F.col("_last")[new]).otherwise(F.col(new)))
+        out = out.withColumn(new, F.when(at_start, border["_last"][new]).otherwise(F.col(new)))
     for new in following:
-        out = out.withColumn(new, F.when(at_end, F.col("_first")[new]).otherwise(F.col(new)))
-    out = out.withColumn("_pos", F.col("_pos") + F.coalesce("_before", F.lit(0)))
-    return out.drop("_part", "_n", "_before", "_last", "_first")
+        out = out.withColumn(new, F.when(at_end, border["_first"][new]).otherwise(F.col(new)))
+    out = out.withColumn("_pos", F.col("_pos") + F.coalesce(border["_before"], F.lit(0)))
+    return out.drop("_part", "_border")

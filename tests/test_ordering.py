@@ -5,6 +5,7 @@ import pytest
 from flowverdict.operators import explain as ex, graphs as g, prepare as pr, results as r
 from flowverdict.operators import sessions as s
 from flowverdict.operators.ordering import in_order
+from flowverdict.streaming.live import lifecycle_summaries
 
 
 def _requests(spark, n=400):
@@ -24,6 +25,25 @@ def test_sliced_order_equals_plain_order(spark, part_rows):
     assert sorted(plain.collect()) == sorted(sliced.collect())
 
 
+def test_new_columns_may_have_any_name(spark):
+    df = _requests(spark)
+    names = ["_before", "_n", "_last", "_first"]
+    args = dict(index="i", previous={n: "path" for n in names[:2]}, following={n: "path" for n in names[2:]})
+    plain = in_order(df, ["trace_id"], ["ts", "pkt_no"], **args)
+    sliced = in_order(df, ["trace_id"], ["ts", "pkt_no"], part_rows=20, **args)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, sliced.collect()))
+
+
+def test_lifecycles_of_many_parts(spark):
+    """Requests whose events several parts share, in the batch and in the stream's summary."""
+    kind = "element_at(array('request', 'request', 'result', 'error'), int(xxhash64(id) & 3) + 1)"
+    events = spark.range(600).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('t', id % 7)) AS trace_id", "id AS ord", f"{kind} AS kind",
+        "concat('p', id) AS payload")
+    for job in (r.explain_lifecycle, lifecycle_summaries):
+        assert sorted(map(str, job(events, part_rows=50).collect())) == sorted(map(str, job(events).collect()))
+
+
 def test_bounds_may_be_infinite_or_text(spark):
     df = _requests(spark).selectExpr(
         "trace_id", "pkt_no", "IF(ts > 30, DOUBLE('Infinity'), ts / 3) AS age",
