@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as w
-from .common import cut, is_held_out, learnt_from, table
+from .common import cut, give_back, is_held_out, learnt_from, table
 from .registry import query
 
 MODULUS, HELD_OUT = 5, 1
@@ -80,22 +80,21 @@ class Table:
             self.slots[at[free]] = left[free]
             lost = self.slots[at] != left
             left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
-        self.held = np.where(self.slots >= 0, keys[np.maximum(self.slots, 0)] if len(keys) else U64(0), ~U64(0))
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of every key, -1 where it is missing."""
-        at = self._place(keys)
-        out = np.where(self.held[at] == keys, self.slots[at], -1)
-        left = np.flatnonzero((self.held[at] != keys) & (self.slots[at] >= 0))
-        at = at[left]
+        out = self.slots[self._place(keys)]
+        if not len(self.keys):
+            return out
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = self._place(keys[left])
         while len(left):
             at = (at + 1) & ((1 << self.bits) - 1)
-            hit = self.held[at] == keys[left]
-            out[left[hit]] = self.slots[at[hit]]
-            more = ~hit & (self.slots[at] >= 0)
+            out[left] = self.slots[at]
+            more = (out[left] >= 0) & (self.keys[out[left]] != keys[left])
             left, at = left[more], at[more]
         return out
 
@@ -105,14 +104,18 @@ class Trie:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         """``keys``: packed n-grams of ``ORDER + 1`` bytes, each once."""
-        self.grams, self.counts, self.contexts, self.total, self.kinds = [], [], [], [], []
+        self.contexts, self.total, self.kinds = [], [], []
         self.rest_total, self.rest_kinds = [None], [None]
-        counts = counts.astype(np.float64)
-        for order in range(ORDER, -1, -1):
-            low = keys & U64((1 << 8 * (order + 1)) - 1)
+        counts = counts.astype(np.float64, copy=False)
+        if np.any(keys[1:] < keys[:-1]):
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+        self.grams, self.counts = [keys], [counts]
+        for order in range(ORDER - 1, -1, -1):
+            low = self.grams[0] & U64((1 << 8 * (order + 1)) - 1)
             low, inverse = np.unique(low, return_inverse=True)
+            self.counts.insert(0, np.bincount(inverse, self.counts[0], len(low)))
             self.grams.insert(0, low)
-            self.counts.insert(0, np.bincount(inverse, counts, len(low)))
         for order in range(ORDER + 1):
             context, inverse = np.unique(self.grams[order] >> U64(8), return_inverse=True)
             self.contexts.append(context)
@@ -214,28 +217,33 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     one row a flush.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in w.batches_of(batch.column("text"), FLUSH):
-                coded = normal(texts)
-                found = grams(coded)
-                # n-grams that end in the lead of the next text belong to no text.
-                lead = np.zeros(len(coded), bool)
-                ends = np.flatnonzero(coded == END)
-                for k in range(ORDER):
-                    lead[ends[k :: ORDER + 1]] = True
-                keys, n = np.unique(found[~lead[ORDER:]], return_counts=True)
-                yield _counted(False, keys, n)
-                hashes, _ = w.words(texts)
-                keys, n = np.unique(hashes >> U64(1), return_counts=True)
-                yield _counted(True, keys, n)
-                yield _counted(True, np.array([END_WORD]).view(U64), np.array([len(texts)]))
-
     trained = docs.where(learnt_from(F.col("doc_id"), MODULUS, HELD_OUT)).select("text")
-    return trained.mapInArrow(count, "word boolean, key long, n long").groupBy("word", "key").agg(
+    return trained.mapInArrow(_count, "word boolean, key long, n long").groupBy("word", "key").agg(
         F.sum("n").alias("n"))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A worker may still hold the trie of an earlier corpus.
+    if _tries:
+        _tries.clear()
+        give_back()
+    for batch in batches:
+        for _, texts in w.batches_of(batch.column("text"), FLUSH):
+            coded = normal(texts)
+            found = grams(coded)
+            # n-grams that end in the lead of the next text belong to no text.
+            lead = np.zeros(len(coded), bool)
+            ends = np.flatnonzero(coded == END)
+            for k in range(ORDER):
+                lead[ends[k :: ORDER + 1]] = True
+            keys, n = np.unique(found[~lead[ORDER:]], return_counts=True)
+            yield _counted(False, keys, n)
+            hashes, _ = w.words(texts)
+            keys, n = np.unique(hashes >> U64(1), return_counts=True)
+            yield _counted(True, keys, n)
+            yield _counted(True, np.array([END_WORD]).view(U64), np.array([len(texts)]))
+
+
 def _counted(word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch(
         [pa.array(np.full(len(keys), word)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
@@ -358,9 +366,11 @@ def _ready(shared) -> tuple:
     """Trie or frequent n-grams, and frequent words, of a broadcast, built once in a worker."""
     if shared.value["name"] not in _tries:
         _tries.clear()
+        give_back()
         v = shared.value
         model = Trie(v["grams"], v["counts"]) if v["whole"] else Frequent(v["grams"], v["counts"])
         _tries[v["name"]] = (model, Table(v["words"].view(U64)), v["word_counts"])
+        give_back()  # what building took besides
     return _tries[shared.value["name"]]
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowverdict.llm import ppm as p
@@ -113,3 +114,23 @@ def test_scores_do_not_depend_on_the_grams_sent(spark, documents, hard, most, mo
     monkeypatch.setattr(p, "HOT_GRAMS", 5)
     part = Counter((r["doc_id"], round(r["score"], 6)) for r in p.scored(documents(rows)).collect())
     assert part == whole == Counter((i, round(plain_score(seen, t), 6)) for i, t in rows)
+
+
+def test_counting_gives_an_earlier_trie_back(monkeypatch):
+    monkeypatch.setattr(p, "_tries", {"earlier": (built(["abc abc"]),)})
+    found = list(p._count(iter([pa.record_batch([pa.array(["ab c", None])], ["text"])])))
+    assert not p._tries and sum(b.num_rows for b in found) > 0
+
+
+def test_keys_are_held_once():
+    """The look-up has no copy of the keys, and the trie none of those it is given."""
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5000, np.uint64))
+    table = p.Table(keys)
+    assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) == keys.nbytes + table.slots.nbytes
+    asked = np.concatenate([keys, keys + np.uint64(1), np.zeros(1, np.uint64)])
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert table.find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    trie = p.Trie(keys, np.ones(len(keys)))
+    assert trie.grams[p.ORDER] is keys and trie.top.keys is keys
+    mixed = np.random.default_rng(2).permutation(keys)
+    assert np.array_equal(p.Trie(mixed, np.ones(len(keys))).log10(asked), trie.log10(asked))
