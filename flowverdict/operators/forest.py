@@ -21,6 +21,7 @@ from .smote import smote
 # The tuned forest and the search space (split size has no twin here).
 TREES, DEPTH, SEED = 100, 10, 42
 JUDGED_ROWS = 2000  # rows that walk all trees in one go
+NODES_AT_ONCE = 150_000  # nodes of the trees that a search grows at once, as the driver holds them
 FOREST_GRID = {
     "n_estimators": [100, 200], "max_depth": [10, 20, 30], "max_features": ["sqrt", "log2"],
 }
@@ -110,18 +111,17 @@ class Trees:
 
 def grown_trees(model: RandomForestClassificationModel, spark) -> Trees:
     """The trees of a fitted forest of two classes, read from its stored form; as many rows as
-    the model, which is on the driver anyway, has nodes."""
+    the model, which is on the driver anyway, has nodes. Arrow keeps them small on the way."""
     folder = shared_folder(spark, "forest")
     model.write().overwrite().save(folder)
     n = F.col("nodeData")
     rows = spark.read.parquet(f"{folder}/data").select(
         "treeID", n["id"], n["split"]["featureIndex"], F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)),
         n["leftChild"], n["rightChild"], n["impurityStats"][0], n["impurityStats"][1],
-    ).toDF("tree", "id", "feature", "threshold", "left", "right", "n0", "n1").orderBy("tree", "id").collect()
-    tree = np.array([r["tree"] for r in rows])
+    ).toDF("tree", "id", "feature", "threshold", "left", "right", "n0", "n1").orderBy("tree", "id").toArrow()
+    number = lambda name: rows[name].fill_null(0).to_numpy()
+    tree, inner = number("tree"), number("left") >= 0
     roots = np.searchsorted(tree, np.arange(tree[-1] + 1))
-    inner = np.array([r["left"] >= 0 for r in rows])
-    number = lambda name: np.array([r[name] or 0 for r in rows])
     base = roots[tree]  # ids count from 0 in every tree, in the order of the rows
     return Trees(
         roots, np.where(inner, number("feature"), -1), number("threshold").astype(float),
@@ -130,27 +130,45 @@ def grown_trees(model: RandomForestClassificationModel, spark) -> Trees:
     )
 
 
-def _cell_probabilities(trees: Trees, sizes: list[tuple[int, int]], depths: list[int]):
-    """Probabilities of every (number of trees, depth) as an array column."""
-    def probabilities(rows: pa.Array) -> pa.Array:
+def grown_in_groups(train: DataFrame, count: int, depth: int, features: str, seed: int):
+    """The trees of a forest in groups, each with the number of its first tree.
+
+    A group has about ``NODES_AT_ONCE`` nodes or is one tree. The first is cut by what ``train``
+    allows at most, a later one by the largest tree so far; each group draws from its own seed.
+    """
+    rows, first = train.count(), 0
+    nodes = min(2 ** (depth + 1), 2 * rows)
+    while first < count:
+        size = min(count - first, max(1, NODES_AT_ONCE // max(nodes, 1)))
+        trees = grown_trees(fit_forest(train, size, depth, features, seed + first), train.sparkSession)
+        yield first, trees
+        largest = int(np.diff(np.append(trees.roots, len(trees.feature))).max())
+        nodes, first = largest if first == 0 else max(nodes, largest), first + size
+
+
+def _cell_sums(trees: Trees, first: int, sizes: list[tuple[int, int]], depths: list[int]):
+    """Sums of the probabilities of ``trees``, numbered from ``first``, over the trees of every
+    (number of trees, depth), as an array column."""
+    def sums(rows: pa.Array) -> pa.Array:
         x = np.asarray(rows.flatten(), float).reshape(len(rows), -1)
         parts = [np.zeros((0, len(sizes)))]
         for low in range(0, len(x), JUDGED_ROWS):
             found = trees.at_depths(x[low : low + JUDGED_ROWS], depths)
-            parts.append(np.stack([found[depths.index(d), :, :t].mean(axis=1) for t, d in sizes], axis=1))
+            parts.append(np.stack(
+                [found[depths.index(d), :, : max(0, t - first)].sum(axis=1) for t, d in sizes], axis=1))
         flat = np.concatenate(parts)
         ends = np.arange(0, flat.size + 1, len(sizes), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
 
-    return F.arrow_udf(probabilities, "array<double>")
+    return F.arrow_udf(sums, "array<double>")
 
 
 def search_forest(train: DataFrame, val: DataFrame, grid=None, seed: int = SEED) -> DataFrame:
     """Validation metrics of every forest of the grid. Both tables: x, y.
 
     Only the largest and deepest forest of each ``max_features`` is grown: a smaller one is its
-    first trees, a shallower one its trees cut at their depth. All its cells are judged in one
-    pass over ``val``, so the jobs do not grow with the numbers of trees and depths.
+    first trees, a shallower one its trees cut at their depth. The trees are grown in groups that
+    the driver can hold, and all cells are judged in one pass over ``val`` for each group.
     """
     grid = grid or FOREST_GRID
     spark = train.sparkSession
@@ -164,13 +182,20 @@ def search_forest(train: DataFrame, val: DataFrame, grid=None, seed: int = SEED)
     depths = sorted({d for _, d in sizes})
     out = None
     for j, features in enumerate(kinds):
-        model = fit_forest(train, max(t for t, _ in sizes), depths[-1], features, seed)
-        trees = grown_trees(model, spark)
-
-        probability = _cell_probabilities(trees, sizes, depths)(F.col("x"))
-        judged = val.select("y", F.posexplode(probability).alias("k", "rf_prob")).select(
+        most = max(t for t, _ in sizes)
+        judged = None
+        for first, trees in grown_in_groups(train, most, depths[-1], features, seed):
+            sums = _cell_sums(trees, first, sizes, depths)(F.col("x"))
+            if judged is None:
+                judged = val.withColumn("sums", sums)
+            else:
+                # The groups before are written, so that no plan holds their trees.
+                judged = checkpointed(judged).withColumn("_more", sums).select(
+                    "x", "y", F.zip_with("sums", "_more", lambda a, b: a + b).alias("sums"))
+        sizes_of = F.array(*[F.lit(t) for t, _ in sizes])
+        judged = judged.select("y", F.posexplode("sums").alias("k", "sum")).select(
             (F.col("k") * len(kinds) + j).cast("long").alias("cell"), "y",
-            (F.col("rf_prob") > 0.5).cast("int").alias("predicted"))
+            (F.col("sum") / F.get(sizes_of, F.col("k")) > 0.5).cast("int").alias("predicted"))
         out = judged if out is None else out.unionByName(judged)
     named = spark.createDataFrame(cells, "cell long, n_estimators int, max_depth int, max_features string")
     return named.join(F.broadcast(classification_metrics(out, ["cell"])), "cell")  # a row a cell

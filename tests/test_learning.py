@@ -297,6 +297,28 @@ def test_search_judges_cuts_of_one_forest(spark, monkeypatch):
             assert out[t, d, "sqrt"]["fp"] == int((guess & (y == 0)).sum())
 
 
+def test_search_grows_trees_in_groups_the_driver_can_hold(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = (rng.random(300) < 0.3).astype(int)
+    df = spark.createDataFrame([([float(v) for v in p], int(k)) for p, k in zip(x, y)], "x array<double>, y int")
+    grid = {"n_estimators": [3, 8], "max_depth": [2, 9], "max_features": ["sqrt"]}
+    real, seen = fo.grown_trees, []
+    monkeypatch.setattr(fo, "NODES_AT_ONCE", 600)
+    monkeypatch.setattr(fo, "grown_trees", lambda *a: seen.append(real(*a)) or seen[-1])
+    out = {(r["n_estimators"], r["max_depth"]): r for r in fo.search_forest(df, df, grid).collect()}
+    sizes = [len(t.roots) for t in seen]
+    assert sum(sizes) == 8 and sizes[0] == 1 and max(sizes) > 1
+    assert all(len(t.feature) <= 900 or len(t.roots) == 1 for t in seen)  # about 600
+    found = np.concatenate([t.at_depths(x, [2, 9]) for t in seen], axis=2)
+    assert len(np.unique(found[1], axis=1).T) > 4  # the groups are not the same trees again
+    for t in (3, 8):
+        for k, d in enumerate((2, 9)):
+            guess = found[k][:, :t].mean(axis=1) > 0.5
+            assert out[t, d]["tp"] == int((guess & (y == 1)).sum())
+            assert out[t, d]["fp"] == int((guess & (y == 0)).sum())
+
+
 def test_file_task_report_and_store(spark, folder, models, tmp_path):
     from catalog.learning import graph_rows
     from catalog.traffic import features
