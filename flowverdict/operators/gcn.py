@@ -16,7 +16,7 @@ from .lineage import checkpointed, shared_folder
 from .metrics import classification_metrics, pick_best
 
 TASK_EDGES = 200_000  # distinct edges up to which a graph is scored inside one task
-BATCH_EDGES = 500_000  # edges that are scored in one go inside a task
+BATCH_EDGES = 32_000  # edges that are scored in one go inside a task: 64 numbers for each in several arrays
 # Training settings and search spaces.
 HIDDEN, RATE, EPOCHS = 64, 0.005, 10
 GCN_GRID = {"hidden_channels": [32, 64, 128], "learning_rate": [0.001, 0.005, 0.01]}

@@ -231,6 +231,36 @@ def test_explanations_of_stored_records(spark, models):
     assert all(e["importance"] > 0 for e in out["a"]["abnormal_edges"])
 
 
+def test_a_block_meets_few_vectors_at_a_time():
+    assert neighbours.VISITS_PER_GROUP <= 2 * neighbours.CELL_ROWS
+
+
+@pytest.mark.parametrize("job", ["score", "explain"])
+def test_many_graphs_take_little_memory(job):
+    """A batch of 10,000 graphs is worked off in pieces: a piece holds 64 numbers an edge."""
+    import tracemalloc
+
+    from flowverdict.operators import gcn
+    import pyarrow as pa
+    from flowverdict.operators import graph_batch as gb
+    rng = np.random.default_rng(1)
+    ends = [pa.array([f"/{k}" for k in rng.integers(0, 50, 120_000)]) for _ in range(2)]
+    edges = pa.StructArray.from_arrays(ends, ["fromId", "toId"])
+    graphs = pa.ListArray.from_arrays(pa.array(np.arange(0, 120_001, 12, dtype=np.int32)), edges)
+    weights = gb.initial_weights(64, 2)
+
+    def one(piece):
+        batch = gb.make_batch(piece)
+        return gb.forward(batch, weights)[0] if job == "score" else gb.edge_importance(batch, weights)
+
+    tracemalloc.start()
+    parts = [one(p) for p in gcn._pieces(graphs, gcn.graph_lengths(graphs))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < (250e6 if job == "score" else 400e6)
+    assert np.allclose(np.concatenate(parts), one(graphs), rtol=0, atol=1e-12)
+
+
 def test_forest_importances(spark, models):
     rows = fo.feature_importances(models.forest, spark).collect()
     assert sorted(r["feature"] for r in rows) == sorted(MODEL_INPUT)
@@ -257,6 +287,18 @@ def test_gates_of_many_seeds_are_those_of_one(spark):
     assert 4 in shared.first().asDict().values()
 
 
+def test_a_stopped_gate_is_not_measured(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), int(a + b > 1)) for a, b in rng.random((80, 2))]
+    df = spark.createDataFrame(rows, "rf_prob double, gcn_prob double, y int")
+    real, sizes = gt.summed, []
+    monkeypatch.setattr(gt, "summed", lambda df, call, size: sizes.append(size) or real(df, call, size))
+    gates = gt.fit_gates(df.where("rf_prob < 0.6"), [1, 2, 3], epochs=60, rate=0.2, validation=df, patience=2)
+    assert len(gates) == 3 and sizes[0] == max(sizes) and min(sizes) < sizes[0]
+    gate, (rf, gcn, y) = gates[0], np.array(rows).T
+    assert gt.gate_loss(rf, gcn, y, gate) == gt.gate_gradients(rf, gcn, y, gate)[1:]
+
+
 def test_training_job(spark, folder):
     from catalog.learning import graph_rows, labelled_sessions
     from flowverdict.plans import train
