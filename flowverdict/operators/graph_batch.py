@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+REACH_ROWS = 32_000  # pairs of edges that are explained in one go
+
 
 @dataclass
 class Weights:
@@ -196,7 +198,7 @@ def edge_importance(batch: Batch, weights: Weights):
         first = np.searchsorted(s[order], t, "left")
         after = np.searchsorted(s[order], t, "right")
         reach = after - first
-        for lo in _chunks(reach, 200_000):
+        for lo in _chunks(reach, REACH_ROWS):
             rows = np.repeat(np.arange(lo[0], lo[1]), reach[lo[0] : lo[1]])
             if not len(rows):
                 continue
