@@ -19,7 +19,7 @@ from .lineage import checkpointed
 
 CELL_ROWS = 4000
 REGIONS = 1024  # pivots of the first level at most: what the driver holds and the tasks get
-VISITS_PER_GROUP = 500_000
+VISITS_PER_GROUP = 8_000  # vectors that meet a block in one go: a few kB of Python each
 SLACK = 1e-9  # for sums that round differently
 _NEAR = "array<struct<d: double, x: array<double>, m: bigint>>"
 
