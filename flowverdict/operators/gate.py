@@ -69,8 +69,8 @@ def _inputs(rf, gcn, width):
     return np.stack(parts[:width], axis=1)
 
 
-def gate_gradients(rf, gcn, y, gate):
-    """Gradient sum of cross entropy on the fused probability, loss sum and rows."""
+def _fused(rf, gcn, y, gate):
+    """Values and sums of the layers, the gate's weight, the fused probability and the loss sum."""
     values = [_inputs(rf, gcn, gate[0][0].shape[0])]
     sums = []
     for i, (w, b) in enumerate(gate):
@@ -80,6 +80,17 @@ def gate_gradients(rf, gcn, y, gate):
     alpha = values[-1][:, 0]
     fused = np.clip(alpha * rf + (1 - alpha) * gcn, 1e-12, 1 - 1e-12)
     loss = -(y * np.log(fused) + (1 - y) * np.log(1 - fused)).sum()
+    return values, sums, alpha, fused, float(loss)
+
+
+def gate_loss(rf, gcn, y, gate):
+    """Loss sum and rows, without a way back through the net."""
+    return _fused(rf, gcn, y, gate)[-1], len(y)
+
+
+def gate_gradients(rf, gcn, y, gate):
+    """Gradient sum of cross entropy on the fused probability, loss sum and rows."""
+    values, sums, alpha, fused, loss = _fused(rf, gcn, y, gate)
     d_fused = (fused - y) / (fused * (1 - fused))
     d = (d_fused * (rf - gcn) * alpha * (1 - alpha))[:, None]
     grads = []
@@ -87,7 +98,7 @@ def gate_gradients(rf, gcn, y, gate):
         grads.append((values[i].T @ d, d.sum(0)))
         if i:
             d = (d @ gate[i][0].T) * (sums[i - 1] > 0)
-    return _flat(grads[::-1]), float(loss), len(y)
+    return _flat(grads[::-1]), loss, len(y)
 
 
 def _flat(gate):
@@ -108,7 +119,8 @@ def fit_gates(
     validation: DataFrame | None = None, patience: int | None = None,
 ) -> list:
     """Full-batch Adam for a gate of each seed; one Spark job per epoch, whatever the number of
-    gates, returns gradient sums on ``df`` and loss sums on ``validation``.
+    gates, returns gradient sums on ``df`` and loss sums on ``validation``. A gate that has
+    stopped costs nothing any more.
 
     With ``patience`` the training of a gate stops when its loss (of ``validation`` if given) has
     not improved for so many epochs, and its best weights are returned.
@@ -134,15 +146,18 @@ def fit_gates(
                 if judged.all() and learnt.all():
                     seen = loss, n
                 else:
-                    seen = gate_gradients(rf[judged], gcn[judged], y[judged], gate)[1:]
+                    seen = gate_loss(rf[judged], gcn[judged], y[judged], gate)
                 out.append(np.concatenate([g, [loss, n], seen]))
             return np.concatenate(out)
 
-        return summed(rows, call, size * len(gates)).reshape(len(gates), size)
+        return summed(rows, call, size * len(now)).reshape(len(now), size)
 
     for _ in range(epochs):
-        out = measure([_like(gate, flat) for gate, flat in zip(gates, flats)])
-        for k, sums in enumerate(out):
+        active = [k for k in range(len(gates)) if patience is None or waited[k] < patience]
+        if not active:
+            break
+        out = measure([_like(gates[k], flats[k]) for k in active])
+        for k, sums in zip(active, out):
             loss = sums[-2] / max(sums[-1], 1)
             if loss < best_loss[k]:
                 best[k], best_loss[k], waited[k] = flats[k], loss, 0
@@ -150,8 +165,6 @@ def fit_gates(
                 waited[k] += 1
             if patience is None or waited[k] < patience:
                 flats[k] = adams[k](flats[k], sums[:-4] / max(sums[-3], 1))
-        if patience is not None and min(waited) >= patience:
-            break
     return [_like(gate, b if patience is not None else f) for gate, b, f in zip(gates, best, flats)]
 
 
