@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.records import fill_missing, label
 from ..schemas import MODEL_INPUT, c
 from .grids import parameter_grid
-from .lineage import checkpointed, shared_folder
+from .lineage import checkpointed, held, shared_folder
 from .metrics import classification_metrics, pick_best
 from .prepare import Preparation, fit_preparation
 from .smote import smote
@@ -55,7 +55,8 @@ def train_forest(labelled: DataFrame, balance: bool = True, **forest) -> ForestS
     rows = checkpointed(rows.select("_id", *[c(n) for n in MODEL_INPUT], "y"))
     preparation = fit_preparation(rows)
     x = checkpointed(preparation.apply(rows).select("_id", "x", "y"))
-    return ForestScorer(preparation, fit_forest(smote(x) if balance else x, **forest))
+    # The fit reads its rows several times: neighbours are looked for once.
+    return ForestScorer(preparation, fit_forest(held(smote(x)) if balance else x, **forest))
 
 
 def forest_probability(df: DataFrame, model: RandomForestClassificationModel) -> DataFrame:

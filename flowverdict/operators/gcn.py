@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .graph_batch import Weights, forward, gradients, initial_weights, make_batch
 from .graphs import weighted_pairs
 from .grids import parameter_grid
-from .lineage import checkpointed, shared_folder
+from .lineage import checkpointed, held
 from .metrics import classification_metrics, pick_best
 
 TASK_EDGES = 200_000  # distinct edges up to which a graph is scored inside one task
@@ -228,11 +228,8 @@ def training_shards(
         F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"),
         place.alias("place"), "call_graph", "y",
     )
-    context = sharded.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(sharded.sparkSession, "fit"))
     dealt = sharded.repartition(shards, "shard").sortWithinPartitions("shard", "place")
-    return dealt.checkpoint(), total, positive
+    return held(dealt), total, positive
 
 
 def whole_shards(batches):

@@ -21,6 +21,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the same partitions and order: for fits that read their input
+    several times and draw by partition."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession, "fit"))
+    return df.checkpoint()
+
+
 def shared_folder(spark, name: str) -> str:
     """A new folder for the files of one job, on the checkpoint storage of the session.
 

@@ -19,6 +19,7 @@ from .lineage import checkpointed
 
 CELL_ROWS = 4000
 REGIONS = 1024  # pivots of the first level at most: what the driver holds and the tasks get
+MOST_TASKS = 2000  # of one step
 VISITS_PER_GROUP = 8_000  # vectors that meet a block in one go: a few kB of Python each
 SLACK = 1e-9  # for sums that round differently
 _NEAR = "array<struct<d: double, x: array<double>, m: bigint>>"
@@ -146,7 +147,10 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
         pdf["reach"] = [np.sqrt(v[k - 1]["d"]) if len(v) >= k else np.inf for v in near]
         return pdf
 
-    local = placed.select("x", "m", "block").groupBy("block").applyInPandas(
+    dealt = placed.select("x", "m", "block")
+    if not whole:  # a block is little data and much work, so tasks follow the blocks, not the bytes
+        dealt = dealt.repartition(_tasks(n / CELL_ROWS), "block")
+    local = dealt.groupBy("block").applyInPandas(
         inside, f"x array<double>, m bigint, block bigint, near {_NEAR}, reach double"
     )
     if whole:
@@ -182,8 +186,9 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     ).select("block", "cell", "host", "host_radius")
     own = _distance(F.col("x"), F.col("host")) * F.lit(1 - SLACK)
     asked = local.select("x", "reach", "block").join(pairs, "block").where(
-        own <= F.col("reach") + F.col("host_radius") + F.lit(SLACK)).select("x", "cell")
+        own <= F.col("reach") + F.col("host_radius") + F.lit(SLACK)).select("x", "reach", "cell")
     asked = checkpointed(asked)
+    visits = asked.count()
     placed = placed.select("x", "m", F.col("block").alias("cell"))
     # A cell that very many vectors visit is split into groups of bounded size.
     crowd = asked.groupBy("cell").agg(
@@ -191,20 +196,27 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     )
     asked = asked.join(crowd, "cell").withColumn(
         "salt", F.pmod(F.xxhash64("x"), F.col("groups"))
-    ).select("x", "cell", "salt")
+    ).select("x", "reach", "cell", "salt")
     hosts = placed.join(crowd, "cell").select(
         "x", "m", "cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")
     )
 
+    tasks = _tasks(visits / VISITS_PER_GROUP)
+    asked, hosts = (df.repartition(tasks, "cell", "salt") for df in (asked, hosts))
+
     def visit(left, right):
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"x": [], "near": []})
         q = np.stack(left["x"].to_numpy())
         x, m = np.stack(right["x"].to_numpy()), right["m"].to_numpy()
         near: list = []
-        for _, best, dist in _nearest(q, x, k, 0):
+        reach = left["reach"].to_numpy() ** 2 * (1 + SLACK)
+        for lo, best, dist in _nearest(q, x, k, 0):
+            # What lies beyond the k-th of the own block is none of the k nearest.
+            dist[dist > reach[lo : lo + len(dist), None]] = np.inf
             near += _packed(best, dist, x, m, k)
-        return pd.DataFrame({"x": left["x"], "near": near})
+        out = pd.DataFrame({"x": left["x"], "near": near})
+        return out[[len(v) > 0 for v in near]]
 
     remote = asked.groupBy("cell", "salt").cogroup(hosts.groupBy("cell", "salt")).applyInPandas(
         visit, f"x array<double>, near {_NEAR}"
@@ -218,6 +230,11 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return merged.select("x", "m", F.slice(F.array_sort("near"), 1, k).alias("near"))
 
 
+def _tasks(groups: float) -> int:
+    """Partitions for ``groups`` groups of full size."""
+    return int(min(MOST_TASKS, max(1, np.ceil(groups))))
+
+
 def _far_from(centres: np.ndarray):
     """Distance of every vector to the centre of its region."""
     def far(batches):
