@@ -171,6 +171,9 @@ class Adam:
 BATCH = 32  # graphs of a step
 # A shard is what one task fits on between two averages: graphs, and edges on average.
 SHARD_GRAPHS, SHARD_EDGES = 1024, 1_000_000
+# Tasks of an epoch: one for each shard up to the first number, then one for this many shards,
+# which it fits one after the other and adds up, so that fewer weights are shuffled.
+LEAST_TASKS, TASK_SHARDS = 96, 8
 
 
 def summed(df: DataFrame, call, size: int) -> np.ndarray:
@@ -228,7 +231,8 @@ def training_shards(
         F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"),
         place.alias("place"), "call_graph", "y",
     )
-    dealt = sharded.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    tasks = min(shards, max(LEAST_TASKS, -(-shards // TASK_SHARDS)))
+    dealt = sharded.repartition(tasks, "shard").sortWithinPartitions("shard", "place")
     return held(dealt), total, positive
 
 
@@ -313,10 +317,13 @@ def fit_gcns(
     for epoch in range(1, epochs + 1):
         if total:
             def steps(rows, now=states, epoch=epoch):
+                added = None
                 for table in whole_shards(rows):
                     out = local_steps(table, now, shapes, rates, batch, factor, seed, epoch)
-                    share = len(table) / total
-                    yield pa.RecordBatch.from_pydict({"s": [(np.concatenate(out) * share).tolist()]})
+                    out = np.concatenate(out) * (len(table) / total)
+                    added = out if added is None else added + out
+                if added is not None:
+                    yield pa.RecordBatch.from_pydict({"s": pa.array([added])})
 
             parts = sharded.mapInArrow(steps, "s array<double>")
             averaged = _added(parts.select(F.posexplode("s").alias("i", "v")), int(ends[-1]))

@@ -7,6 +7,7 @@ operations however many graphs there are. Spark decides which graphs meet in a b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,23 @@ class Batch:
     edge_row: np.ndarray  # its place in source/target above, -1 for a self-loop
     listed: np.ndarray  # distinct edge of every edge as listed
 
+    # Made once, whatever the number of layers and nets; nodes lie by graph, edges by source.
+    @cached_property
+    def weight(self) -> np.ndarray:
+        return (self.copies * self.norm)[:, None]
+
+    @cached_property
+    def by_target(self) -> "_Sums":
+        return _Sums(self.target, len(self.graph))
+
+    @cached_property
+    def by_source(self) -> "_Sums":
+        return _Sums(self.source, len(self.graph), ordered=True)
+
+    @cached_property
+    def by_graph(self) -> "_Sums":
+        return _Sums(self.graph, self.size, ordered=True)
+
 
 def make_batch(graphs: pa.Array, counts: bool = False) -> Batch:
     """``graphs``: list<struct<fromId, toId[, n]>>, one list per graph."""
@@ -109,17 +127,22 @@ def make_batch(graphs: pa.Array, counts: bool = False) -> Batch:
 
 
 class _Sums:
-    """Row sums by a fixed target index, over sorted runs."""
+    """Row sums by a fixed target index, over sorted runs. ``ordered``: the index ascends."""
 
-    def __init__(self, index, size):
+    def __init__(self, index, size, ordered=False):
         self.size = size
-        self.order = np.argsort(index, kind="stable")
-        self.keys, self.starts = np.unique(index[self.order], return_index=True)
+        self.order = None if ordered else np.argsort(index, kind="stable")
+        index = index if ordered else index[self.order]
+        self.starts = np.flatnonzero(np.diff(index, prepend=-1))
+        self.keys = index[self.starts]
 
     def __call__(self, rows):
+        rows = rows if self.order is None else rows[self.order]
+        if 0 < len(self.keys) == self.size:
+            return np.add.reduceat(rows, self.starts, axis=0)
         out = np.zeros((self.size, rows.shape[1]))
         if len(self.keys):
-            out[self.keys] = np.add.reduceat(rows[self.order], self.starts, axis=0)
+            out[self.keys] = np.add.reduceat(rows, self.starts, axis=0)
         return out
 
 
@@ -129,16 +152,19 @@ def _sigmoid(z):
 
 def forward(batch: Batch, weights: Weights):
     """Probability per graph (0.0 for graphs without nodes) and the layer values."""
-    into = _Sums(batch.target, len(batch.graph))
-    pool = _Sums(batch.graph, batch.size)
-    weight = (batch.copies * batch.norm)[:, None]
-    h, kept = batch.x[:, None], []
+    loop = batch.loop[:, None]
+    h, kept = batch.x.astype(float)[:, None], []
     for w, b in weights.layers:
-        a = into(weight * h[batch.source]) + batch.loop[:, None] * h
-        z = a @ w + b
+        sent = h[batch.source]
+        sent *= batch.weight
+        a = batch.by_target(sent)
+        a += loop * h
+        z = a @ w
+        z += b
         kept.append((a, z))
         h = np.maximum(z, 0.0)
-    mean = pool(h) / np.maximum(batch.nodes, 1)[:, None]
+    mean = batch.by_graph(h)
+    mean /= np.maximum(batch.nodes, 1)[:, None]
     p = _sigmoid(mean @ weights.head[0] + weights.head[1])
     return np.where(batch.nodes > 0, p, 0.0), mean, kept
 
@@ -153,14 +179,19 @@ def gradients(batch: Batch, weights: Weights, y: np.ndarray, pos_weight: float =
     dz = weight * (p - y)
     head = (mean * dz[:, None]).sum(0), dz.sum()
     dh = (dz / np.maximum(batch.nodes, 1))[batch.graph][:, None] * weights.head[0]
-    back = _Sums(batch.source, len(batch.graph))
-    edge = (batch.copies * batch.norm)[:, None]
     layers = []
-    for (w, _), (a, z) in zip(reversed(weights.layers), reversed(kept)):
-        dz_layer = dh * (z > 0)
-        layers.append((a.T @ dz_layer, dz_layer.sum(0)))
-        da = dz_layer @ w.T
-        dh = back(edge * da[batch.target]) + batch.loop[:, None] * da
+    for k in reversed(range(weights.depth)):
+        (w, _), (a, z) = weights.layers[k], kept[k]
+        dh *= z > 0
+        layers.append((a.T @ dh, dh.sum(0)))
+        if k == 0:
+            break  # nothing learns from the input's gradient
+        da = dh @ w.T
+        sent = da[batch.target]
+        sent *= batch.weight
+        dh = batch.by_source(sent)
+        da *= batch.loop[:, None]
+        dh += da
     grads = Weights(layers[::-1], (head[0], float(head[1])))
     return grads.flat(), float(loss), int(there.sum())
 

@@ -1,9 +1,10 @@
 """Work that is done once, however often its result is read."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowverdict.operators import forest as fo, neighbours as nb
+from flowverdict.operators import forest as fo, gcn, graph_batch as gb, neighbours as nb
 from flowverdict.schemas import CATEGORICAL, MODEL_INPUT
 
 
@@ -27,6 +28,23 @@ def test_forest_balances_its_rows_once(spark, monkeypatch):
     assert seen.value == 60
 
 
+def test_a_batch_is_sorted_once_for_all_layers_and_nets(monkeypatch):
+    made = []
+
+    class Sums(gb._Sums):
+        def __init__(self, *args, **named):
+            made.append(1)
+            super().__init__(*args, **named)
+
+    monkeypatch.setattr(gb, "_Sums", Sums)
+    graph = [{"fromId": a, "toId": b} for a, b in ("ab", "bc", "ca", "ab")]
+    kind = pa.list_(pa.struct([("fromId", pa.string()), ("toId", pa.string())]))
+    batch = gb.make_batch(pa.array([graph, [], graph[:2]], kind))
+    for depth in (1, 2, 3):
+        gb.gradients(batch, gb.initial_weights(4, depth), np.array([1.0, 0.0, 0.0]))
+    assert len(made) == 3
+
+
 def test_blocks_of_vectors_are_dealt_to_several_tasks(spark, monkeypatch):
     """And only neighbours that can be among the nearest leave a visited block."""
     monkeypatch.setattr(nb, "CELL_ROWS", 40)
@@ -40,3 +58,22 @@ def test_blocks_of_vectors_are_dealt_to_several_tasks(spark, monkeypatch):
     np.fill_diagonal(far, np.inf)
     for v, d in zip(x, np.sort(far, axis=1)[:, :3]):
         np.testing.assert_allclose(found[tuple(v)], d)
+
+
+def test_a_task_adds_up_its_shards(spark, monkeypatch):
+    """The weights are those of shards in tasks of their own, from fewer rows."""
+    monkeypatch.setattr(gcn, "SHARD_GRAPHS", 8)
+    graphs = spark.range(100).select(
+        F.col("id").cast("string").alias("_id"),
+        F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda k: F.struct(
+            k.cast("string").alias("fromId"), ((k * 7 + F.col("id")) % 4).cast("string").alias("toId"))
+        ).alias("call_graph"), (F.col("id") % 2).cast("int").alias("y"))
+    plain, rows = gcn._added, []
+    monkeypatch.setattr(gcn, "_added", lambda parts, size: rows.append(parts.count() // size) or plain(parts, size))
+    found = []
+    for least, shards in ((1, 8), (1000, 1)):
+        monkeypatch.setattr(gcn, "LEAST_TASKS", least)
+        monkeypatch.setattr(gcn, "TASK_SHARDS", shards)
+        found.append(gcn.fit_gcn(graphs, hidden=4, epochs=2, batch=4).flat())
+    assert rows[0] <= 2 < rows[-1]
+    np.testing.assert_allclose(*found, rtol=1e-12, atol=1e-15)
