@@ -12,7 +12,7 @@ from .lineage import checkpointed
 
 # Layer widths of the plain nets and the training settings.
 NETS = {"small": [4, 16, 8, 1], "extended": [6, 16, 8, 1], "deep": [6, 32, 64, 32, 16, 1]}
-EPOCHS, RATE, PATIENCE = 100, 0.01, 10
+EPOCHS, RATE, PATIENCE, SEED = 100, 0.01, 10, 42
 
 
 def initial_gate(widths: list[int], seed: int = 42) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -117,17 +117,22 @@ def _like(gate, flat):
 def fit_gates(
     df: DataFrame, seeds: list[int], widths=None, epochs: int = EPOCHS, rate: float = RATE,
     validation: DataFrame | None = None, patience: int | None = None,
+    gcn: list[str] | None = None,
 ) -> list:
     """Full-batch Adam for a gate of each seed; one Spark job per epoch, whatever the number of
     gates, returns gradient sums on ``df`` and loss sums on ``validation``. A gate that has
     stopped costs nothing any more.
 
     With ``patience`` the training of a gate stops when its loss (of ``validation`` if given) has
-    not improved for so many epochs, and its best weights are returned.
+    not improved for so many epochs, and its best weights are returned. ``gcn`` names the graph
+    probability of each gate, if that is not the same column.
     """
+    gcn = gcn or ["gcn_prob"] * len(seeds)
+    names = list(dict.fromkeys(gcn))
+    places = [names.index(n) for n in gcn]
     gates = [initial_gate(widths or NETS["small"], seed) for seed in seeds]
     flats = [_flat(gate) for gate in gates]
-    columns = [F.col("rf_prob"), F.col("gcn_prob"), F.col("y").cast("double").alias("y")]
+    columns = [F.col("rf_prob"), F.col("y").cast("double").alias("y"), *map(c, names)]
     rows = df.select(*columns, F.lit(validation is None).alias("judged"), F.lit(True).alias("learnt"))
     if validation is not None:
         rows = rows.unionByName(
@@ -139,14 +144,15 @@ def fit_gates(
 
     def measure(now) -> np.ndarray:
         def call(batch):
-            rf, gcn, y, judged, learnt = (np.asarray(batch.column(i)) for i in range(5))
+            rf, y, *probs, judged, learnt = map(np.asarray, batch.columns)
             out = []
-            for gate in now:
-                g, loss, n = gate_gradients(rf[learnt], gcn[learnt], y[learnt], gate)
+            for gate, place in now:
+                prob = probs[place]
+                g, loss, n = gate_gradients(rf[learnt], prob[learnt], y[learnt], gate)
                 if judged.all() and learnt.all():
                     seen = loss, n
                 else:
-                    seen = gate_loss(rf[judged], gcn[judged], y[judged], gate)
+                    seen = gate_loss(rf[judged], prob[judged], y[judged], gate)
                 out.append(np.concatenate([g, [loss, n], seen]))
             return np.concatenate(out)
 
@@ -156,7 +162,7 @@ def fit_gates(
         active = [k for k in range(len(gates)) if patience is None or waited[k] < patience]
         if not active:
             break
-        out = measure([_like(gates[k], flats[k]) for k in active])
+        out = measure([(_like(gates[k], flats[k]), places[k]) for k in active])
         for k, sums in zip(active, out):
             loss = sums[-2] / max(sums[-1], 1)
             if loss < best_loss[k]:
@@ -169,7 +175,7 @@ def fit_gates(
 
 
 def fit_gate(
-    df: DataFrame, widths=None, epochs: int = EPOCHS, rate: float = RATE, seed: int = 42,
+    df: DataFrame, widths=None, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED,
     validation: DataFrame | None = None, patience: int | None = None,
 ):
     """One gate, as ``fit_gates`` fits it."""

@@ -174,6 +174,7 @@ SHARD_GRAPHS, SHARD_EDGES = 1024, 1_000_000
 # Tasks of an epoch: one for each shard up to the first number, then one for this many shards,
 # which it fits one after the other and adds up, so that fewer weights are shuffled.
 LEAST_TASKS, TASK_SHARDS = 96, 8
+LAID_OUT_EDGES = 250_000  # edges up to which a shard is laid out as a whole, else batch by batch
 
 
 def summed(df: DataFrame, call, size: int) -> np.ndarray:
@@ -260,13 +261,14 @@ def local_steps(
     """One epoch of Adam steps of every net over the graphs of a shard, from ``states``.
 
     A state holds the weights, both moments and the number of steps. Every net takes the same
-    batches, in an order drawn anew for each epoch; a batch is laid out once for all nets.
+    batches, in an order drawn anew for each epoch; a shard is laid out once for all of them.
     """
     table = table.combine_chunks()
     shard = table["shard"][0].as_py()
     order = np.random.default_rng([seed % (1 << 32), epoch, shard]).permutation(len(table))
     y = np.asarray(table["y"]).astype(float)
     graphs = table["call_graph"].combine_chunks()
+    whole = make_batch(graphs) if graph_lengths(graphs).sum() <= LAID_OUT_EDGES else None
     adams = []
     for state, shape, rate in zip(states, shapes, rates):
         flat, m, v = np.split(state[:-1], 3)
@@ -275,7 +277,8 @@ def local_steps(
         adams.append((adam, shape, flat))
     for low in range(0, len(order), batch):
         rows = order[low : low + batch]
-        laid_out, labels = make_batch(graphs.take(pa.array(rows))), y[rows]
+        laid_out = make_batch(graphs.take(pa.array(rows))) if whole is None else whole.picked(rows)
+        labels = y[rows]
         for k, (adam, shape, flat) in enumerate(adams):
             g, _, n = gradients(laid_out, shape.like(flat), labels, factor)
             adams[k] = (adam, shape, adam(flat, g / n))

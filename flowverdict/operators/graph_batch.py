@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 REACH_ROWS = 32_000  # pairs of edges that are explained in one go
+DENSE_NODES = 64  # nodes up to which the messages of a graph are one small matrix product
 
 
 @dataclass
@@ -74,21 +75,95 @@ class Batch:
 
     # Made once, whatever the number of layers and nets; nodes lie by graph, edges by source.
     @cached_property
-    def weight(self) -> np.ndarray:
-        return (self.copies * self.norm)[:, None]
+    def first(self) -> np.ndarray:
+        """The first node of each graph."""
+        return np.cumsum(self.nodes) - self.nodes
+
+    @cached_property
+    def edges(self) -> np.ndarray:
+        """Edges of each graph in ``source`` and ``target``."""
+        return np.bincount(self.graph[self.source], minlength=self.size)
+
+    @cached_property
+    def received(self) -> np.ndarray:
+        """What the nodes get of the input: the same for the first layer of every net."""
+        sent = self.copies * self.norm * self.x[self.source]
+        sums = np.bincount(self.target, sent, len(self.graph))
+        return (sums + self.loop * self.x)[:, None]
+
+    @cached_property
+    def blocks(self) -> list:
+        """Node range and message matrix (to, from) of every graph of at most ``DENSE_NODES``."""
+        n = np.where(self.nodes <= DENSE_NODES, self.nodes, 0)
+        ends = np.cumsum(n * n)
+        flat = np.zeros(ends[-1] if len(ends) else 0)
+        at = ends - n * n - self.first * (n + 1)  # of node (0, 0), were nodes counted from here
+
+        def put(to, source, value):
+            g = self.graph[to]
+            small = n[g] > 0
+            to, source, g = to[small], source[small], g[small]
+            flat[at[g] + to * n[g] + source] = value[small]
+
+        every = np.arange(len(self.graph))
+        put(every, every, self.loop)
+        put(self.target, self.source, self.copies * self.norm)
+        return [(lo, lo + k, flat[end - k * k : end].reshape(k, k))
+                for lo, k, end in zip(self.first.tolist(), n.tolist(), ends.tolist()) if k]
+
+    @cached_property
+    def wide(self) -> tuple:
+        """Nodes of the larger graphs, and their edges: source, target among these nodes, weight."""
+        nodes = (self.nodes > DENSE_NODES)[self.graph]
+        mine = nodes[self.source]
+        place = np.cumsum(nodes) - 1
+        weight = (self.copies * self.norm)[mine][:, None]
+        return np.flatnonzero(nodes), place[self.source[mine]], place[self.target[mine]], weight
 
     @cached_property
     def by_target(self) -> "_Sums":
-        return _Sums(self.target, len(self.graph))
+        return _Sums(self.wide[2], len(self.wide[0]))
 
     @cached_property
     def by_source(self) -> "_Sums":
-        return _Sums(self.source, len(self.graph), ordered=True)
+        return _Sums(self.wide[1], len(self.wide[0]), ordered=True)
 
     @cached_property
     def by_graph(self) -> "_Sums":
         return _Sums(self.graph, self.size, ordered=True)
 
+    def messages(self, h: np.ndarray, back: bool = False) -> np.ndarray:
+        """What every node receives of the rows ``h``, its own included; ``back`` along the edges
+        turned round."""
+        out = np.empty_like(h)
+        for lo, hi, block in self.blocks:
+            np.dot(block.T if back else block, h[lo:hi], out=out[lo:hi])
+        rows, source, target, weight = self.wide
+        mine = h[rows]
+        sent = mine[target if back else source]
+        sent *= weight
+        mine *= self.loop[rows][:, None]
+        mine += (self.by_source if back else self.by_target)(sent)
+        out[rows] = mine
+        return out
+
+    def picked(self, graphs: np.ndarray) -> "Batch":
+        """Some of the graphs in the order given, for fitting: without what explains edges."""
+        n, m = self.nodes[graphs], self.edges[graphs]
+        at = _ranges(self.first[graphs], n)
+        e = _ranges((np.cumsum(self.edges) - self.edges)[graphs], m)
+        moved = np.repeat(np.cumsum(n) - n - self.first[graphs], m)
+        return Batch(
+            len(graphs), np.repeat(np.arange(len(graphs)), n), n, self.x[at],
+            self.source[e] + moved, self.target[e] + moved, self.copies[e], self.norm[e],
+            self.loop[at], None, None, None,
+        )
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[i]`` numbers from ``first[i]`` on, one range after the other."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
 
 def make_batch(graphs: pa.Array, counts: bool = False) -> Batch:
     """``graphs``: list<struct<fromId, toId[, n]>>, one list per graph."""
@@ -151,34 +226,31 @@ def _sigmoid(z):
 
 
 def forward(batch: Batch, weights: Weights):
-    """Probability per graph (0.0 for graphs without nodes) and the layer values."""
-    loop = batch.loop[:, None]
-    h, kept = batch.x.astype(float)[:, None], []
+    """Probability per graph (0.0 for graphs without nodes), its logit, the last layer's rows and
+    the layer values."""
+    h, kept = None, []
     for w, b in weights.layers:
-        sent = h[batch.source]
-        sent *= batch.weight
-        a = batch.by_target(sent)
-        a += loop * h
+        a = batch.received if h is None else batch.messages(h)
         z = a @ w
         z += b
         kept.append((a, z))
         h = np.maximum(z, 0.0)
-    mean = batch.by_graph(h)
-    mean /= np.maximum(batch.nodes, 1)[:, None]
-    p = _sigmoid(mean @ weights.head[0] + weights.head[1])
-    return np.where(batch.nodes > 0, p, 0.0), mean, kept
+    sums = batch.by_graph((h @ weights.head[0])[:, None])[:, 0]
+    logit = sums / np.maximum(batch.nodes, 1) + weights.head[1]
+    return np.where(batch.nodes > 0, _sigmoid(logit), 0.0), logit, h, kept
 
 
 def gradients(batch: Batch, weights: Weights, y: np.ndarray, pos_weight: float = 1.0):
     """Gradient sum of the weighted cross entropy, loss sum and number of graphs."""
-    p, mean, kept = forward(batch, weights)
+    p, _, h, kept = forward(batch, weights)
     there = batch.nodes > 0
     weight = np.where(y == 1, pos_weight, 1.0) * there
     clipped = np.clip(p, 1e-12, 1 - 1e-12)
     loss = -(weight * np.where(y == 1, np.log(clipped), np.log(1 - clipped))).sum()
     dz = weight * (p - y)
-    head = (mean * dz[:, None]).sum(0), dz.sum()
-    dh = (dz / np.maximum(batch.nodes, 1))[batch.graph][:, None] * weights.head[0]
+    share = (dz / np.maximum(batch.nodes, 1))[batch.graph]
+    head = share @ h, dz.sum()
+    dh = share[:, None] * weights.head[0]
     layers = []
     for k in reversed(range(weights.depth)):
         (w, _), (a, z) = weights.layers[k], kept[k]
@@ -186,12 +258,7 @@ def gradients(batch: Batch, weights: Weights, y: np.ndarray, pos_weight: float =
         layers.append((a.T @ dh, dh.sum(0)))
         if k == 0:
             break  # nothing learns from the input's gradient
-        da = dh @ w.T
-        sent = da[batch.target]
-        sent *= batch.weight
-        dh = batch.by_source(sent)
-        da *= batch.loop[:, None]
-        dh += da
+        dh = batch.messages(dh @ w.T, back=True)
     grads = Weights(layers[::-1], (head[0], float(head[1])))
     return grads.flat(), float(loss), int(there.sum())
 
@@ -205,8 +272,7 @@ def edge_importance(batch: Batch, weights: Weights):
     """
     if weights.depth > 2:
         raise ValueError("edges are explained for one or two layers")
-    p, mean, kept = forward(batch, weights)
-    logit = mean @ weights.head[0] + weights.head[1]
+    p, logit, _, kept = forward(batch, weights)
     (w1, b1) = weights.layers[0]
     a1, z1 = kept[0]
     s, t, norm = batch.source, batch.target, batch.norm

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fusion as fu
 from ..operators import gate as gt, grids
 from ..operators.forest import ForestScorer, train_forest
-from ..operators.gcn import Net, fit_gcns, score_call_graphs
+from ..operators.gcn import Net, fit_gcns, score_nets
+from ..operators.graph_batch import Weights
 from ..operators.lineage import checkpointed
 from ..operators.metrics import (
     best_per_category, classification_metrics, pick_best, run_stability, score_distribution,
@@ -27,8 +28,9 @@ def _parameters(search: DataFrame, names, rule) -> dict:
     return {n: row[n] for n in names} if row is not None else {n: 0.0 for n in names}
 
 
-def fit_methods(val: DataFrame, spaces=None, epochs: int = gt.EPOCHS) -> dict:
-    """Parameters of every fusion method, chosen on ``val`` (rf_prob, gcn_prob, y)."""
+def fit_methods(val: DataFrame, spaces=None, epochs: int = gt.EPOCHS, gate=None) -> dict:
+    """Parameters of every fusion method, chosen on ``val`` (rf_prob, gcn_prob, y); a ``gate`` that
+    is given is not fitted."""
     spaces = {"strategy1": grids.STRATEGY1, "strategy2": grids.STRATEGY2, "dual": grids.DUAL} | (
         spaces or {})
     alphas = grids.search_fixed(val.withColumn("gcn_layers", F.lit(2)))
@@ -40,7 +42,7 @@ def fit_methods(val: DataFrame, spaces=None, epochs: int = gt.EPOCHS) -> dict:
         "strategy2": {"alpha": fu.EXPERIMENT_FIXED_ALPHA} | _parameters(
             grids.search_strategy2(val, spaces["strategy2"]), spaces["strategy2"], "min_fnr"),
         "dual": _parameters(grids.search_dual(val, spaces["dual"]), spaces["dual"], "min_fnr"),
-        "gate": gt.fit_gate(val, epochs=epochs),
+        "gate": gt.fit_gate(val, epochs=epochs) if gate is None else gate,
     }
 
 
@@ -68,26 +70,45 @@ def compare_scores(rows: DataFrame, methods: dict, gcn: str = "gcn_prob") -> Dat
     return classification_metrics(judged.select("y", F.inline(entries)), ["method", "category"])
 
 
-def score_split(rows: DataFrame, forest: ForestScorer, nets: dict[int, object]) -> DataFrame:
-    """Forest and graph probabilities of labelled rows with features and ``call_graph``."""
-    out = forest(rows)
-    for depth, weights in nets.items():
-        out = score_call_graphs(out, weights, name=f"gcn{depth}")
-    return out.where(F.size("call_graph") > 0)
+def score_split(rows: DataFrame, forest: ForestScorer, nets: list[Weights]) -> DataFrame:
+    """Labelled rows with features and ``call_graph``: their forest probability and, in
+    ``gcn_probs``, those of all nets. A row meets the forest once and is laid out once."""
+    return score_nets(forest(rows.where(F.size("call_graph") > 0)), nets)
 
 
 def judge_methods(
-    val: DataFrame, test: DataFrame, forest: ForestScorer, nets: dict[int, object],
+    val: DataFrame, test: DataFrame, forest: ForestScorer, nets: dict[int, Weights],
     spaces=None, gate_epochs: int = gt.EPOCHS,
 ) -> DataFrame:
     """Choose the parameters of every method on ``val`` and judge them on ``test``."""
-    main = "gcn2" if 2 in nets else f"gcn{max(nets)}"
-    judged = [
-        checkpointed(score_split(x, forest, nets).select(
-            "rf_prob", *[f"gcn{d}" for d in nets], F.col(main).alias("gcn_prob"), "y"))
+    return judge_runs(val, test, forest, [nets], spaces, gate_epochs)[0]
+
+
+def judge_runs(
+    val: DataFrame, test: DataFrame, forest: ForestScorer, runs: list[dict[int, Weights]],
+    spaces=None, gate_epochs: int = gt.EPOCHS,
+) -> list[DataFrame]:
+    """``judge_methods`` for the nets of several runs, all of the same depths.
+
+    The splits are scored once by the forest and all nets, and the gates of all runs are fitted
+    in the same jobs.
+    """
+    depths = list(runs[0])
+    main = 2 if 2 in depths else max(depths)
+    names = [f"gcn{d}_{k}" for k in range(len(runs)) for d in depths]
+    scored = [
+        checkpointed(score_split(x, forest, [nets[d] for nets in runs for d in depths]).select(
+            "rf_prob", "y", *[F.get("gcn_probs", F.lit(i)).alias(n) for i, n in enumerate(names)]))
         for x in (val, test)
     ]
-    return compare_scores(judged[1], fit_methods(judged[0], spaces, gate_epochs))
+    gates = gt.fit_gates(scored[0], [gt.SEED] * len(runs), epochs=gate_epochs,
+                         gcn=[f"gcn{main}_{k}" for k in range(len(runs))])
+    out = []
+    for k, gate in enumerate(gates):
+        mine = [x.select("rf_prob", *[F.col(f"gcn{d}_{k}").alias(f"gcn{d}") for d in depths],
+                         F.col(f"gcn{main}_{k}").alias("gcn_prob"), "y") for x in scored]
+        out.append(compare_scores(mine[1], fit_methods(mine[0], spaces, gate=gate)))
+    return out
 
 
 def compare_methods(
@@ -135,14 +156,12 @@ def sweep_epochs(
     train: DataFrame, val: DataFrame, test: DataFrame, epochs: list[int], depths=(1, 2, 3),
     hidden: int = 64, spaces=None, gate_epochs: int = gt.EPOCHS, **forest,
 ) -> DataFrame:
-    """``compare_methods`` after several epoch counts: one forest, one run of all nets."""
+    """``compare_methods`` after several epoch counts: one forest, one run of all nets, one pass
+    over the splits."""
     scorer = train_forest(train.drop("call_graph", "y"), **forest)
     runs = fit_gcns(
         train, [Net(hidden, d) for d in depths], max(epochs), snapshots=list(epochs))
-    out = None
-    for n in epochs:
-        nets = dict(zip(depths, runs[n]))
-        part = judge_methods(val, test, scorer, nets, spaces, gate_epochs).withColumn(
-            "epochs", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out
+    judged = judge_runs(val, test, scorer, [dict(zip(depths, runs[n])) for n in epochs], spaces,
+                        gate_epochs)
+    return reduce(DataFrame.unionByName, [
+        metrics.withColumn("epochs", F.lit(n)) for n, metrics in zip(epochs, judged)])

@@ -4,7 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowverdict.operators import forest as fo, gcn, graph_batch as gb, neighbours as nb
+from flowverdict.operators import (
+    forest as fo, gate as gt, gcn, graph_batch as gb, grids, neighbours as nb,
+)
+from flowverdict.plans import compare
 from flowverdict.schemas import CATEGORICAL, MODEL_INPUT
 
 
@@ -77,3 +80,64 @@ def test_a_task_adds_up_its_shards(spark, monkeypatch):
         found.append(gcn.fit_gcn(graphs, hidden=4, epochs=2, batch=4).flat())
     assert rows[0] <= 2 < rows[-1]
     np.testing.assert_allclose(*found, rtol=1e-12, atol=1e-15)
+
+
+def test_a_shard_is_laid_out_once(monkeypatch):
+    """Batches picked from it give the gradients of batches laid out alone, larger graphs included."""
+    rng = np.random.default_rng(3)
+    lists = [[{"fromId": str(a), "toId": str(b)} for a, b in rng.integers(0, n, (2 * n, 2))]
+             for n in (3, 100, 1, 70, 8, 5)] + [[]]
+    graphs = pa.array(lists, pa.list_(pa.struct([("fromId", pa.string()), ("toId", pa.string())])))
+    whole, y = gb.make_batch(graphs), np.array([1.0, 0, 1, 0, 0, 1, 0])
+    for rows in ([6, 3, 0, 4], [1, 2], [5, 4, 3, 2, 1, 0], [6]):
+        alone = gb.make_batch(graphs.take(pa.array(rows)))
+        h = rng.normal(size=(whole.nodes[rows].sum(), 4))
+        picked = whole.picked(np.array(rows))
+        plain = np.diag(picked.loop)
+        np.add.at(plain, (picked.target, picked.source), picked.copies * picked.norm)
+        np.testing.assert_allclose(picked.messages(h), plain @ h, atol=1e-12)
+        np.testing.assert_allclose(picked.messages(h, back=True), plain.T @ h, atol=1e-12)
+        for depth in (1, 2, 3):
+            w = gb.initial_weights(4, depth)
+            for a, b in zip(gb.gradients(picked, w, y[rows], 2.0), gb.gradients(alone, w, y[rows], 2.0)):
+                np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+    made, plain_batch = [], gcn.make_batch
+    monkeypatch.setattr(gcn, "make_batch", lambda *a: made.append(1) or plain_batch(*a))
+    table = pa.table({"shard": [0] * 6, "call_graph": graphs[:6], "y": y[:6]})  # all with edges
+    shapes = [gb.initial_weights(4, d) for d in (1, 3)]
+    states = [np.concatenate([w.flat(), np.zeros(2 * w.flat().size + 1)]) for w in shapes]
+    ends = []
+    for most in (gcn.LAID_OUT_EDGES, 0):
+        monkeypatch.setattr(gcn, "LAID_OUT_EDGES", most)
+        ends.append(gcn.local_steps(table, states, shapes, [0.01, 0.01], 2, 1.0, 42, 1))
+        assert len(made) == (1 if most else 4)
+    for a, b in zip(*ends):
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
+def test_a_sweep_scores_its_splits_once(spark, monkeypatch):
+    """All epoch counts share the scores of a split and the jobs of the gates, and are judged as
+    each would be alone."""
+    rows = spark.range(60).select(
+        F.col("id").cast("string").alias("_id"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+        F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda k: F.struct(
+            k.cast("string").alias("fromId"), ((k * 7 + F.col("id")) % 4).cast("string").alias("toId"))
+        ).alias("call_graph"))
+    scored, jobs, plain = [], [], gt.summed
+    runs = {n: [gb.initial_weights(4, d, n) for d in (1, 2)] for n in (2, 3, 5)}
+
+    def forest(df):
+        scored.append(1)
+        return df.withColumn("rf_prob", F.col("_id").cast("int") * 31 % 97 / 97.0)
+
+    monkeypatch.setattr(gt, "summed", lambda *a: jobs.append(1) or plain(*a))
+    monkeypatch.setattr(compare, "train_forest", lambda *a, **k: forest)
+    monkeypatch.setattr(compare, "fit_gcns", lambda *a, **k: runs)
+    spaces = {"strategy1": {k: v[:2] for k, v in grids.STRATEGY1.items()},
+              "strategy2": grids.STRATEGY2, "dual": {k: v[:2] for k, v in grids.DUAL.items()}}
+    out = compare.sweep_epochs(rows, rows, rows, [2, 3, 5], (1, 2), spaces=spaces, gate_epochs=3)
+    found = {(r["epochs"], r["method"]): r for r in out.collect()}
+    assert len(found) == 24 and len(scored) == 2 and len(jobs) == 3
+    alone = compare.judge_methods(rows, rows, forest, dict(zip((1, 2), runs[3])), spaces, 3)
+    for r in alone.collect():
+        assert found[3, r["method"]].asDict() == r.asDict() | {"epochs": 3}
