@@ -57,10 +57,10 @@ def graph_probability(
         parts = [np.zeros(0)]
         for piece in _pieces(graphs, lengths):
             g = make_batch(piece, counts)
-            p = forward(g, weights)[0]
+            p = forward(g, weights, even=True)[0]
             if fallback is not None:
                 mine = np.asarray(rich.slice(sum(map(len, parts)), len(p)).fill_null(False))
-                p = np.where(mine, p, forward(g, fallback)[0])
+                p = np.where(mine, p, forward(g, fallback, even=True)[0])
             parts.append(p)
         return pa.array(np.concatenate(parts), pa.float64())
 

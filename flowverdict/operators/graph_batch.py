@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 REACH_ROWS = 32_000  # pairs of edges that are explained in one go
+PRODUCT_ROWS = 256  # rows of a matrix product whose rows must not depend on their number
 DENSE_NODES = 64  # nodes up to which the messages of a graph are one small matrix product
 
 
@@ -225,17 +226,26 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -700.0, 700.0)))
 
 
-def forward(batch: Batch, weights: Weights):
+def _even_product(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``a @ w`` in products of one shape: BLAS rounds a row otherwise where it meets more rows."""
+    whole = np.zeros((-(-len(a) // PRODUCT_ROWS) * PRODUCT_ROWS, a.shape[1]))
+    whole[: len(a)] = a
+    out = np.matmul(whole.reshape(-1, PRODUCT_ROWS, a.shape[1]), w)
+    return out.reshape(-1, w.shape[1])[: len(a)]
+
+
+def forward(batch: Batch, weights: Weights, even: bool = False):
     """Probability per graph (0.0 for graphs without nodes), its logit, the last layer's rows and
-    the layer values."""
+    the layer values. ``even``: the products give a node the same bits in batches of any size."""
+    product = _even_product if even else np.matmul
     h, kept = None, []
     for w, b in weights.layers:
         a = batch.received if h is None else batch.messages(h)
-        z = a @ w
+        z = product(a, w)
         z += b
         kept.append((a, z))
         h = np.maximum(z, 0.0)
-    sums = batch.by_graph((h @ weights.head[0])[:, None])[:, 0]
+    sums = batch.by_graph(product(h, weights.head[0][:, None]))[:, 0]
     logit = sums / np.maximum(batch.nodes, 1) + weights.head[1]
     return np.where(batch.nodes > 0, _sigmoid(logit), 0.0), logit, h, kept
 

@@ -472,6 +472,21 @@ def test_borders_count_every_row(monkeypatch, most):
     assert len(borders) <= 31 and borders == sorted(set(borders)) and 0 < borders[0]
 
 
+def test_a_graph_alone_and_among_others_has_the_same_probability():
+    import pyarrow as pa
+    from flowverdict.operators import graph_batch as gb
+    kind = pa.list_(pa.struct([("fromId", pa.string()), ("toId", pa.string())]))
+    graph = [{"fromId": "/a", "toId": "/b"}]
+    alone, many = (gb.make_batch(pa.array([graph] * n, kind)) for n in (1, 300))
+    for seed in range(300):
+        weights = gb.initial_weights()
+        flat = weights.flat()
+        weights = weights.like(flat + np.random.default_rng(seed).normal(scale=0.1, size=flat.shape))
+        p = gb.forward(alone, weights, even=True)[0][0]
+        assert (gb.forward(many, weights, even=True)[0] == p).all()
+        assert p == pytest.approx(gb.forward(alone, weights)[0][0], abs=1e-12)
+
+
 def test_file_task_report_and_store(spark, folder, models, tmp_path):
     from catalog.learning import graph_rows
     from catalog.traffic import features
